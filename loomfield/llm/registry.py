@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import content_sort
+from . import content_sort, near_dedup
 
 QUERIES = {
     "op9_exact_dedup": content_sort.op9_exact_dedup,
+    "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 
 ORACLES = {
     "op9_exact_dedup": content_sort.ORACLE_SQL,
+    "op10_minhash_near_dedup": near_dedup.ORACLE_SQL,
 }
