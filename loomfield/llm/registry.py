@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import content_sort, near_dedup
+from . import content_sort, near_dedup, superkmers
 
 QUERIES = {
+    "op1_substring_dedup": superkmers.op1_substring_dedup,
     "op9_exact_dedup": content_sort.op9_exact_dedup,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 
 ORACLES = {
+    "op1_substring_dedup": superkmers.ORACLE_SQL,
     "op9_exact_dedup": content_sort.ORACLE_SQL,
     "op10_minhash_near_dedup": near_dedup.ORACLE_SQL,
 }
