@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import content_sort, near_dedup, superkmers
+from . import content_sort, near_dedup, suffix_sort, superkmers
 
 QUERIES = {
     "op1_substring_dedup": superkmers.op1_substring_dedup,
+    "op4_suffix_array_dedup": suffix_sort.op4_suffix_array_dedup,
     "op9_exact_dedup": content_sort.op9_exact_dedup,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
