@@ -3,17 +3,20 @@
 1. Each text gets its 5-word shingle set, a 128-bit digest of the set and a sketch
    of 128 coordinates filled by rounds of hashed bins; 32 bands of 4 coordinates.
 2. Equal sets collapse to the smallest doc_id by their digest (map-side combined).
-3. In a band bucket no pairs are listed: every member meets one pivot. Pairs are
-   confirmed on whole sets and linked; linked documents contract to components.
-   Buckets that still hold several components go on with another pivot, the old
-   one retired, until each bucket has one component or one member left, or what
-   is left is at most a fixed number of pairs per document, which are then all met.
+3. Every member of a band bucket first meets one pivot, the smallest doc_id; pairs
+   are confirmed on whole sets and linked documents contract to components. Only
+   buckets that still hold several components go on: their members are dealt into
+   blocks, each two blocks meet in a cell of bounded size, and only links between
+   components leave it, so no pairs are listed.
 4. A pair of similarity 0.75 misses all 32 bands with probability 5e-6, one of
    0.8 with 5e-8.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,17 +25,14 @@ from . import shingles as sh
 
 WORDS, COORDS, BAND = 5, 128, 4
 THRESHOLD = 75  # hundredths of intersection to union
-REST_PAIRS = 4  # pairs per document that the last pass may list
+BLOCK, CHUNK = 400, 4096  # members of a block, shingles looked at at once
+BROADCAST_IDS = 100_000  # ids (8 bytes each) up to which a semi join broadcasts
 
 _SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
 
 
 def _sketch(words: int, coords: int, band: int):
     def run(batches):
-        import numpy as np
-        import pyarrow as pa
-        import xxhash
-
         for b in batches:
             ids, texts = b.column(0), b.column(1).cast(pa.binary()).to_pylist()
             for lo, hi in sh.batches_of(texts):
@@ -63,9 +63,6 @@ def _confirm(words: int, threshold: int):
     """(a, b, ta, tb) to the (a, b) whose whole sets are similar enough."""
 
     def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
         last = (None, None)
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -130,66 +127,118 @@ def near_dedup(
     base = common.id_text(docs, id_col, text_col)
     told = common.kept_in_store(base.mapInArrow(_sketch(words, coords, band), _SKETCH))
     alive = told.filter("n_shingles > 0 and doc_id is not null")
-    reps = common.kept_in_store(alive.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    buckets = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc"))
-    shared = buckets.groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo != hi")
-    active = common.kept_in_store(buckets.join(shared.select("bucket"), "bucket").withColumn("comp", F.col("doc")))
-    n_reps = max(1, reps.count())
-    links, turn = None, 0
-    while True:
-        mixed = active.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-            F.min_by("doc", F.xxhash64("doc", F.lit(turn))).alias("pivot") if turn else F.min("doc").alias("pivot"),
-        ).filter("lo != hi")
-        left = mixed.agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("p")).first()["p"] or 0.0
-        if not left:
-            break
-        last = turn > 0 and left <= REST_PAIRS * n_reps
-        if last:
-            other = active.select("bucket", F.col("doc").alias("pivot"), F.col("comp").alias("pcomp"))
-            pairs = active.join(mixed.select("bucket"), "bucket").join(other, "bucket").filter("doc > pivot and comp != pcomp")
-        else:
-            now = active.join(mixed.select("bucket", "pivot"), "bucket")
-            heads = now.filter("doc = pivot").select("bucket", F.col("comp").alias("pcomp"))
-            now = now.filter("doc != pivot")
-            pairs = now.join(heads, "bucket").filter("comp != pcomp")
-        pairs = pairs.select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
-        found = common.kept_in_store(_confirmed(pairs, base, words, threshold))
-        links = found if links is None else links.unionByName(found)
-        if last:
-            break
-        if found.isEmpty():
-            active = common.kept_in_store(now.select("bucket", "doc", "comp"))
-        else:
-            comp = components(links)
-            active = common.kept_in_store(
-                now.select("bucket", "doc").join(comp, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("root", "doc").alias("comp"))
-            )
-        turn += 1
+    reps = common.kept_in_store(
+        alive.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
+    )
+    buckets = reps.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc"), "size")
+    shared = buckets.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.max("doc").alias("hi")).filter("pivot != hi")
+    active = common.kept_in_store(buckets.join(shared.select("bucket", "pivot"), "bucket"))
+    heads = active.filter("doc = pivot").select("bucket", F.col("size").alias("psize"))
+    near = (100 * F.least("size", "psize") >= threshold * F.greatest("size", "psize")) & (F.col("doc") != F.col("pivot"))
+    pairs = active.join(heads, "bucket").filter(near).select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
+    links = common.kept_in_store(_confirmed(common.kept_in_store(pairs), base, words, threshold))
+    comp = components(links)
+    placed = active.join(comp, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("root", "doc").alias("comp"))
+    mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi")
+    links = links.unionByName(common.kept_in_store(_met(placed.join(mixed.select("bucket", "n"), "bucket"), base, words, threshold)))
     same = alive.select("doc_id", "d1", "d2").join(reps.select("d1", "d2", "rep"), ["d1", "d2"])
     several = same.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).filter("b != hi")
     several = common.kept_in_store(same.join(several, "doc_id").filter("rep != b").select(F.col("rep").alias("a"), "b"))
     if not several.isEmpty():
-        links = several if links is None else links.unionByName(several)
-    if links is None:
-        root = same.select("doc_id", F.col("rep").alias("root"))
-    else:
-        comp = components(links)
-        root = same.join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
+        links = links.unionByName(several)
+    comp = components(links)
+    root = same.join(comp, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
     root = root.groupBy("doc_id").agg(F.min("root").alias("root"))
     out = told.select("doc_id", "n_shingles").join(root, "doc_id", "left")
     own = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id").isNull() | own.eqNullSafe(F.col("doc_id"))).alias("kept"))
 
 
+def _texts(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the given documents: few ids go to the texts by broadcast, more by
+    a shuffled join."""
+    ids = common.kept_in_store(ids.distinct())
+    few = ids.count() <= BROADCAST_IDS
+    return common.kept_in_store(base.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
+
+
 def _confirmed(pairs: DataFrame, base: DataFrame, words: int, threshold: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar enough. A doc_id that
     repeats is met with each of its texts."""
-    ta = pairs.join(base.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = ta.join(base.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    texts = _texts(base, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
+    ta = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    both = ta.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     return both.mapInArrow(_confirm(words, threshold), "a long, b long")
 
 
+def _sets(words: int):
+    def run(batches):
+        for b in batches:
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            for lo, hi in sh.batches_of(texts):
+                values, sizes = sh.shingle_sets(texts[lo:hi], words)
+                at = np.concatenate(([0], np.cumsum(sizes))) * 8
+                raw = values.tobytes()
+                yield pa.record_batch([b.column(0)[lo:hi], pa.array([raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "items"])
+
+    return run
+
+
+def _cell(threshold: int):
+    """All members of a cell meet; a link for each two components that meet."""
+
+    def run(table):
+        doc, comp = table.column("doc").to_numpy(), table.column("comp").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        item, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        _, item, times = np.unique(item, return_inverse=True, return_counts=True)
+        on = times[item] > 1
+        item, owner = np.unique(item[on], return_inverse=True)[1], owner[on]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, int(item.max(initial=-1)) + 1, CHUNK):
+            sel = (item >= at) & (item < at + CHUNK)
+            m = np.zeros((len(sets), CHUNK), np.float32)
+            m[owner[sel], item[sel] - at] = 1
+            both += m @ m.T
+        both = both.astype(np.float64)
+        good = 100 * both >= threshold * (size[:, None] + size[None, :] - both)
+        good &= comp[:, None] != comp[None, :]
+        root = {c: c for c in comp.tolist()}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        a, b = [], []
+        for i, j in zip(*np.nonzero(np.triu(good)), strict=True):
+            x, y = find(int(comp[i])), find(int(comp[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                a.append(int(doc[i]))
+                b.append(int(doc[j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _met(placed: DataFrame, base: DataFrame, words: int, threshold: int) -> DataFrame:
+    """Links (a, b) between components in the buckets of placed (bucket, doc, comp, n).
+
+    A bucket's members are dealt into blocks of about BLOCK, and each two blocks meet
+    in a cell of bounded size, where whole sets are compared and only links leave.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = placed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "comp")
+    sets = _texts(base, placed.select(F.col("doc").alias("doc_id"))).mapInArrow(_sets(words), "doc_id long, items binary")
+    cells = dealt.join(sets, F.col("doc") == F.col("doc_id")).select("bucket", "i", "j", "doc", "comp", "items")
+    return cells.groupBy("bucket", "i", "j").applyInArrow(_cell(threshold), "a long, b long")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(common.documents(spark, sf_dir))
 
