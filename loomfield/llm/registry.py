@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import content_sort, near_dedup, ogg, packing, pii, suffix_sort, superkmers
+from . import content_sort, near_dedup, ogg, packing, pii, randomness, suffix_sort, superkmers
 
 QUERIES = {
     "op1_substring_dedup": superkmers.op1_substring_dedup,
     "op3_media_columns": ogg.op3_media_columns,
     "op4_suffix_array_dedup": suffix_sort.op4_suffix_array_dedup,
     "op5_pii": pii.op5_pii,
+    "op6_secret_scans": randomness.op6_secret_scans,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_exact_dedup": content_sort.op9_exact_dedup,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
