@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from . import content_sort, near_dedup, ogg, packing, pii, randomness, suffix_sort, superkmers
+from . import content_sort, language, mixing, near_dedup, ogg, packing, pii, randomness, suffix_sort, superkmers
 
 QUERIES = {
     "op1_substring_dedup": superkmers.op1_substring_dedup,
+    "op2_language_id": language.op2_language_id,
     "op3_media_columns": ogg.op3_media_columns,
     "op4_suffix_array_dedup": suffix_sort.op4_suffix_array_dedup,
     "op5_pii": pii.op5_pii,
     "op6_secret_scans": randomness.op6_secret_scans,
+    "op7_mixing_sources": mixing.op7_mixing_sources,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_exact_dedup": content_sort.op9_exact_dedup,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
 }
 
 ORACLES = {
+    "op7_mixing_sources": mixing.ORACLE_SQL,
     "op1_substring_dedup": superkmers.ORACLE_SQL,
     "op9_exact_dedup": content_sort.ORACLE_SQL,
     "op10_minhash_near_dedup": near_dedup.ORACLE_SQL,
