@@ -22,15 +22,21 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nul
 def kept_in_store(df: DataFrame) -> DataFrame:
     """Cut the lineage with checkpoint() in the folder that the session names in
     spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
             import tempfile
 
             where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    return sc.getCheckpointDir()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,24 @@ def _counted(rows: DataFrame) -> DataFrame:
     return slim.select("doc_id", "keep_id", "group_size", (won & (F.row_number().over(twins) == 1)).alias("kept"), "text_sha256")
 
 
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that exact_dedup keeps."""
+    told = common.kept_in_store(exact_dedup(docs, id_col, text_col))
+    key = F.col(common.quoted(id_col)).cast("long")
+    gone = told.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    text = F.coalesce(F.col(common.quoted(text_col)).cast("string"), F.lit(""))
+    sha = F.sha2(F.regexp_replace(text, BLANKS, ""), 256)
+    twice = common.kept_in_store(told.filter("doc_id is null").select(F.col("doc_id").alias("__id")).unionByName(told.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id")).distinct())
+    if twice.isEmpty():
+        return docs.join(gone.select("__id"), key == F.col("__id"), "left_anti")
+    # ids with several rows, or none: settled row by row by the text's digest
+    once = docs.join(twice, key.eqNullSafe(F.col("__id")), "left_anti").join(gone.select("__id"), key == F.col("__id"), "left_anti")
+    kept = told.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    more = docs.join(twice, key.eqNullSafe(F.col("__id")), "left_semi").join(kept, key.eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_semi")
+    first = Window.partitionBy(key, sha).orderBy(F.desc(F.length(text)))
+    return once.unionByName(more.withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(common.documents(spark, sf_dir))
 

@@ -203,5 +203,14 @@ def language_id(
     return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def recognised(docs: DataFrame, id_col: str = "doc_id", least: float = 0.5, **kw) -> DataFrame:
+    """The rows of docs, all columns, whose language is recognised: not `und`, and with
+    a score of at least `least`. An id with several rows stays if one of them does;
+    rows without an id go."""
+    told = language_id(docs, id_col, **kw).filter((F.col("lang_pred") != UND) & (F.col("score") >= least))
+    kept = told.select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(common.kept_in_store(kept), F.col(common.quoted(id_col)).cast("long") == F.col("__id"), "left_semi")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(common.documents(spark, sf_dir))

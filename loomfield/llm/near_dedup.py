@@ -239,6 +239,12 @@ def _met(placed: DataFrame, base: DataFrame, words: int, threshold: int) -> Data
     return cells.groupBy("bucket", "i", "j").applyInArrow(_cell(threshold), "a long, b long")
 
 
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """The rows of docs, all columns, that near_dedup keeps."""
+    gone = near_dedup(docs, id_col, text_col, **kw).filter("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(common.kept_in_store(gone), F.col(common.quoted(id_col)).cast("long") == F.col("__id"), "left_anti")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(common.documents(spark, sf_dir))
 
