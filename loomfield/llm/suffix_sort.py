@@ -15,8 +15,8 @@ pass leaves the sort:
    groups of one leaving after each. Groups that reach the threshold are exactly
    the repeated windows.
 
-Anchor strings that a sample shows to be frequent would fill a bucket; the windows
-of their runs are grouped one by one under a 128-bit digest instead, with map-side
+Anchor strings that a sample shows to have more runs than a task can hold are no
+bucket; the windows of their runs are grouped one by one under a 128-bit digest instead, with map-side
 combining.
 """
 
@@ -34,7 +34,9 @@ from . import common
 from . import shingles as sh
 
 DEPTH, DIGITS = 400, 4
-SAMPLE, HOT_MOST, HOT_LEAST, HOT_SHARE = 32, 4096, 24, 20_000
+#: A sample of one document in SAMPLE tells which anchor strings have over HOT_ROWS
+#: runs, more than a task should hold; HOT_MOST of them at most.
+SAMPLE, HOT_MOST, HOT_ROWS = 32, 4096, 20_000
 
 _ANCHOR = "key long, pack long, doc_id long, tid long, start int, n int"
 _NO = np.iinfo(np.uint64).max
@@ -142,7 +144,7 @@ def _strings(depth: int, hot: np.ndarray, apart: bool):
     return run
 
 
-def _radix(depth: int, digits: int, most: int = 8 << 20):
+def _radix(depth: int, digits: int, most: int = 4 << 20):
     """Rows in order of anchor: windows of equal anchors sorted digit by digit."""
 
     def judged(keys, packed, ids, tids, starts):
@@ -253,9 +255,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = _numbered(common.id_text(docs, id_col, text_col))
     anchors = base.mapInArrow(_anchors(depth), _ANCHOR)
     sample = base.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_anchors(depth), _ANCHOR)
-    seen = common.kept_in_store(sample.groupBy("key").count().filter("count > 1"))
-    runs = seen.agg(F.sum("count")).first()[0] or 0
-    top = seen.filter(F.col("count") >= max(HOT_LEAST, runs / HOT_SHARE)).orderBy(F.desc("count"), "key").limit(HOT_MOST)
+    seen = sample.groupBy("key").count()
+    top = seen.filter(F.col("count") * SAMPLE > HOT_ROWS).orderBy(F.desc("count"), "key").limit(HOT_MOST)
     hot = frozenset(r["key"] for r in top.collect())  # at most HOT_MOST keys
 
     many = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("pack").alias("p0"), F.max("pack").alias("p1"))

@@ -5,8 +5,8 @@ it. Consecutive windows with one minimiser travel as one packed string to the bu
 of that minimiser, and in the bucket windows are sorted and equal neighbours found
 by comparing their bytes.
 
-A minimiser that a sample shows to be frequent (a passage that many documents
-share) would fill one bucket. Its windows go apart instead, each by its own 128-bit
+A minimiser that a sample shows to have more runs than a task can hold (a passage
+that many documents share) is no bucket. Its windows go apart instead, each by its own 128-bit
 digest: grouped minima with map-side combining, joined back to the windows.
 """
 
@@ -25,7 +25,7 @@ from . import shingles as sh
 
 WINDOW, GRAM = 13, 3
 SAMPLE, HOT_MOST = 32, 4096  # one of 32 documents is looked at for hot minimisers
-HOT_LEAST, HOT_SHARE = 24, 20_000  # hot: as often in the sample, and over 1/HOT_SHARE of its runs
+HOT_ROWS = 100_000  # runs of a minimiser that are more than a task should hold
 
 _COLD = "key long, packed binary, doc_id long, tid long, start int"
 _HOT = "w1 long, w2 long, doc_id long, tid long, start int"
@@ -219,9 +219,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = _base(docs, id_col, text_col)
     sample = base.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
     top = sample.mapInArrow(_minimisers(window, gram), "key long").groupBy("key").count()
-    top = common.kept_in_store(top)
-    runs = top.agg(F.sum("count")).first()[0] or 0
-    top = top.filter(F.col("count") >= max(HOT_LEAST, runs / HOT_SHARE)).orderBy(F.desc("count"), "key").limit(HOT_MOST)
+    top = top.filter(F.col("count") * SAMPLE > HOT_ROWS).orderBy(F.desc("count"), "key").limit(HOT_MOST)
     hot = np.array(sorted(r["key"] for r in top.collect()), np.int64)  # at most HOT_MOST keys
     cold = base.mapInArrow(_cold(window, gram, hot), _COLD).repartition("key").sortWithinPartitions("key", "packed")
     found = cold.mapInArrow(_bucket(window), _SPAN)
