@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import text_queries
+
+_GROUPS = (text_queries,)
+
+QUERIES = {k: f for g in _GROUPS for k, f in g.QUERIES.items()}
+ORACLES = {k: q for g in _GROUPS for k, q in g.ORACLES.items()}
+flagship = text_queries.flagship
