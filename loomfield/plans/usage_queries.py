@@ -95,9 +95,16 @@ def _(s, d):
     return G.batch_status(table(s, d, "lineitem").select(F.col("l_orderkey").alias("batch_id"), st.alias("status")))
 
 
-@query("g9_score_confidence", """WITH r AS (SELECT o_custkey AS doc_id, list(CASE o_orderstatus WHEN 'F' THEN 1e0 WHEN 'O' THEN 0.5e0 ELSE 0.25e0 END) AS e, count(*) AS n FROM orders GROUP BY 1),
-  p AS (SELECT doc_id, round_even((doc_id % 6) / 5e0, 2) AS personal, round_even(list_sum(e) / len(e), 2) AS experience, 0e0 AS education, round_even(least(n / 5e0, 1e0), 2) AS skills, round_even(list_sum(e) / len(e), 2) AS mapping FROM r)
-SELECT *, round_even(personal * 0.30e0 + experience * 0.30e0 + education * 0.15e0 + skills * 0.10e0 + mapping * 0.15e0, 2) AS overall FROM p""")
+def _half_even(x: str) -> str:
+    """Two decimals, halves to even, on the decimal that the double prints as."""
+    d = f"CAST({x} AS DECIMAL(18,9))"
+    r = f"CAST({d} AS DECIMAL(18,2))"
+    return f"CAST(CASE WHEN {r} - {d} = 0.005 AND CAST({r} * 100 AS BIGINT) % 2 = 1 THEN {r} - 0.01 ELSE {r} END AS DOUBLE)"
+
+
+@query("g9_score_confidence", f"""WITH r AS (SELECT o_custkey AS doc_id, list(CASE o_orderstatus WHEN 'F' THEN 1e0 WHEN 'O' THEN 0.5e0 ELSE 0.25e0 END) AS e, count(*) AS n FROM orders GROUP BY 1),
+  p AS (SELECT doc_id, {_half_even("(doc_id % 6) / 5e0")} AS personal, {_half_even("list_sum(e) / len(e)")} AS experience, 0e0 AS education, {_half_even("least(n / 5e0, 1e0)")} AS skills, {_half_even("list_sum(e) / len(e)")} AS mapping FROM r)
+SELECT *, {_half_even("personal * 0.30e0 + experience * 0.30e0 + education * 0.15e0 + skills * 0.10e0 + mapping * 0.15e0")} AS overall FROM p""")
 def _(s, d):
     pts = F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.5).otherwise(0.25)
     r = table(s, d, "orders").groupBy(F.col("o_custkey").alias("doc_id")).agg(F.collect_list(pts).alias("experience_points"), F.count(F.lit(1)).alias("n_skills"))
