@@ -134,11 +134,12 @@ def score_confidence(records: DataFrame) -> DataFrame:
         "skills": F.least(F.col("n_skills") / 5.0, F.lit(1.0)), "mapping": mean("mapping"),
     }
     weights = {"personal": 0.30, "experience": 0.30, "education": 0.15, "skills": 0.10, "mapping": 0.15}
-    out = records.select("doc_id", *(F.bround(v, 2).alias(k) for k, v in parts.items()))
+    two = lambda c: F.bround(c.cast("decimal(18,9)"), 2).cast("double")  # noqa: E731  halves of the decimal, not of its nearest double
+    out = records.select("doc_id", *(two(v).alias(k) for k, v in parts.items()))
     total = None
     for k, w in weights.items():
         total = F.col(k) * w if total is None else total + F.col(k) * w
-    return out.withColumn("overall", F.bround(total, 2))
+    return out.withColumn("overall", two(total))
 
 
 def score_extraction(outputs: DataFrame, labels: DataFrame, metrics: list[str]) -> DataFrame:
