@@ -12,50 +12,119 @@ incumbent of the whole: it is kept where bin completion has no fewer sequences.
 from __future__ import annotations
 
 import os
+import re
+import struct
+import sys
+import types
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
+from .shingles import batches_of
 
 TOKENIZER, END_ID, SEQUENCE = "word_bpe_49k.json", 1, 4096
 GROUP = 8192  # pieces that are packed together
-CACHE = 200_000  # words whose ids a worker remembers
+CACHE = 400_000  # words, and parts of words, whose ids a worker remembers
+# Fixed value: the tokenizer's own pattern of what is a unit of its own.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 WIDTH, LEVELS = 4, 3  # of the search for a filling
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cut(path: str, end_id: int, sequence: int):
-    """Texts to pieces. White space always parts this tokenizer's words, so a text's
-    ids are those of its blank-separated words one after another."""
+class Ids:
+    """Token ids of texts as little-endian bytes, with a memory of words and parts.
 
-    def run(batches):
+    White space parts this tokenizer's words and its own pattern parts a word into
+    runs of letters, single digits and runs of signs, each a unit by itself. So new
+    words are normalised together, parted, and the new parts encoded as one text.
+    """
+
+    def __init__(self, path: str, most: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        known: dict[str, bytes] = {}
+        self.tok, self.most = Tokenizer.from_file(path), most
+        self.parts_of = regex.compile(PARTS).findall
+        self.other_space = re.compile(r"[^\S \n]").search
+        self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+
+    def plain(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_parts(self, new: set[str]) -> None:
+        one = self.tok.model.tokenize  # its byte alphabet leaves ASCII as it is
+        pack = struct.Struct("<I").pack
+        plain = [p for p in new if p.isascii() and p.isprintable()]
+        self.parts.update((p, b"".join([pack(t.id) for t in one(p)])) for p in plain)
+        new = [p for p in new if not (p.isascii() and p.isprintable())]
+        if not new:
+            return
+        e = self.tok.encode(" ".join(new), add_special_tokens=False)
+        owner, ids = np.array(e.word_ids, np.int64), np.array(e.ids, "<u4")
+        if len(owner) and owner[-1] == len(new) - 1:
+            at = np.searchsorted(owner, np.arange(len(new) + 1)) * 4
+            raw = ids.tobytes()
+            self.parts.update((p, raw[x:y]) for p, x, y in zip(new, at.tolist(), at[1:].tolist(), strict=False))
+        else:
+            self.parts.update((p, self.plain(p)) for p in new)
+
+    def _learn(self, new: list[str]) -> None:
+        normal = self.tok.normalizer.normalize_str(" ".join(new)).split(" ")
+        if len(normal) != len(new):
+            self.words.update((w, self.plain(w)) for w in new)
+            return
+        split = [(p,) if p.isalpha() else self.parts_of(p) for p in normal]
+        unknown = {p for parts in split for p in parts if p not in self.parts}
+        if unknown:
+            self._learn_parts(unknown)
+        known = self.parts
+        self.words.update((w, known[s[0]] if len(s) == 1 else b"".join([known[p] for p in s])) for w, s in zip(new, split, strict=True))
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        if len(self.words) > self.most:
+            self.words = {"": b""}
+        if len(self.parts) > self.most:
+            self.parts = {}
+        lists: list = []
+        for t in texts:
+            words = t.replace("\n", " ").split(" ")
+            # other white space, or what may be a special token's name: the long way
+            odd = "<|" in t or self.other_space(t)
+            lists.append(t if odd else words)
+        new = set().union(*(w for w in lists if isinstance(w, list))).difference(self.words)
+        if new:
+            self._learn(list(new))
+        known = self.words
+        return [self.plain(w) if isinstance(w, str) else b"".join([known[x] for x in w]) for w in lists]
+
+
+def _cut(path: str, end_id: int, sequence: int):
+    """Texts to pieces."""
+
+    def run(batches):
+        # one memory for all tasks of a worker process, where modules outlive tasks
+        held = sys.modules.setdefault("_loomfield_ids", types.ModuleType("_loomfield_ids")).__dict__
+        if path not in held:
+            held[path] = Ids(path)
+        ids_of = held[path].of
         end, step = np.array([end_id], "<u4").tobytes(), 4 * sequence
         for b in batches:
+            docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             cols: list[list] = [[], [], [], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = text.replace("\n", " ").split(" ")
-                new = [w for w in set(words) if w not in known]
-                for at in range(0, len(new), 1024):
-                    some = new[at : at + 1024]
-                    for w, e in zip(some, tok.encode_batch(some, add_special_tokens=False), strict=True):
-                        known[w] = np.array(e.ids, "<u4").tobytes()
-                ids = b"".join([known[w] for w in words]) + end
-                if len(known) > CACHE or any(len(w) > 1024 for w in new):
-                    known.clear()
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    for c, v in zip(cols, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        c.append(v)
+            for lo, hi in batches_of(texts, 1 << 20):
+                for doc, ids in zip(docs[lo:hi], ids_of(texts[lo:hi]), strict=True):
+                    ids += end
+                    for k, at in enumerate(range(0, len(ids), step)):
+                        part = ids[at : at + step]
+                        for c, v in zip(cols, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            c.append(v)
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
