@@ -125,8 +125,8 @@ def _cut(path: str, end_id: int, sequence: int):
                         part = ids[at : at + step]
                         for c, v in zip(cols, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                             c.append(v)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
