@@ -8,16 +8,15 @@ pass leaves the sort:
    the one with the least hash. A 400-byte window holds an anchor at a place that
    depends on its content only, so equal windows have equal anchors. First digit:
    the anchor's 200 bytes. Anchors whose string occurs once end here.
-2. Second digit: the whole run of windows that one anchor serves. Where all runs of
-   an anchor string are equal, all their windows are repeated and are done.
-3. The other runs (borders of passages, edited copies) go as strings to the bucket
-   of their anchor, and their windows are sorted by four digits of 100 bytes,
-   groups of one leaving after each. Groups that reach the threshold are exactly
-   the repeated windows.
-
-Anchor strings that a sample shows to have more runs than a task can hold are no
-bucket; the windows of their runs are grouped one by one under a 128-bit digest instead, with map-side
-combining.
+2. Second digit: the whole run of windows that one anchor serves. Runs that occur
+   again whole are repeated and done, and one of them stands for all.
+3. Where an anchor has several different runs (borders of passages, edited copies),
+   one of each goes as a string to the bucket of the anchor, and their windows are
+   sorted by four digits of 100 bytes, groups of one leaving after each. Groups that
+   reach the threshold are exactly the repeated windows.
+
+An anchor with more different runs than a task should hold is no bucket: the windows
+of its runs are grouped one by one under a 128-bit digest, with map-side combining.
 """
 
 from __future__ import annotations
@@ -34,9 +33,7 @@ from . import common
 from . import shingles as sh
 
 DEPTH, DIGITS = 400, 4
-#: A sample of one document in SAMPLE tells which anchor strings have over HOT_ROWS
-#: runs, more than a task should hold; HOT_MOST of them at most.
-SAMPLE, HOT_MOST, HOT_ROWS = 32, 4096, 20_000
+HOT_ROWS = 20_000  # different runs of an anchor that are more than a task should hold
 
 _ANCHOR = "key long, pack long, doc_id long, tid long, start int, n int"
 _NO = np.iinfo(np.uint64).max
@@ -116,7 +113,7 @@ def _anchors(depth: int):
     return run
 
 
-def _strings(depth: int, hot: np.ndarray, apart: bool):
+def _strings(depth: int, apart: bool):
     """(doc_id, text, tid, unsettled runs) to the runs' strings, or with `apart` to the
     windows of those under hot anchors."""
 
@@ -126,7 +123,7 @@ def _strings(depth: int, hot: np.ndarray, apart: bool):
                 runs = b.column(3)[i].as_py()
                 text = b.column(1)[i].as_py().encode()
                 doc, tid = b.column(0)[i].as_py(), b.column(2)[i].as_py()
-                runs = [r for r in runs if (r["key"] in hot) == apart]
+                runs = [r for r in runs if r["hot"] == apart]
                 if not runs:
                     continue
                 n = np.array([r["n"] for r in runs])
@@ -254,26 +251,26 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     base = _numbered(common.id_text(docs, id_col, text_col))
     anchors = base.mapInArrow(_anchors(depth), _ANCHOR)
-    sample = base.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(_anchors(depth), _ANCHOR)
-    seen = sample.groupBy("key").count()
-    top = seen.filter(F.col("count") * SAMPLE > HOT_ROWS).orderBy(F.desc("count"), "key").limit(HOT_MOST)
-    hot = frozenset(r["key"] for r in top.collect())  # at most HOT_MOST keys
-
-    many = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("pack").alias("p0"), F.max("pack").alias("p1"))
-    many = many.filter("c > 1").select("key", (F.col("p0") == F.col("p1")).alias("settled"))
-    again = common.kept_in_store(anchors.drop("pack").join(many, "key"))
-    done = again.filter("settled").select("doc_id", "tid", "start", "n")
-
-    open_ = again.filter("not settled").groupBy(F.col("doc_id").alias("d"), F.col("tid").alias("t")).agg(F.collect_list(F.struct("key", "start", "n")).alias("runs"))
+    many = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    again = common.kept_in_store(anchors.join(many, "key"))
+    first = F.min(F.struct("doc_id", "tid", "start", "n"))
+    packs = common.kept_in_store(again.groupBy("key", "pack").agg(F.count(F.lit(1)).alias("c"), first.alias("r")))
+    done = again.join(packs.filter("c > 1").select("key", "pack"), ["key", "pack"]).select("doc_id", "tid", "start", "n")
+
+    kinds = packs.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    kinds = common.kept_in_store(kinds.select("key", (F.col("kinds") > HOT_ROWS).alias("hot")))
+    some_hot = not kinds.filter("hot").isEmpty()
+    one = packs.join(kinds, "key").select("key", "hot", "r.*")
+    open_ = one.groupBy(F.col("doc_id").alias("d"), F.col("tid").alias("t")).agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("runs"))
     at = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t"))
     asked = base.join(open_, at).select("doc_id", "text", "tid", "runs")
-    packed = asked.mapInArrow(_strings(depth, hot, False), "key long, packed binary, doc_id long, tid long, start int")
+    packed = asked.mapInArrow(_strings(depth, False), "key long, packed binary, doc_id long, tid long, start int")
     packed = packed.repartition("key").sortWithinPartitions("key")
     found = done.unionByName(packed.mapInArrow(_radix(depth, DIGITS), "doc_id long, tid long, start int, n int"))
-    if hot:
-        one = asked.mapInArrow(_strings(depth, hot, True), "w1 long, w2 long, doc_id long, tid long, start int")
-        both = one.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
-        found = found.unionByName(one.join(both, ["w1", "w2"]).select("doc_id", "tid", "start", F.lit(1).alias("n")))
+    if some_hot:
+        apart = asked.mapInArrow(_strings(depth, True), "w1 long, w2 long, doc_id long, tid long, start int")
+        both = apart.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
+        found = found.unionByName(apart.join(both, ["w1", "w2"]).select("doc_id", "tid", "start", F.lit(1).alias("n")))
     by_doc = found.groupBy(F.col("doc_id").alias("d"), F.col("tid").alias("t")).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     out = base.join(by_doc, at, "left").select("doc_id", "text", "spans")
     return out.mapInArrow(_cut(depth), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
