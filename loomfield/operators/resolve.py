@@ -157,7 +157,7 @@ def match_fuzzy(probe: DataFrame, row_id: str, cands: DataFrame, catalog: DataFr
     near = near_pairs(some, rec, threshold, blocked)
     hits = some.join(near, "key").join(rec.withColumnRenamed("key", "rkey"), "rkey")
     best = hits.groupBy(row_id).agg(F.min_by(F.struct("id", "ratio"), F.struct(-F.col("ratio"), "ord", "field", "cand_pos")).alias("b"))
-    conf = F.when(F.col("b.ratio") == 1.0, 1.0).otherwise(F.least(F.bround("b.ratio", 2), F.lit(NEAR_MOST)))
+    conf = F.when(F.col("b.ratio") == 1.0, 1.0).when(F.col("b").isNotNull(), F.least(F.bround("b.ratio", 2), F.lit(NEAR_MOST)))
     tier = F.when(F.col("b.ratio") == 1.0, "name").when(F.col("b").isNotNull(), "fuzzy")
     return probe.join(best, row_id, "left").select(*probe.columns, F.col("b.id").alias("match_id"), F.coalesce(conf, F.lit(0.0)).alias("confidence"), tier.alias("match_tier"))
 
