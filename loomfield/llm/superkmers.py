@@ -1,13 +1,19 @@
 """Substring dedup over word windows by super-k-mer partitioning.
 
-Every window of 13 words has a minimiser, the run of 3 words with the least hash in
-it. Consecutive windows with one minimiser travel as one packed string to the bucket
-of that minimiser, and in the bucket windows are sorted and equal neighbours found
-by comparing their bytes.
-
-A minimiser that a sample shows to have more runs than a task can hold (a passage
-that many documents share) is no bucket. Its windows go apart instead, each by its own 128-bit
-digest: grouped minima with map-side combining, joined back to the windows.
+Every window of 13 words has a minimiser, the run of 4 words with the least hash in
+it, and consecutive windows with one minimiser are a super-k-mer.
+
+1. Minimisers that occur once in the corpus are dropped by their hashes.
+2. Super-k-mers that are equal whole are counted by a digest with map-side combining:
+   all but those in the smallest document are repeated throughout, and those stand
+   for all.
+3. Where a minimiser has several different super-k-mers, those of each travel as a
+   packed string to the minimiser's bucket, where windows are sorted and equal
+   neighbours found by comparing their bytes.
+
+A minimiser with more different super-k-mers than a task should hold is no bucket:
+their windows go apart, each by its own 128-bit digest, with grouped minima joined
+back to the windows.
 """
 
 from __future__ import annotations
@@ -23,10 +29,10 @@ from pyspark.sql import functions as F
 from . import common
 from . import shingles as sh
 
-WINDOW, GRAM = 13, 3
-SAMPLE, HOT_MOST = 32, 4096  # one of 32 documents is looked at for hot minimisers
-HOT_ROWS = 100_000  # runs of a minimiser that are more than a task should hold
+WINDOW, GRAM = 13, 4
+HOT_ROWS = 50_000  # different runs of a minimiser that are more than a task should hold
 
+_RUN = "key long, pack long, doc_id long, tid long, start int, n int"
 _COLD = "key long, packed binary, doc_id long, tid long, start int"
 _HOT = "w1 long, w2 long, doc_id long, tid long, start int"
 _SPAN = "doc_id long, tid long, start int, n int"
@@ -56,27 +62,9 @@ def _runs(texts: list[bytes], window: int, gram: int):
     return flat, starts, ends, doc[first], first - begin[doc[first]], first, last - first, g[best[first]].view(np.int64)
 
 
-def _cold(window: int, gram: int, hot: np.ndarray):
-    def run(batches):
-        for b in batches:
-            ids, texts, tid = b.column(0), b.column(1).cast(pa.binary()).to_pylist(), b.column(2)
-            for lo, hi in sh.batches_of(texts):
-                found = _runs(texts[lo:hi], window, gram)
-                if found is None:
-                    continue
-                flat, starts, ends, own, start, first, n, key = found
-                on = np.flatnonzero(~np.isin(key, hot)) if len(hot) else np.arange(len(key))
-                at, to = starts[first[on]], ends[first[on] + n[on] + window - 2]
-                packed = [flat[x:y] for x, y in zip(at.tolist(), to.tolist(), strict=True)]
-                yield pa.record_batch(
-                    [pa.array(key[on]), pa.array(packed, pa.binary()), ids[lo:hi].take(pa.array(own[on])), tid[lo:hi].take(pa.array(own[on])), pa.array(start[on], pa.int32())],
-                    names=["key", "packed", "doc_id", "tid", "start"],
-                )
-
-    return run
-
+def _run_rows(window: int, gram: int):
+    """A row a super-k-mer: its minimiser, a digest of its words, and its place."""
 
-def _hot(window: int, gram: int, hot: np.ndarray):
     def run(batches):
         for b in batches:
             ids, texts, tid = b.column(0), b.column(1).cast(pa.binary()).to_pylist(), b.column(2)
@@ -85,28 +73,39 @@ def _hot(window: int, gram: int, hot: np.ndarray):
                 if found is None:
                     continue
                 flat, starts, ends, own, start, first, n, key = found
-                on = np.flatnonzero(np.isin(key, hot))
-                of = np.repeat(on, n[on])
-                step = np.arange(len(of)) - np.repeat(np.cumsum(n[on]) - n[on], n[on])
-                at, to = starts[first[of] + step], ends[first[of] + step + window - 1]
-                dig = b"".join(xxhash.xxh3_128_digest(flat[x:y]) for x, y in zip(at.tolist(), to.tolist(), strict=True))
-                two = np.frombuffer(dig, np.int64).reshape(-1, 2)
+                at, to = starts[first].tolist(), ends[first + n + window - 2].tolist()
+                pack = np.array([xxhash.xxh3_64_intdigest(flat[x:y]) for x, y in zip(at, to, strict=True)], np.uint64)
+                own = pa.array(own)
                 yield pa.record_batch(
-                    [pa.array(two[:, 0]), pa.array(two[:, 1]), ids[lo:hi].take(pa.array(own[of])), tid[lo:hi].take(pa.array(own[of])), pa.array((start[of] + step).astype(np.int32))],
-                    names=["w1", "w2", "doc_id", "tid", "start"],
+                    [pa.array(key), pa.array(pack.view(np.int64)), ids[lo:hi].take(own), tid[lo:hi].take(own), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
+                    names=["key", "pack", "doc_id", "tid", "start", "n"],
                 )
 
     return run
 
 
-def _minimisers(window: int, gram: int):
+def _strings(window: int, apart: bool):
+    """(doc_id, text, tid, runs) to the runs as packed strings, or with `apart` to the
+    windows of those under hot minimisers."""
+
     def run(batches):
         for b in batches:
-            texts = b.column(0).cast(pa.binary()).to_pylist()
-            for lo, hi in sh.batches_of(texts):
-                found = _runs(texts[lo:hi], window, gram)
-                if found is not None:
-                    yield pa.record_batch([pa.array(found[7])], names=["key"])
+            for i in range(b.num_rows):
+                runs = [r for r in b.column(3)[i].as_py() if r["hot"] == apart]
+                if not runs:
+                    continue
+                words = b.column(1)[i].as_py().encode().split()
+                doc, tid = b.column(0)[i].as_py(), b.column(2)[i].as_py()
+                if apart:
+                    at = [p for r in runs for p in range(r["start"], r["start"] + r["n"])]
+                    dig = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(words[p : p + window])) for p in at), np.int64).reshape(-1, 2)
+                    head, names = [pa.array(dig[:, 0]), pa.array(dig[:, 1])], ["w1", "w2"]
+                else:
+                    at = [r["start"] for r in runs]
+                    packed = [b" ".join(words[r["start"] : r["start"] + r["n"] + window - 1]) for r in runs]
+                    head, names = [pa.array([r["key"] for r in runs]), pa.array(packed, pa.binary())], ["key", "packed"]
+                tail = [pa.array([doc] * len(at), pa.int64()), pa.array([tid] * len(at), pa.int64()), pa.array(at, pa.int32())]
+                yield pa.record_batch(head + tail, names=[*names, "doc_id", "tid", "start"])
 
     return run
 
@@ -217,15 +216,24 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     or in rows under one doc_id, don't count.
     """
     base = _base(docs, id_col, text_col)
-    sample = base.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
-    top = sample.mapInArrow(_minimisers(window, gram), "key long").groupBy("key").count()
-    top = top.filter(F.col("count") * SAMPLE > HOT_ROWS).orderBy(F.desc("count"), "key").limit(HOT_MOST)
-    hot = np.array(sorted(r["key"] for r in top.collect()), np.int64)  # at most HOT_MOST keys
-    cold = base.mapInArrow(_cold(window, gram, hot), _COLD).repartition("key").sortWithinPartitions("key", "packed")
-    found = cold.mapInArrow(_bucket(window), _SPAN)
-    if len(hot):
-        apart = base.mapInArrow(_hot(window, gram, hot), _HOT)
-        order = F.coalesce("doc_id", F.lit(_LAST))
+    order = F.coalesce("doc_id", F.lit(_LAST))
+    runs = base.mapInArrow(_run_rows(window, gram), _RUN)
+    many = runs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    again = common.kept_in_store(runs.join(many, "key"))
+    packs = common.kept_in_store(again.groupBy("key", "pack").agg(F.min(order).alias("least")))
+    placed = again.join(packs, ["key", "pack"])
+    done = placed.filter(order > F.col("least")).select("doc_id", "tid", "start", "n")
+
+    kinds = packs.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    kinds = common.kept_in_store(kinds.select("key", (F.col("kinds") > HOT_ROWS).alias("hot")))
+    one = placed.filter(order == F.col("least")).join(kinds, "key")
+    open_ = one.groupBy(F.col("doc_id").alias("d"), F.col("tid").alias("t")).agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("runs"))
+    at = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t"))
+    asked = base.join(open_, at).select("doc_id", "text", "tid", "runs")
+    cold = asked.mapInArrow(_strings(window, False), _COLD).repartition("key").sortWithinPartitions("key", "packed")
+    found = done.unionByName(cold.mapInArrow(_bucket(window), _SPAN))
+    if not kinds.filter("hot").isEmpty():
+        apart = asked.mapInArrow(_strings(window, True), _HOT)
         least = apart.groupBy("w1", "w2").agg(F.min(order).alias("least"), F.max(order).alias("most")).filter("least < most")
         more = apart.join(least.select("w1", "w2", "least"), ["w1", "w2"]).filter(order > F.col("least"))
         found = found.unionByName(more.select("doc_id", "tid", "start", F.lit(1).alias("n")))

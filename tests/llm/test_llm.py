@@ -31,6 +31,8 @@ def rows():
         if i % 5 == 0:
             t = base + " " + words(rng, i % 3 * 8)
         out.append((i, t, "en" if i % 2 else "de", f"src{i % 6}"))
+    again = words(rng, 40)
+    out += [(50, again + " x " + again, "en", "src1"), (45, "y " + " ".join(again.split()[3:33]), "en", "src1")]
     out += [(40, None, None, None), (41, "", "en", "src1"), (42, " \t ", "en", "x"), (43, out[3][1], "en", "src1"), (44, words(rng, 6000), "en", "src2"), (None, out[4][1], "en", "src3")]
     out += [out[7], ] * 2  # a repeated row
     return out
@@ -79,7 +81,6 @@ def plain_windows(rows, w=13):
 def test_substring_dedup(docs, rows, monkeypatch):
     assert got(superkmers.substring_dedup(docs)) == plain_windows(rows)
     monkeypatch.setattr(superkmers, "HOT_ROWS", 0)
-    monkeypatch.setattr(superkmers, "SAMPLE", 1)
     assert got(superkmers.substring_dedup(docs)) == plain_windows(rows)
 
 
