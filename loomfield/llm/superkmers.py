@@ -62,6 +62,20 @@ def _runs(texts: list[bytes], window: int, gram: int):
     return flat, starts, ends, doc[first], first - begin[doc[first]], first, last - first, g[best[first]].view(np.int64)
 
 
+def _run_keys(window: int, gram: int):
+    """Only the minimisers of the super-k-mers, for the first count."""
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(0).cast(pa.binary()).to_pylist()
+            for lo, hi in sh.batches_of(texts):
+                found = _runs(texts[lo:hi], window, gram)
+                if found is not None:
+                    yield pa.record_batch([pa.array(found[-1])], names=["key"])
+
+    return run
+
+
 def _run_rows(window: int, gram: int):
     """A row a super-k-mer: its minimiser, a digest of its words, and its place."""
 
@@ -218,8 +232,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = _base(docs, id_col, text_col)
     order = F.coalesce("doc_id", F.lit(_LAST))
     runs = base.mapInArrow(_run_rows(window, gram), _RUN)
-    many = runs.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    again = common.kept_in_store(runs.join(many, "key"))
+    keys = base.select("text").mapInArrow(_run_keys(window, gram), "key long")
+    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    again = common.written(runs.join(many, "key"))
     packs = common.kept_in_store(again.groupBy("key", "pack").agg(F.min(order).alias("least")))
     placed = again.join(packs, ["key", "pack"])
     done = placed.filter(order > F.col("least")).select("doc_id", "tid", "start", "n")
