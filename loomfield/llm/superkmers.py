@@ -145,7 +145,7 @@ def _bucket(window: int, most: int = 8 << 20):
         h = sh.combine(sh.word_hashes(np.frombuffer(flat, np.uint8), begin), window)
         at = np.flatnonzero(own[: len(h)] == own[window - 1 :])
         value = h[at]
-        doc = np.array([_LAST if ids[i] is None else ids[i] for i in on], np.int64)[own[at]]
+        doc = np.array([ids[i] for i in on], np.int64)[own[at]]
         order = np.lexsort((doc, value))
         at, value, doc = at[order], value[order], doc[order]
         same = np.zeros(len(value), bool)
@@ -226,31 +226,31 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, tid, start, n): runs of n windows from word `start` of a document that
     also start in a document with a smaller doc_id; tid is a digest of its text.
 
-    A null doc_id comes after all others. Windows that repeat in one document only,
-    or in rows under one doc_id, don't count.
+    A null doc_id comes after all others and is returned as the largest long. Windows
+    that repeat in one document only, or in rows under one doc_id, don't count.
     """
     base = _base(docs, id_col, text_col)
-    order = F.coalesce("doc_id", F.lit(_LAST))
-    runs = base.mapInArrow(_run_rows(window, gram), _RUN)
+    runs = base.select("place", "text", "tid").mapInArrow(_run_rows(window, gram), _RUN)
     keys = base.select("text").mapInArrow(_run_keys(window, gram), "key long")
     many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     again = common.written(runs.join(many, "key"))
-    packs = common.kept_in_store(again.groupBy("key", "pack").agg(F.min(order).alias("least")))
+    packs = common.kept_in_store(again.groupBy("key", "pack").agg(F.min("doc_id").alias("least")))
     placed = again.join(packs, ["key", "pack"])
-    done = placed.filter(order > F.col("least")).select("doc_id", "tid", "start", "n")
+    done = placed.filter("doc_id > least").select("doc_id", "tid", "start", "n")
 
     kinds = packs.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     kinds = common.kept_in_store(kinds.select("key", (F.col("kinds") > HOT_ROWS).alias("hot")))
-    one = placed.filter(order == F.col("least")).join(kinds, "key")
-    open_ = one.groupBy(F.col("doc_id").alias("d"), F.col("tid").alias("t")).agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("runs"))
-    at = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t"))
-    asked = base.join(open_, at).select("doc_id", "text", "tid", "runs")
+    # not an equality, which would become a join key and shuffle the runs once more
+    one = placed.filter("doc_id <= least").join(kinds, "key")
+    open_ = one.groupBy(F.col("doc_id").alias("place"), "tid").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("runs"))
+    # doc_id goes along unused: with it, this is the shuffle of texts that the trimming makes
+    asked = base.join(open_, ["place", "tid"]).select("place", "text", "tid", "runs", "doc_id")
     cold = asked.mapInArrow(_strings(window, False), _COLD).repartition("key").sortWithinPartitions("key", "packed")
     found = done.unionByName(cold.mapInArrow(_bucket(window), _SPAN))
     if not kinds.filter("hot").isEmpty():
         apart = asked.mapInArrow(_strings(window, True), _HOT)
-        least = apart.groupBy("w1", "w2").agg(F.min(order).alias("least"), F.max(order).alias("most")).filter("least < most")
-        more = apart.join(least.select("w1", "w2", "least"), ["w1", "w2"]).filter(order > F.col("least"))
+        least = apart.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
+        more = apart.join(least.select("w1", "w2", "least"), ["w1", "w2"]).filter("doc_id > least")
         found = found.unionByName(more.select("doc_id", "tid", "start", F.lit(1).alias("n")))
     return found
 
@@ -264,14 +264,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smaller ids only. No rows in, no rows out. Other columns are ignored.
     """
     spans = repeated_windows(docs, id_col, text_col)
-    by_doc = spans.groupBy(F.col("doc_id").alias("d"), F.col("tid").alias("t")).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+    by_doc = spans.groupBy(F.col("doc_id").alias("place"), "tid").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     base = _base(docs, id_col, text_col)
-    on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t"))
-    return base.join(by_doc, on, "left").select("doc_id", "text", "spans").mapInArrow(_trim, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return base.join(by_doc, ["place", "tid"], "left").select("doc_id", "text", "spans").mapInArrow(_trim, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return common.id_text(docs, id_col, text_col).withColumn("tid", F.xxhash64("text"))
+    """doc_id, text, a digest of the text, and the place among the documents: doc_id,
+    or the largest long for null, so that joins need no null-safe key."""
+    return common.id_text(docs, id_col, text_col).withColumns({"tid": F.xxhash64("text"), "place": F.coalesce("doc_id", F.lit(_LAST))})
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
