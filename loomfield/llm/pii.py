@@ -4,8 +4,8 @@ Base spans come from the text as it stands. Then a transducer rewrites the text
 a source offset for each character it puts out (homoglyphs and full-width forms to
 ASCII, runs of spelled digits to digits, bracketed or paired "at" and "dot" to their
 signs), identifiers are looked for in what it wrote, and their spans go back to the
-source through the offsets. Found spans that no base span of their kind touches are
-added.
+source through the offsets. Found spans that no base span of their kind touches, or
+that are longer than the base spans they touch and contain them, are added.
 """
 
 from __future__ import annotations
@@ -91,7 +91,8 @@ _PLUS = re.compile(r"(?i)\bplus[\x20-]+(?=[0-9])")
 _SIGN = re.compile(r"(?i)\x20?[\[({<]\x20?(at|dot|@|\.)\x20?[\])}>]\x20?")
 _PAIRED = re.compile(r"(?i)\b[A-Za-z0-9._%+-]{1,64}(\x20at\x20)[A-Za-z0-9-]{1,63}(?:(?:\x20dot\x20|\.)[A-Za-z0-9-]{1,63}){0,8}?(?:\x20dot\x20)[A-Za-z0-9-]{1,63}")
 _DOT = re.compile(r"(?i)\x20dot\x20")
-_HINT = re.compile(rf"(?i)[\[({{<]\x20?(?:at|dot)\b|\x20at\x20[a-z0-9-]+\x20dot\x20|\b{_WORD}[\x20,-]+{_WORD}[\x20,-]+{_WORD}\b")
+# What no match of _SIGN is without; quicker to look for.
+_SIGN_HINT = re.compile(r"(?i)[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]")
 
 
 class Tape:
@@ -122,11 +123,8 @@ class Tape:
 
 def deobfuscate(t: str) -> Tape | None:
     """The rewritten text, or None where nothing is to be rewritten."""
-    odd = not t.isascii() and _ODD.search(t)
-    if not odd and not _HINT.search(t):
-        return None
     tape = Tape(t)
-    if odd:
+    if not t.isascii():
         tape.rewrite([(m.start(), m.end(), _PLAIN[ord(m[0])]) for m in _ODD.finditer(t)])
     runs = []
     for m in _SPELLED_RUN.finditer(tape.text):
@@ -134,14 +132,19 @@ def deobfuscate(t: str) -> Tape | None:
         if len(parts) >= 3:
             runs.append((m.start(), m.end(), "".join(SPELLED.get(p.lower(), p) for p in parts)))
     tape.rewrite(runs)
-    tape.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)])
-    tape.rewrite([(m.start(), m.end(), {"at": "@", "dot": "."}.get(m[1].lower(), m[1])) for m in _SIGN.finditer(tape.text)])
+    # each rule is run where its text has what none of its matches is without; a long s counts as an s in any case
+    low = tape.text.lower()
+    if "plus" in low or "pluſ" in low:
+        tape.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)])
+    if _SIGN_HINT.search(tape.text):
+        tape.rewrite([(m.start(), m.end(), {"at": "@", "dot": "."}.get(m[1].lower(), m[1])) for m in _SIGN.finditer(tape.text)])
     edits = []
-    for m in _PAIRED.finditer(tape.text):
-        edits.append((m.start(1), m.end(1), "@"))
-        edits += [(x.start(), x.end(), ".") for x in _DOT.finditer(tape.text, m.end(1), m.end())]
+    if " at " in low and " dot " in low:
+        for m in _PAIRED.finditer(tape.text):
+            edits.append((m.start(1), m.end(1), "@"))
+            edits += [(x.start(), x.end(), ".") for x in _DOT.finditer(tape.text, m.end(1), m.end())]
     tape.rewrite(edits)
-    return tape
+    return tape if tape.text is not t else None
 
 
 def spans(t: str) -> tuple[list, list]:
@@ -155,8 +158,11 @@ def spans(t: str) -> tuple[list, list]:
             starts = [a for a, _ in own]
             for a, b in FINDERS[kind](tape.text):
                 a, b = tape.source(a, b)
-                i = bisect_left(starts, b)
-                if not (i and own[i - 1][1] > a):  # no base span of this kind touches it
+                i = j = bisect_left(starts, b)
+                while j and own[j - 1][1] > a:
+                    j -= 1
+                met = own[j:i]  # base spans of this kind that touch it
+                if not met or (a <= met[0][0] and met[-1][1] <= b and met != [(a, b)]):
                     more.append((a, k, b))
     base.sort()
     return base, sorted(base + more)

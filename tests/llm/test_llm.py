@@ -229,3 +229,18 @@ def test_pipeline_stages_keep_columns(spark, docs):
         out = stage(spark, small, "")
         assert out.columns == small.columns, name
         assert out.count() > 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("user[@]example[.]com", "email:0:20"),
+        ("jane at mail.site dot org", "email:0:25"),
+        ("plus 1 212 555 0199", "phone:0:19"),
+        ("card four one 11 one 1111 one 111 one 1 one", "card:5:43"),
+        ("john@mail.exаmple.com", "email:0:12,email:0:21"),
+        ("john@mail.example.com", "email:0:21"),
+    ],
+)
+def test_pii_rules_need_no_other_disguise(text, want):
+    assert pii._join(pii.spans(text)[1]) == want
