@@ -23,13 +23,14 @@ from . import common
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Tokens that the battery looks at, if they hold a digit.
+#: Tokens that the battery looks at.
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 # Alphabets of the encodings, in order; "+/" and "-_" are one pair.
 HEX_DIGITS = "0123456789abcdef"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-ENCODINGS = (("hex", HEX_DIGITS), ("base32", BASE32), ("base64", BASE64))
+#: A token is of the first one that has all its symbols.
+ENCODINGS = (("hex", HEX_DIGITS), ("upper hex", HEX_DIGITS.upper()), ("base32", BASE32), ("lower base32", BASE32.lower()), ("base64", BASE64))
 RATE, BINS = 0.05, 60
 CLASSES = (24, 32, 48, 64)  # lengths at which a new length class begins
 
@@ -72,10 +73,10 @@ def _statistics(t: Column, alphabet: str) -> Column:
     p_chi = _normal_tail((F.pow(F.greatest(chi, F.lit(0.0)) / (k - 1), 1 / 3) - (1 - v)) / v**0.5)
     x = F.transform(F.split(t, ""), lambda c: (F.instr(F.lit(alphabet), c) - 1).cast("double"))
     high = F.transform(x, lambda v: (v >= k / 2).cast("int"))
-    turns = F.aggregate(F.zip_with(F.slice(high, 2, 10**6), F.slice(high, 1, F.size(high) - 1), lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, d: s + d)
+    turns = F.aggregate(F.zip_with(F.slice(high, F.lit(2), F.length(t) - 1), F.slice(high, F.lit(1), F.length(t) - 1), lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, d: s + d)
     p_runs = 2 * _normal_tail(F.abs(turns - (n - 1) / 2) / F.sqrt((n - 1) / 4))
     mean, var = (k - 1) / 2, (k * k - 1) / 12
-    pairs = F.zip_with(F.slice(x, 2, 10**6), F.slice(x, 1, F.size(x) - 1), lambda a, b: (a - mean) * (b - mean))
+    pairs = F.zip_with(F.slice(x, F.lit(2), F.length(t) - 1), F.slice(x, F.lit(1), F.length(t) - 1), lambda a, b: (a - mean) * (b - mean))
     p_serial = 2 * _normal_tail(F.abs(F.aggregate(pairs, F.lit(0.0), lambda s, d: s + d)) / (var * F.sqrt(n - 1)))
     p = F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
     return F.struct((chi / (k - 1)).alias("chi"), p.alias("p"))
@@ -85,8 +86,9 @@ def _judged(m: Column) -> Column:
     """struct<start, stop, cls, bin>: a token's class (encoding and length) and the bin
     of its p-value on a logarithmic scale; symbols in URL form count as standard ones."""
     t = F.translate(m["m"], "-_", "+/")
-    encoding = F.when(F.translate(t, HEX_DIGITS, "") == "", 0).when(F.translate(t, BASE32, "") == "", 1).otherwise(2)
-    stats = F.when(encoding == 0, _statistics(t, HEX_DIGITS)).when(encoding == 1, _statistics(t, BASE32)).otherwise(_statistics(t, BASE64))
+    last = len(ENCODINGS) - 1
+    encoding = F.coalesce(*(F.when(F.translate(t, a, "") == "", i) for i, (_, a) in enumerate(ENCODINGS[:last])), F.lit(last))
+    stats = F.coalesce(*(F.when(encoding == i, _statistics(t, a)) for i, (_, a) in enumerate(ENCODINGS)))
     length = reduce(lambda a, b: a + b, [(F.length(t) >= c).cast("int") for c in CLASSES])
     level = F.least(F.lit(BINS - 1), F.floor(-4 * F.log10(F.greatest(stats["p"], F.lit(1e-15)))).cast("int"))
     return F.struct(m["start"].alias("start"), m["stop"].alias("stop"), (encoding * 10 + length).alias("cls"), level.alias("bin"), stats["chi"].alias("chi"))
@@ -124,8 +126,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = common.id_text(docs, id_col, text_col)
     for name, pattern, group in (("k0", ASSIGN, 2), ("k1", ACCESS, 0), ("k2", HEX, 0), ("raw", TOKEN, 0)):
         found = placed(found, name, pattern, group)
-    kept = {"k0": F.filter("k0", lambda m: F.length(m["m"]) >= 6), "raw": F.filter("raw", lambda m: m["m"].rlike("[0-9]"))}
-    found = found.select("doc_id", kept["k0"].alias("k0"), "k1", "k2", kept["raw"].alias("raw"))
+    found = found.select("doc_id", F.filter("k0", lambda m: F.length(m["m"]) >= 6).alias("k0"), "k1", "k2", "raw")
     spans = F.concat(*(_tagged(f"k{i}", i) for i in range(3)))
     found = found.select("doc_id", F.array_sort(spans).alias("base"), *(F.size(f"k{i}").cast("long").alias(n) for i, n in enumerate(("n_assign", "n_access", "n_hex"))), "raw")
     apart = F.filter("raw", lambda m: ~F.exists("base", lambda s: (s["start"] < m["stop"]) & (m["start"] < s["stop"])))

@@ -244,3 +244,13 @@ def test_pipeline_stages_keep_columns(spark, docs):
 )
 def test_pii_rules_need_no_other_disguise(text, want):
     assert pii._join(pii.spans(text)[1]) == want
+
+
+def test_secrets_of_every_encoding_and_length(spark):
+    rng = random.Random(7)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    texts = ["key " + draw(randomness.HEX_DIGITS.upper(), 64), "key " + draw(randomness.BASE32.lower(), 52), "key fQxWzLrTbNvKhGsYpDmJcZa", "key internationalizationally-minded"]
+    out = {r.doc_id: r.spans for r in randomness.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {0: "random:4:68", 1: "random:4:56", 2: "random:4:27", 3: ""}
+    long = spark.createDataFrame([(randomness.BASE64 * 16_000,)], "t string")  # in the alphabet's order: only the other two tests see that
+    assert long.select(randomness._statistics(long.t, randomness.BASE64)["p"].alias("p")).first().p < 0.001
