@@ -1,12 +1,14 @@
 """Best-fit packing by bin completion.
 
 Documents become token ids, longer ones are cut into full pieces, and pieces of less
-than a full sequence are packed in groups of a bounded number of pieces. In a group
-the largest piece opens a sequence and the best filling of what is left of it is
-searched: fillings are listed from the largest pieces down, one that a larger single
-piece dominates or that can't waste less than the best so far is cut off, and the
-best-fit filling is the first incumbent. The group's plain best-fit packing is the
-incumbent of the whole: it is kept where bin completion has no fewer sequences.
+than a full sequence are packed in groups of a bounded number of pieces. A group is a
+depth-first branch and bound: at each level the largest piece left opens a sequence,
+and the branches are the fillings of what is left of it, first the one of a short
+search for little waste, then every filling from the largest pieces down that no other
+dominates. The group's plain best-fit packing is the first incumbent. A branch is cut
+off where its waste so far leaves no packing with fewer sequences than the incumbent.
+The search ends with its tree, at the bound ceil(tokens / sequence), or after NODES
+steps; the first two prove that no packing has fewer sequences.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ GROUP = 8192  # pieces that are packed together
 CACHE = 400_000  # words, and parts of words, whose ids a worker remembers
 # Fixed value: the tokenizer's own pattern of what is a unit of its own.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-WIDTH, LEVELS = 4, 3  # of the search for a filling
+WIDTH, LEVELS = 4, 3  # of the search for each level's first branch
+NODES = 100_000  # steps of a group's search; beyond them the best packing so far stands
+LEVEL_STEPS = 50  # what a level's first branch counts for
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -168,14 +172,11 @@ def _fill(stock: _Stock, room: int) -> list[int]:
     """A filling with little waste, searched from best-fit down."""
     best = _best_fit(stock, room)
     least = room - sum(best)
-    single = stock.largest(room)
 
     def search(room: int, chosen: list[int], level: int) -> None:
         nonlocal best, least
         n, tried = stock.largest(room), 0
         while n > 0 and tried < WIDTH and least:
-            if level == 1 and chosen[0] + room < single:
-                return  # whatever joins it is dominated by the one large piece
             stock.take(n)
             if level + 1 < LEVELS:
                 search(room - n, [*chosen, n], level + 1)
@@ -190,22 +191,105 @@ def _fill(stock: _Stock, room: int) -> list[int]:
     return best
 
 
-def pack_lengths(lengths: np.ndarray, sequence: int = SEQUENCE) -> list[list[int]]:
-    """Sequences as lists of lengths."""
-    found = []
-    for fill in (_best_fit, _fill):
-        stock, bins = _Stock(lengths, sequence), []
-        while stock.mask:
-            n = stock.largest(sequence)
+def _dominated(stock: _Stock, chosen: list[int], waste: int) -> bool:
+    """Whether one larger piece left can join, or take the place of one or two of the
+    chosen (chosen ones are out of the stock)."""
+    if stock.largest(waste) > 0:
+        return True
+    kinds = sorted(set(chosen))
+    if any(stock.largest(n + waste) > n for n in kinds):
+        return True
+    pairs = {a + b for i, a in enumerate(kinds) for b in kinds[i + 1 :]} | {2 * n for n in kinds if chosen.count(n) > 1}
+    return any(stock.largest(n + waste) >= n for n in pairs)
+
+
+def _fillings(stock: _Stock, room: int, most: int, steps: list[int]):
+    """All undominated fillings that waste `most` or less, from the largest pieces down;
+    stops where no steps are left. A filling's pieces are out of the stock only until
+    it is handed out."""
+    steps[0] -= LEVEL_STEPS
+    first = _fill(stock, room)
+    yield first if room - sum(first) <= most else None
+    chosen, left, upto = [], room, room
+    while steps[0] > 0:
+        steps[0] -= 1
+        n = stock.largest(min(left, upto))
+        if n > 0:
             stock.take(n)
-            rest = fill(stock, sequence - n)
-            for x in rest:
+            chosen.append(n)
+            left, upto = left - n, n
+            continue
+        if left <= most:
+            steps[0] -= len(chosen) ** 2 // 4  # what looking for dominance counts for
+        if left <= most and chosen != first and not _dominated(stock, chosen, left):
+            for x in chosen:
+                stock.back(x)
+            yield list(chosen)
+            for x in chosen:
                 stock.take(x)
-            bins.append([n, *rest])
-        found.append(bins)
-        if len(bins) * sequence - int(lengths.sum()) < sequence:
-            return bins  # no packing has fewer
-    return min(found, key=len)
+        if not chosen:
+            return
+        n = chosen.pop()  # the next branch is without another piece of this length
+        stock.back(n)
+        left, upto = left + n, n - 1
+    for x in chosen:
+        stock.back(x)
+
+
+def complete(lengths: np.ndarray, sequence: int = SEQUENCE, nodes: int = NODES) -> tuple[list[list[int]], bool]:
+    """Sequences as lists of lengths, and whether it is proven that none has fewer."""
+    stock, best = _Stock(lengths, sequence), []
+    total = int(lengths.sum())
+    bound = -(-total // sequence)
+    while stock.mask:
+        n = stock.largest(sequence)
+        stock.take(n)
+        rest = _best_fit(stock, sequence - n)
+        for x in rest:
+            stock.take(x)
+        best.append([n, *rest])
+    if len(best) <= bound:
+        return best, True
+    stock, steps = _Stock(lengths, sequence), [nodes]
+    bins: list[list[int]] = []
+    tree: list = []  # for each level: largest piece, its fillings, waste before
+    waste, down = 0, True
+    while True:
+        spare = (len(best) - 1) * sequence - total - waste  # waste that a packing with fewer sequences can still have
+        if down and not stock.mask:
+            best = list(bins)
+            if len(best) <= bound:
+                return best, True
+        elif down and spare >= 0:
+            n = stock.largest(sequence)
+            stock.take(n)
+            tree.append((n, _fillings(stock, sequence - n, spare, steps), waste))
+        if not tree:
+            return best, True
+        n, fillings, before = tree[-1]
+        if len(bins) == len(tree):  # what this level had last goes back
+            for x in bins.pop()[1:]:
+                stock.back(x)
+        waste = before
+        steps[0] -= 1
+        down = False
+        for filling in fillings:
+            if filling is not None and before + sequence - n - sum(filling) <= (len(best) - 1) * sequence - total:
+                for x in filling:
+                    stock.take(x)
+                bins.append([n, *filling])
+                waste, down = before + sequence - n - sum(filling), True
+                break
+        if steps[0] <= 0 and not down:
+            return best, False
+        if not down:
+            tree.pop()
+            stock.back(n)
+
+
+def pack_lengths(lengths: np.ndarray, sequence: int = SEQUENCE) -> list[list[int]]:
+    """Sequences as lists of lengths."""
+    return complete(lengths, sequence)[0]
 
 
 def _pack(sequence: int):

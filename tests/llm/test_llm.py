@@ -254,3 +254,36 @@ def test_secrets_of_every_encoding_and_length(spark):
     assert out == {0: "random:4:68", 1: "random:4:56", 2: "random:4:27", 3: ""}
     long = spark.createDataFrame([(randomness.BASE64 * 16_000,)], "t string")  # in the alphabet's order: only the other two tests see that
     assert long.select(randomness._statistics(long.t, randomness.BASE64)["p"].alias("p")).first().p < 0.001
+
+
+def fewest(lengths, room):
+    """By trying every place for every piece."""
+    best = len(lengths)
+
+    def put(i, left):
+        nonlocal best
+        if len(left) >= best:
+            return
+        if i == len(lengths):
+            best = len(left)
+            return
+        for k in {x: k for k, x in enumerate(left) if x >= lengths[i]}.values():
+            put(i + 1, [*left[:k], left[k] - lengths[i], *left[k + 1 :]])
+        put(i + 1, [*left, room - lengths[i]])
+
+    put(0, [])
+    return best
+
+
+def test_bin_completion_backtracks_to_the_optimum():
+    bins, proven = packing.complete(np.array([52, 51, 50, 32, 30, 28, 20, 19, 18]), 100)
+    assert len(bins) == 3 and proven
+    rng = random.Random(11)
+    for _ in range(150):
+        lengths = sorted((rng.randrange(8, 60) for _ in range(rng.randrange(1, 12))), reverse=True)
+        bins, proven = packing.complete(np.array(lengths), 100)
+        assert proven and len(bins) == fewest(lengths, 100)
+        assert sorted((x for b in bins for x in b), reverse=True) == lengths and all(sum(b) <= 100 for b in bins)
+    lengths = np.array([rng.randrange(30, 60) for _ in range(200)])
+    bins, proven = packing.complete(lengths, 100, nodes=50)
+    assert not proven and sorted(x for b in bins for x in b) == sorted(lengths.tolist())
