@@ -32,13 +32,16 @@ def source_domain(source: Column) -> Column:
     return F.when(number == "", NONE).otherwise(F.concat(F.lit("d"), (number.cast("int") % 4).cast("string")))
 
 
+def _weight(level: str, weights: dict[str, int]) -> Column:
+    return (F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col(level)], F.lit(1)) if weights else F.lit(1)).cast("long")
+
+
 def _shared(nodes: DataFrame, parent: list[str], level: str, weights: dict[str, int]) -> DataFrame:
     """Adds `budget` to nodes (parent columns, level, cap, above): the parent's budget
     `above` filled in by weight, no child over its cap."""
-    w = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col(level)], F.lit(1)) if weights else F.lit(1)
     by = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
     order = by.orderBy(F.col("cap") / F.col("w"), level).rowsBetween(Window.unboundedPreceding, -1)
-    n = nodes.withColumn("w", w.cast("long"))
+    n = nodes.withColumn("w", _weight(level, weights))
     n = n.withColumns({"all_w": F.sum("w").over(by), "w_before": F.coalesce(F.sum("w").over(order), F.lit(0)), "c_before": F.coalesce(F.sum("cap").over(order), F.lit(0))})
     left, free = F.col("above") - F.col("c_before"), F.col("all_w") - F.col("w_before")
     n = n.withColumn("full", F.col("cap").cast(_BIG) * free.cast("decimal(18,0)") <= left.cast(_BIG) * F.col("w").cast("decimal(18,0)"))
@@ -61,6 +64,19 @@ def leaf_budgets(leaves: DataFrame, budget: int, weights: dict, levels: tuple =
     return leaves.join(above, list(levels))
 
 
+def covering_budget(leaves: DataFrame, weights: dict, levels: tuple = LEVELS) -> int:
+    """The least total, in whole units of weight, at which each leaf's budget holds all
+    its tokens: from the leaves up, siblings get as much for each unit of weight as the
+    neediest of them needs, and none gets more than its cap."""
+    nodes = leaves.select(*levels, "cap", F.col("tokens").alias("need"))
+    for i in reversed(range(len(levels))):
+        parent = list(levels[:i])
+        nodes = nodes.withColumn("w", _weight(levels[i], weights.get(levels[i], {})))
+        unit = F.max(F.expr("(need + w - 1) div w")).over(Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0)))
+        nodes = nodes.withColumn("got", F.least("cap", F.col("w") * unit)).groupBy(*parent).agg(F.sum("cap").alias("cap"), F.sum("got").alias("need"))
+    return nodes.first()["need"] or 0
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -68,7 +84,7 @@ def mix_sources(
     lang_col: str = "lang",
     source_col: str = "source",
     domain: Column | None = None,
-    share: float = SHARE,
+    share: float | None = SHARE,
     epochs: int = EPOCHS,
     seed: int = SEED,
     weights: dict | None = None,
@@ -79,7 +95,8 @@ def mix_sources(
     its leaf and the last one's prefix (cumulated tokens, the row's own included,
     within what is left of the leaf's budget); 0: not at all. Null lang or source are
     a node named `(none)`; null or empty text has 0 tokens and rides along where its
-    place in the order is within the prefix. Repeated rows are rows; of rows alike
+    place in the order is within the prefix. Without a share the total is the least one
+    at which every leaf is taken whole at least once. Repeated rows are rows; of rows alike
     under one doc_id the order is arbitrary. No rows in, no rows out. Other columns
     are ignored.
     """
@@ -94,7 +111,8 @@ def mix_sources(
     slim = common.kept_in_store(slim)
     leaves = common.kept_in_store(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")).withColumn("cap", F.col("tokens") * epochs))
     total = leaves.agg(F.sum("tokens"), F.sum("cap"), F.count(F.lit(1))).first()
-    plan = leaf_budgets(leaves, min(int((total[0] or 0) * share), total[1] or 0), weights)
+    wanted = covering_budget(leaves, weights) if share is None else int((total[0] or 0) * share)
+    plan = leaf_budgets(leaves, min(wanted, total[1] or 0), weights)
     plan = common.kept_in_store(plan.select(*LEVELS, "tokens", "budget"))
     if total[2] <= BROADCAST_LEAVES:
         plan = F.broadcast(plan)

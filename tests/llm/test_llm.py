@@ -287,3 +287,14 @@ def test_bin_completion_backtracks_to_the_optimum():
     lengths = np.array([rng.randrange(30, 60) for _ in range(200)])
     bins, proven = packing.complete(lengths, 100, nodes=50)
     assert not proven and sorted(x for b in bins for x in b) == sorted(lengths.tolist())
+
+
+def test_pipeline_mixture_keeps_and_repeats(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    rows = [(i, words(rng, rng.randrange(1, 80)), rng.choice(["en", "en", "de", "es", "xx"]), f"src{rng.choice([0, 0, 0, 1, 2, 3, 7])}", 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = Counter(r.doc_id for r in corpus_pipeline.mixing_stage(spark, docs, "").collect())
+    assert set(out) == {r[0] for r in rows} and set(out.values()) == {1, 2}
+    assert all(r.copies >= 1 and r.leaf_budget > 0 for r in mixing.mix_sources(docs, share=None).collect())
