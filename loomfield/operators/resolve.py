@@ -254,10 +254,14 @@ def infer_scope(docs: DataFrame, roles: DataFrame, states: DataFrame) -> DataFra
 def shortlist(phrases: DataFrame, catalog: DataFrame, cap: int = 60) -> DataFrame:
     """(doc_id, rank, id): records that share a word with a phrase and its scope, then
     that share a word, then the rest in load order, `cap` at most. The rest is the
-    catalog's first `cap` records, as no later one can come in."""
+    catalog's first `cap` records, as no later one can come in; for the same reason the
+    first `cap` records of a word, and of a word in a scope, are all that it can bring."""
     words = phrases.select("doc_id", "scope", F.explode(tokens(F.col("phrase"))).alias("w")).distinct()
-    rec = catalog.select("id", "ord", F.col("scope").alias("rs"), F.explode(tokens(F.col("name"))).alias("w"))
-    near = words.join(rec, "w").groupBy("doc_id", "id", "ord").agg(F.max(F.col("scope").eqNullSafe(F.col("rs")).cast("int")).alias("in_scope")).select("doc_id", "id", "ord", F.when(F.col("in_scope") == 1, 0).otherwise(1).alias("class"))
+    rec = catalog.select("id", "ord", F.col("scope").alias("rs"), F.explode(tokens(F.col("name"))).alias("w")).distinct()
+    first = lambda *by: rec.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("ord", "id"))).filter(F.col("_n") <= cap).drop("_n")
+    in_scope = words.join(first("w", "rs").withColumnRenamed("w", "rw"), (F.col("w") == F.col("rw")) & F.col("scope").eqNullSafe(F.col("rs"))).drop("rw")
+    near = words.join(first("w"), "w").unionByName(in_scope)
+    near = near.groupBy("doc_id", "id", "ord").agg(F.max(F.col("scope").eqNullSafe(F.col("rs")).cast("int")).alias("in_scope")).select("doc_id", "id", "ord", F.when(F.col("in_scope") == 1, 0).otherwise(1).alias("class"))
     head = catalog.orderBy("ord").limit(cap).select(F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("h"))  # cap rows
     rest = phrases.select("doc_id").distinct().join(F.broadcast(head), F.lit(True)).select("doc_id", F.explode("h").alias("x")).select("doc_id", "x.id", "x.ord", F.lit(2).alias("class"))
     every = near.unionByName(rest).groupBy("doc_id", "id").agg(F.min("ord").alias("ord"), F.min("class").alias("class"))

@@ -168,3 +168,19 @@ def test_usage_cube_counts(spark):
     log = spark.sql("select timestamp '2024-01-01' ts, 'x' status, true ocr_used, 1L tokens, 0D duration_ms, cast(null as string) file_type union all select timestamp '2024-01-02', 'failed', false, 2L, 5D, 'pdf'")
     out = {(r.grouping, str(r.day), r.file_type): (r.jobs, r.avg_duration_ms) for r in rollup.usage_cube(log, "file_type").collect()}
     assert out[3, "None", None] == (2, 5.0) and out[1, "2024-01-01", None] == (1, 0.0) and out[2, "None", "unknown"] == (1, 0.0)
+
+
+def test_grade_picks_takes_every_phrase(spark, tmp_path):
+    from loomfield.plans import registry
+
+    names = ["red iron box", "red tin box", "blue iron lid", "green cup", "red cup", "blue box", "tin lid"]
+    parts = [(i, names[i % 7], f"Brand#{i % 3}", "T") for i in range(1, 64)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    out = {(r.doc_id, r.id) for r in registry.QUERIES["e18_grade_picks"](spark, str(tmp_path)).collect()}
+    words = {i: set(n.split()) for i, n, *_ in parts}
+    want = set()
+    for i, n, b, _ in parts:
+        order = sorted((0 if words[i] & words[j] and b == c else 1 if words[i] & words[j] else 2, j) for j, _, c, _ in parts)[:20]
+        first = {m: min(j for j, x, *_ in parts if x == m) for m in names}
+        want |= {(i, j) for rank, (_, j) in enumerate(order, 1) if parts[j - 1][2] == b and words[i] & words[j] and (rank >= 11 or first[n] == j)}
+    assert out == want and any(i % 10 for i, _ in out)
