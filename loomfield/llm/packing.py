@@ -13,11 +13,13 @@ steps; the first two prove that no packing has fewer sequences.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
 import sys
 import types
+import unicodedata
 import zlib
 
 import numpy as np
@@ -31,9 +33,26 @@ from .shingles import batches_of
 
 TOKENIZER, END_ID, SEQUENCE = "word_bpe_49k.json", 1, 4096
 GROUP = 8192  # pieces that are packed together
-CACHE = 400_000  # words, and parts of words, whose ids a worker remembers
+CACHE = 400_000  # parts of texts whose ids a worker remembers
 # Fixed value: the tokenizer's own pattern of what is a unit of its own.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+_PARTS = regex.compile(PARTS).findall
+# The same over ASCII and Latin letters to U+017F in lower case, where up to four
+# digits are looked up together; U+0130 is not there, as its lower case has two characters.
+_LATIN = re.compile("[\\t-\\r\\x20-\\x7e\\xa0-\u012f\u0131-\u017f\u2010-\u2027]*").fullmatch
+_LATIN_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f]+|[0-9]{1,4}|[\xb2\xb3\xb9\xbc-\xbe]|[^\\t-\\r \xa00-9a-z\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\u017f]+").findall
+
+
+@functools.cache
+def _unsure():
+    """Finds code points that are unassigned in Python's Unicode: there the tokenizer's
+    classes and those of `regex` can be of different versions."""
+    codes = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
+    edges = [c for c in codes if unicodedata.category(chr(max(c - 1, 0))) != "Cn"]
+    stops = [c for c in codes if c == sys.maxunicode or unicodedata.category(chr(c + 1)) != "Cn"]
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(edges, stops, strict=True)) + "]").search
+
+
 WIDTH, LEVELS = 4, 3  # of the search for each level's first branch
 NODES = 100_000  # steps of a group's search; beyond them the best packing so far stands
 LEVEL_STEPS = 50  # what a level's first branch counts for
@@ -41,12 +60,36 @@ LEVEL_STEPS = 50  # what a level's first branch counts for
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+# The byte alphabet of byte-level vocabularies. Bytes that print are
+# themselves, all others are numbered from 256 on.
+_PRINTS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_PRINTS)))}
+
+
+class Memory(dict):
+    """Ids of parts as little-endian bytes, each encoded when it is first asked for."""
+
+    def __init__(self, tok):
+        super().__init__()
+        self.model, self.pack = tok.model.tokenize, struct.Struct("<I").pack
+
+    def __missing__(self, part: str) -> bytes:
+        if "0" <= part[0] <= "9":
+            units = list(part)
+        else:
+            units = [part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)]
+        out = self[part] = b"".join([self.pack(t.id) for u in units for t in self.model(u)])
+        return out
+
+
 class Ids:
-    """Token ids of texts as little-endian bytes, with a memory of words and parts.
+    """Token ids of texts as little-endian bytes, with a memory of parts.
 
-    White space parts this tokenizer's words and its own pattern parts a word into
-    runs of letters, single digits and runs of signs, each a unit by itself. So new
-    words are normalised together, parted, and the new parts encoded as one text.
+    The tokenizer lower-cases and parts a text into runs of letters, single digits and
+    runs of signs, each encoded by itself, so a text's ids are those of its parts.
+    Texts in Latin letters (most of a European corpus) are parted by a character class
+    of the standard library, other ones by Unicode's own classes after the tokenizer's
+    normaliser, and what may be a special token's name goes to the tokenizer whole.
     """
 
     def __init__(self, path: str, most: int = CACHE):
@@ -54,59 +97,26 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
-        self.parts_of = regex.compile(PARTS).findall
-        self.other_space = re.compile(r"[^\S \n]").search
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        self.memory = Memory(self.tok)
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_parts(self, new: set[str]) -> None:
-        one = self.tok.model.tokenize  # its byte alphabet leaves ASCII as it is
-        pack = struct.Struct("<I").pack
-        plain = [p for p in new if p.isascii() and p.isprintable()]
-        self.parts.update((p, b"".join([pack(t.id) for t in one(p)])) for p in plain)
-        new = [p for p in new if not (p.isascii() and p.isprintable())]
-        if not new:
-            return
-        e = self.tok.encode(" ".join(new), add_special_tokens=False)
-        owner, ids = np.array(e.word_ids, np.int64), np.array(e.ids, "<u4")
-        if len(owner) and owner[-1] == len(new) - 1:
-            at = np.searchsorted(owner, np.arange(len(new) + 1)) * 4
-            raw = ids.tobytes()
-            self.parts.update((p, raw[x:y]) for p, x, y in zip(new, at.tolist(), at[1:].tolist(), strict=False))
+    def one(self, t: str) -> bytes:
+        if "<|" in t:
+            return self.plain(t)
+        if _LATIN(t):
+            parts = _LATIN_PARTS(t.lower())
+        elif _unsure()(t):
+            return self.plain(t)
         else:
-            self.parts.update((p, self.plain(p)) for p in new)
-
-    def _learn(self, new: list[str]) -> None:
-        normal = self.tok.normalizer.normalize_str(" ".join(new)).split(" ")
-        if len(normal) != len(new):
-            self.words.update((w, self.plain(w)) for w in new)
-            return
-        split = [(p,) if p.isalpha() else self.parts_of(p) for p in normal]
-        unknown = {p for parts in split for p in parts if p not in self.parts}
-        if unknown:
-            self._learn_parts(unknown)
-        known = self.parts
-        self.words.update((w, known[s[0]] if len(s) == 1 else b"".join([known[p] for p in s])) for w, s in zip(new, split, strict=True))
+            parts = _PARTS(self.tok.normalizer.normalize_str(t))
+        return b"".join(map(self.memory.__getitem__, parts))
 
     def of(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > self.most:
-            self.words = {"": b""}
-        if len(self.parts) > self.most:
-            self.parts = {}
-        lists: list = []
-        for t in texts:
-            words = t.replace("\n", " ").split(" ")
-            # other white space, or what may be a special token's name: the long way
-            odd = "<|" in t or self.other_space(t)
-            lists.append(t if odd else words)
-        new = set().union(*(w for w in lists if isinstance(w, list))).difference(self.words)
-        if new:
-            self._learn(list(new))
-        known = self.words
-        return [self.plain(w) if isinstance(w, str) else b"".join([known[x] for x in w]) for w in lists]
+        if len(self.memory) > self.most:
+            self.memory.clear()
+        return [self.one(t) for t in texts]
 
 
 def _cut(path: str, end_id: int, sequence: int):
