@@ -53,8 +53,7 @@ def _unsure():
     return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(edges, stops, strict=True)) + "]").search
 
 
-WIDTH, LEVELS = 4, 3  # of the search for each level's first branch
-NODES = 100_000  # steps of a group's search; beyond them the best packing so far stands
+NODES = 300_000  # steps of a group's search; beyond them the best packing so far stands
 LEVEL_STEPS = 50  # what a level's first branch counts for
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -146,11 +145,13 @@ def _cut(path: str, end_id: int, sequence: int):
 
 
 class _Stock:
-    """Pieces left, by length; a bit for each length that is there."""
+    """Pieces left, by length; a bit for each length that is there, in both directions."""
 
     def __init__(self, lengths: np.ndarray, most: int):
+        self.most = most
         self.count = np.bincount(lengths, minlength=most + 1).tolist()
         self.mask = sum(1 << n for n, c in enumerate(self.count) if c)
+        self.back_mask = sum(1 << (most - n) for n, c in enumerate(self.count) if c)
 
     def largest(self, upto: int) -> int:
         return (self.mask & ((2 << upto) - 1)).bit_length() - 1 if upto > 0 else -1
@@ -159,12 +160,25 @@ class _Stock:
         self.count[n] -= 1
         if not self.count[n]:
             self.mask ^= 1 << n
+            self.back_mask ^= 1 << (self.most - n)
 
     def back(self, n: int) -> None:
         if not self.count[n]:
             self.mask ^= 1 << n
+            self.back_mask ^= 1 << (self.most - n)
         self.count[n] += 1
 
+    def pair(self, size: int) -> list[int]:
+        """One or two pieces of exactly this size, with the largest first piece."""
+        if size <= 0:
+            return []
+        if self.count[size]:
+            return [size]
+        both = self.mask & (self.back_mask >> (self.most - size))  # a is there and size - a too
+        if not size & 1 and self.count[size // 2] == 1:
+            both &= ~(1 << (size // 2))
+        return [n := both.bit_length() - 1, size - n] if both else []
+
 
 def _best_fit(stock: _Stock, room: int) -> list[int]:
     """The largest that fits, again and again; the stock is left as it was."""
@@ -178,26 +192,26 @@ def _best_fit(stock: _Stock, room: int) -> list[int]:
     return out
 
 
-def _fill(stock: _Stock, room: int) -> list[int]:
-    """A filling with little waste, searched from best-fit down."""
+def _fill(stock: _Stock, room: int, steps: list[int]) -> list[int]:
+    """A filling with little waste: after each beginning of the best-fit one, and after
+    each piece by itself, the one or two pieces that leave least of the room."""
     best = _best_fit(stock, room)
     least = room - sum(best)
-
-    def search(room: int, chosen: list[int], level: int) -> None:
-        nonlocal best, least
-        n, tried = stock.largest(room), 0
-        while n > 0 and tried < WIDTH and least:
-            stock.take(n)
-            if level + 1 < LEVELS:
-                search(room - n, [*chosen, n], level + 1)
-            rest = _best_fit(stock, room - n)
-            if (waste := room - n - sum(rest)) < least:
-                best, least = [*chosen, n, *rest], waste
-            stock.back(n)
-            n, tried = stock.largest(n - 1), tried + 1
-
-    if least:
-        search(room, [], 0)
+    if not least:
+        return best
+    begins, n = [best[:i] for i in range(len(best))], stock.largest(room)
+    while n > 0:
+        begins.append([n])
+        n = stock.largest(n - 1)
+    rooms = [room - sum(b) for b in begins]
+    for waste in range(least):
+        steps[0] -= len(begins) // 2
+        for begin, left in zip(begins, rooms, strict=True):
+            rest = stock.pair(left - waste)
+            if rest and all(stock.count[x] >= (begin + rest).count(x) for x in rest):
+                return [*begin, *rest]
+        if steps[0] <= 0:
+            break
     return best
 
 
@@ -218,7 +232,7 @@ def _fillings(stock: _Stock, room: int, most: int, steps: list[int]):
     stops where no steps are left. A filling's pieces are out of the stock only until
     it is handed out."""
     steps[0] -= LEVEL_STEPS
-    first = _fill(stock, room)
+    first = _fill(stock, room, steps)
     yield first if room - sum(first) <= most else None
     chosen, left, upto = [], room, room
     while steps[0] > 0:
@@ -246,11 +260,28 @@ def _fillings(stock: _Stock, room: int, most: int, steps: list[int]):
         stock.back(x)
 
 
+def _bound(lengths: np.ndarray, sequence: int) -> int:
+    """Of all packings: by volume, and for each size k up to a half by pieces that no two
+    of which, or no piece of k or more beside which, fit together."""
+    if not len(lengths):
+        return 0
+    x = np.sort(lengths)[::-1]
+    upto = np.concatenate(([0], np.cumsum(x)))
+    best = -(-int(upto[-1]) // sequence)
+    over_half = int((2 * x > sequence).sum())
+    for k in np.unique(x[2 * x <= sequence]).tolist():
+        alone, upper = int((x > sequence - k).sum()), int((x >= k).sum())
+        spare = (over_half - alone) * sequence - int(upto[over_half] - upto[alone])
+        small = int(upto[upper] - upto[over_half])
+        best = max(best, over_half + max(0, -(-(small - spare) // sequence)))
+    return max(best, over_half)
+
+
 def complete(lengths: np.ndarray, sequence: int = SEQUENCE, nodes: int = NODES) -> tuple[list[list[int]], bool]:
     """Sequences as lists of lengths, and whether it is proven that none has fewer."""
     stock, best = _Stock(lengths, sequence), []
     total = int(lengths.sum())
-    bound = -(-total // sequence)
+    bound = _bound(lengths, sequence)
     while stock.mask:
         n = stock.largest(sequence)
         stock.take(n)
