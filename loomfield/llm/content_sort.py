@@ -2,79 +2,108 @@
 texts, an external sort puts equal ones side by side, and neighbours are compared
 whole. JVM operators only.
 
-A text that more than 1/hot_share of all rows share would fill one range, so
-those (at most hot_share texts, by their digests) are counted with map-side
-combining instead and their verdict goes back by a broadcast of at most
-hot_share rows of fixed width.
+Texts are normalised once into a table. Every row goes through the sort. A text that a
+sample shows to fill more than one range is cut into runs by a salt in the range key,
+so its rows spread over as many ranges as they fill; each run is sorted and compared
+like any other, and the verdicts of such a text's runs are merged, a row a run. The
+sample decides only how rows are spread, never what is equal.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-BLANKS = r"[\x20\x09-\x0D]+"
-HOT_SHARE = 1000
-PREFIX = 32
+BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
+PREFIX = 64  # leading characters that splitters see
+SAMPLE = 200_000  # rows, about, in which a text that fills several ranges shows
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_share: int = HOT_SHARE) -> DataFrame:
+def normalised(text: Column) -> Column:
+    for blank in BLANKS:
+        text = F.replace(text, F.lit(blank), F.lit(""))
+    return text
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without blanks; null counts as empty, and all
     empty texts are one group. Of a group the row with the most code points stays,
     then the smallest doc_id (null last). Of wholly repeated rows exactly one is
-    kept. No rows in, no rows out. Other columns are ignored.
+    kept. No rows in, no rows out. Other columns are ignored. ranges: into how many
+    ranges the sort deals the rows, by default the session's shuffle partitions.
     """
     rows = common.id_text(docs, id_col, text_col).select(
-        "doc_id", F.length("text").alias("ncp"), F.regexp_replace("text", BLANKS, "").alias("norm")
+        "doc_id", F.length("text").alias("ncp"), normalised(F.col("text")).alias("norm")
     )
-    rows = rows.withColumn("h", F.xxhash64("norm"))
-    n_rows = docs.count()
-    hot = rows.groupBy("h").count().filter(F.col("count") > max(1, n_rows / hot_share)).select("h")
-    hot = F.broadcast(common.kept_in_store(hot))  # at most hot_share keys of 8 bytes
-    return _sorted(rows.join(hot, "h", "left_anti")).unionByName(_counted(rows.join(hot, "h", "left_semi")))
-
-
-def _sorted(rows: DataFrame) -> DataFrame:
-    # The splitters see 32 characters and a digest, so sampling never moves whole
-    # texts to the driver and a shared opening doesn't fill one range.
-    cut = rows.withColumn("prefix", F.substring("norm", 1, PREFIX)).repartitionByRange("prefix", "h")
-    same = Window.partitionBy("prefix", "h", "norm")
+    rows = rows.withColumns({"prefix": F.substring("norm", 1, PREFIX), "sha": F.sha2("norm", 256)})
+    rows = common.written(rows)
+    number = [ranges] if ranges else []
+    ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = F.broadcast(_wide(rows, ranges))  # at most 2 * ranges rows of fixed width
+    part = F.pmod(F.xxhash64("doc_id", "ncp"), F.col("spread"))
+    dealt = rows.join(wide, "sha", "left").withColumn("salt", F.coalesce(part, F.lit(0)))
+    # The splitters see an opening and a digest, so sampling never moves whole texts to
+    # the driver and a shared opening doesn't fill one range.
+    cut = dealt.repartitionByRange(*number, "prefix", "sha", "salt")
+    same = Window.partitionBy("prefix", "sha", "salt", "norm")
     order = same.orderBy(F.desc("ncp"), F.asc_nulls_last("doc_id"))
-    return cut.select(
-        "doc_id",
+    judged = cut.select(
+        "doc_id", "ncp", "sha", F.col("spread").isNotNull().alias("cut"),
         F.first("doc_id").over(order).alias("keep_id"),
         F.count(F.lit(1)).over(same).alias("group_size"),
-        (F.row_number().over(order) == 1).alias("kept"),
-        F.sha2("norm", 256).alias("text_sha256"),
+        F.row_number().over(order).alias("nth"),
+    )
+    judged = common.written(judged)
+    return _merged(judged)
+
+
+def _wide(rows: DataFrame, ranges: int) -> DataFrame:
+    """(sha, spread) of texts with over half a range's share of a sample, and into how
+    many runs to cut them: about one for each half range that they fill."""
+    n = rows.count()
+    sample = rows.select("sha") if n <= SAMPLE else rows.select("sha").sample(SAMPLE / n, seed=7)
+    seen = sample.groupBy("sha").count()
+    share = F.col("count") / F.lit(min(n, SAMPLE) or 1)
+    spread = F.ceil(share * 2 * ranges).cast("int")
+    return common.kept_in_store(seen.select("sha", spread.alias("spread")).filter((F.col("spread") > 1) & (F.col("count") > 1)))
+
+
+def _merged(judged: DataFrame) -> DataFrame:
+    """Verdicts of texts that were cut into runs come from the runs' first rows."""
+    first = F.max_by(F.struct("doc_id"), F.struct("ncp", F.col("doc_id").isNotNull(), -F.col("doc_id")))
+    heads = judged.filter("cut and nth = 1")
+    facts = heads.groupBy("sha").agg(first["doc_id"].alias("top_id"), F.max("ncp").alias("top"), F.sum("group_size").alias("size"))
+    facts = F.broadcast(facts)  # as many rows as _wide gave at most
+    out = judged.join(facts, "sha", "left")
+    whole = ~F.col("cut")
+    won = F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("ncp") == F.col("top")) & (F.col("nth") == 1)
+    return out.select(
+        "doc_id",
+        F.when(whole, F.col("keep_id")).otherwise(F.col("top_id")).alias("keep_id"),
+        F.when(whole, F.col("group_size")).otherwise(F.col("size")).alias("group_size"),
+        F.when(whole, F.col("nth") == 1).otherwise(won).alias("kept"),
+        F.col("sha").alias("text_sha256"),
     )
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    by_length = rows.groupBy("norm", "ncp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    best = by_length.groupBy("norm").agg(F.max("ncp").alias("top"), F.max_by("least", "ncp").alias("keep_id"), F.sum("n").alias("group_size"))
-    verdict = F.broadcast(best.select(F.sha2("norm", 256).alias("text_sha256"), "top", "keep_id", "group_size"))
-    slim = rows.select("doc_id", "ncp", F.sha2("norm", 256).alias("text_sha256")).join(verdict, "text_sha256")
-    twins = Window.partitionBy("text_sha256", "ncp", "doc_id").orderBy("doc_id")
-    won = (F.col("ncp") == F.col("top")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return slim.select("doc_id", "keep_id", "group_size", (won & (F.row_number().over(twins) == 1)).alias("kept"), "text_sha256")
-
-
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that exact_dedup keeps."""
+    """The rows of docs, all columns, that exact_dedup keeps. Rows that share an id, or
+    have none, are told apart by their texts."""
     told = common.kept_in_store(exact_dedup(docs, id_col, text_col))
     key = F.col(common.quoted(id_col)).cast("long")
-    gone = told.filter("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    text = F.coalesce(F.col(common.quoted(text_col)).cast("string"), F.lit(""))
-    sha = F.sha2(F.regexp_replace(text, BLANKS, ""), 256)
-    twice = common.kept_in_store(told.filter("doc_id is null").select(F.col("doc_id").alias("__id")).unionByName(told.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id")).distinct())
-    if twice.isEmpty():
-        return docs.join(gone.select("__id"), key == F.col("__id"), "left_anti")
+    gone = told.filter("not kept").select(F.col("doc_id").alias("__id"))
     # ids with several rows, or none: settled row by row by the text's digest
-    once = docs.join(twice, key.eqNullSafe(F.col("__id")), "left_anti").join(gone.select("__id"), key == F.col("__id"), "left_anti")
+    twice = told.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1 or __id is null").select("__id")
+    twice = common.kept_in_store(twice)
+    if twice.isEmpty():
+        return docs.join(gone, key == F.col("__id"), "left_anti")
+    text = F.coalesce(F.col(common.quoted(text_col)).cast("string"), F.lit(""))
+    sha = F.sha2(normalised(text), 256)
+    once = docs.join(twice, key.eqNullSafe(F.col("__id")), "left_anti").join(gone, key == F.col("__id"), "left_anti")
     kept = told.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     more = docs.join(twice, key.eqNullSafe(F.col("__id")), "left_semi").join(kept, key.eqNullSafe(F.col("__id")) & (sha == F.col("__sha")), "left_semi")
     first = Window.partitionBy(key, sha).orderBy(F.desc(F.length(text)))

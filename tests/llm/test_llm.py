@@ -48,8 +48,8 @@ def got(df):
 
 
 def test_exact_dedup(docs, rows):
-    for share in (1000, 10):  # the sorted way and the counted one
-        out = content_sort.exact_dedup(docs, hot_share=share).collect()
+    for ranges in (1, 4, 40):  # with 40, most groups of copies are cut into runs
+        out = content_sort.exact_dedup(docs, ranges=ranges).collect()
         assert len(out) == len(rows)
         groups = Counter(re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t, *_ in rows)
         shas = {hashlib.sha256(g.encode()).hexdigest(): n for g, n in groups.items()}
@@ -59,6 +59,21 @@ def test_exact_dedup(docs, rows):
     assert kept.columns == docs.columns and kept.count() == len(groups)
 
 
+def test_exact_dedup_cuts_and_merges_a_text_in_half_the_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, "same text" + " " * rng.randrange(3)) if i % 2 else (i, words(rng, 5)) for i in range(400)]
+    rows += [(None, "same text  "), (7, rows[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t.replace(" ", ""), []).append((-len(t), i is None, i))
+    want = Counter((i, min(g)[2], len(g), hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for _, _, i in g)
+    for ranges in (1, 16):
+        out = content_sort.exact_dedup(docs, ranges=ranges)
+        assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in out.collect()) == want
+        assert Counter(r.doc_id for r in out.collect() if r.kept) == Counter(min(g)[2] for g in groups.values())
+
+
 def plain_windows(rows, w=13):
     big = 1 << 62
     first = {}
@@ -216,6 +231,26 @@ def test_bin_completion_finds_exact_fillings():
     assert len(bins) == 3 and all(sum(b) == 100 for b in bins)
 
 
+def test_bin_completion_on_exact_triples():
+    for n, most in ((40, 42), (100, 104), (300, 312)):
+        rng, lengths = random.Random(n), []
+        for _ in range(n):
+            a, b = rng.randrange(1100, 1900), rng.randrange(1000, 1100)
+            lengths += [a, b, 4096 - a - b]
+        bins, _ = packing.complete(np.array(lengths))
+        assert len(bins) <= most and sorted(x for b in bins for x in b) == sorted(lengths)
+
+
+def test_token_ids_are_the_tokenizers():
+    import public_tokenizers
+
+    ids = packing.Ids(public_tokenizers.path(packing.TOKENIZER))
+    texts = ["", " ", "It's 12345 o'clock, I'LL say 7\u00b2!?", "na\u00efve \u0130stanbul stra\u00dfe \u00c5\u030angstr\u00f6m", "\u041f\u0440\u0438\u0432\u0435\u0442 \u03a3\u03a3 \u4e2d\u6587\u5b57 \u0661\u0662", "a\x00b\x1c\x1fc\u00a0d\u2003e\u200bf", "<|endoftext|> <|startoftext|>x", "\U0001f600 \U00020000\U0003134f \u0378", "x" * 5000, "\r\n\t.\v\f--//"]
+    rng = random.Random(6)
+    texts += ["".join(chr(rng.choice([rng.randrange(32, 0x180), rng.randrange(1, 0x3000), rng.randrange(0xE000, 0x2FA20)])) for _ in range(60)) for _ in range(200)]
+    assert ids.of(texts) == [ids.plain(t) for t in texts]
+
+
 @pytest.mark.parametrize("run", [content_sort.exact_dedup, superkmers.substring_dedup, suffix_sort.suffix_dedup, near_dedup.near_dedup, lambda d: ogg.ogg_features(ogg.ogg_column(d)), pii.pii_spans, randomness.secret_spans, language.language_id, mixing.mix_sources, packing.pack])
 def test_empty_tables(docs, run):
     assert run(docs.filter("false")).count() == 0
