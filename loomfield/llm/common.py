@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+HOT_SHARE = 1000  # a key of more than this part of the rows is wide
+
+
 def quoted(name: str) -> str:
     """A column name that may hold dots or backticks."""
     return "`" + name.replace("`", "``") + "`"
@@ -49,6 +52,20 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def joined_by_share(rows: DataFrame, keys: DataFrame, on: list[str], share: int = HOT_SHARE) -> DataFrame:
+    """rows with the columns of keys (on..., c), a kept table whose c says how many rows
+    have that key: an inner join. Keys of more than 1/share of the rows, at most `share`
+    of them, meet their rows by a broadcast, so that no task gets all rows of one; the
+    others are shuffled."""
+    total = keys.agg(F.sum("c")).first()[0] or 0
+    wide = keys.filter(F.col("c") > total / share).drop("c")
+    rest = keys.filter(F.col("c") <= total / share).drop("c")
+    if wide.isEmpty():
+        return rows.join(rest, on)
+    hot = F.broadcast(wide)
+    return rows.join(hot, on).unionByName(rows.join(F.broadcast(wide.select(*on)), on, "left_anti").join(rest, on))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

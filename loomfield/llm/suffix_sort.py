@@ -1,22 +1,24 @@
-"""Substring dedup over bytes by a depth-limited radix sort of suffixes.
+"""Substring dedup by a depth-limited radix sort of suffixes.
 
-A suffix matters only through its first 400 bytes. Passes go from the most
-significant digit to the least, and a suffix that is alone in its group after a
-pass leaves the sort:
+A suffix matters only through its first threshold units: 400 bytes for what is removed,
+50 words for what is reported besides. Passes go from the most significant digit to the
+least, and a suffix that is alone in its group after a pass leaves the sort:
 
-1. Suffixes are reached through anchors: of every 201 consecutive 200-byte strings
-   the one with the least hash. A 400-byte window holds an anchor at a place that
-   depends on its content only, so equal windows have equal anchors. First digit:
-   the anchor's 200 bytes. Anchors whose string occurs once end here.
+1. Suffixes are reached through anchors: of all strings of half a threshold in a window
+   the one with the least hash, at a place that depends on the window's content only, so
+   equal windows have equal anchors. First digit: the anchor's string. Anchors whose
+   string occurs once end here.
 2. Second digit: the whole run of windows that one anchor serves. Runs that occur
    again whole are repeated and done, and one of them stands for all.
 3. Where an anchor has several different runs (borders of passages, edited copies),
    one of each goes as a string to the bucket of the anchor, and their windows are
-   sorted by four digits of 100 bytes, groups of one leaving after each. Groups that
-   reach the threshold are exactly the repeated windows.
+   sorted by digits of a quarter of the threshold, groups of one leaving after each.
+   Groups that reach the threshold are exactly the repeated windows.
 
-An anchor with more different runs than a task should hold is no bucket: the windows
-of its runs are grouped one by one under a 128-bit digest, with map-side combining.
+Anchors and runs that many rows share are few: they meet their rows by a broadcast of
+at most common.HOT_SHARE keys, the others by a shuffle. An anchor with more different
+runs than a task should hold is no bucket: the windows of its runs are grouped one by
+one under a 128-bit digest, with map-side combining.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 from . import shingles as sh
 
-DEPTH, DIGITS = 400, 4
+DEPTH, WORDS = 400, 50
 HOT_ROWS = 20_000  # different runs of an anchor that are more than a task should hold
 
 _ANCHOR = "key long, pack long, doc_id long, tid long, start int, n int"
@@ -40,10 +42,10 @@ _NO = np.iinfo(np.uint64).max
 _BYTES = sh.byte_values(101)
 
 
-def _gram_hashes(flat: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k-byte strings by doubling: 1, 2, 4 ... bytes, then two halves
-    that overlap."""
-    h, size = _BYTES[flat], 1
+def _gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all strings of k units from the units' own, by doubling: 1, 2, 4 ...
+    units, then two halves that overlap."""
+    size = 1
     while size * 2 <= k:
         h = sh.mix((h[:-size] * sh.MIX_A) ^ h[size:])
         size *= 2
@@ -65,99 +67,118 @@ def _least_at(h: np.ndarray, w: int) -> np.ndarray:
     return at
 
 
-def _runs(texts: list[bytes], depth: int):
-    """Runs of windows under one anchor in texts of at least `depth` bytes: (flat,
-    text, first window in the text, first window in flat, windows, anchor hash)."""
-    long = [i for i, t in enumerate(texts) if len(t) >= depth]
-    if not long:
+def _runs(h: np.ndarray, sizes: np.ndarray, depth: int):
+    """Runs of windows under one anchor, from the hashes of all units and each text's
+    number of them: (text, first window in the text, first window, windows, anchor hash)."""
+    if len(h) < depth:
         return None
-    flat = b"".join(texts[i] for i in long)
-    sizes = np.array([len(texts[i]) for i in long])
     begin = np.cumsum(sizes) - sizes
     k = depth // 2
-    h = _gram_hashes(np.frombuffer(flat, np.uint8), k)
+    h = _gram_hashes(h, k)
     for b in begin[1:].tolist():  # strings that leave their text are no anchors
-        h[b - k + 1 : b] = _NO
+        h[max(0, b - k + 1) : b] = _NO
     at = _least_at(h, depth - k + 1)
     inside = np.zeros(len(at), bool)
     for b, s in zip(begin.tolist(), sizes.tolist(), strict=True):
-        inside[b : b + s - depth + 1] = True
+        inside[b : max(b, b + s - depth + 1)] = True
     new = np.ones(len(at), bool)
     new[1:] = at[1:] != at[:-1]
     new[1:] |= inside[1:] != inside[:-1]
-    new[begin] = True
+    new[begin[begin < len(at)]] = True
     edge = np.flatnonzero(new)
     n = np.diff(np.append(edge, len(at)))
     on = inside[edge]
     first, n = edge[on], n[on]
     own = np.searchsorted(begin, first, side="right") - 1
-    return flat, np.array(long)[own], first - begin[own], first, n, h[at[first]].view(np.int64)
+    return own, first - begin[own], first, n, h[at[first]]
 
 
-def _anchors(depth: int):
+class _Units:
+    """Texts as bytes or as words: hashes of all units and where their strings are."""
+
+    def __init__(self, texts: list[bytes], words: bool):
+        if words:
+            self.flat, self.begin, _, self.sizes = sh.word_table(texts)
+            self.hashes = sh.word_hashes(np.frombuffer(self.flat, np.uint8), self.begin)
+            self.end = np.append(self.begin[1:], len(self.flat)) - 1
+        else:
+            self.flat, self.sizes = b"".join(texts), np.array([len(t) for t in texts], np.int64)
+            self.hashes = _BYTES[np.frombuffer(self.flat, np.uint8)]
+            self.begin = np.arange(len(self.flat))
+            self.end = self.begin + 1
+
+    def strings(self, first: np.ndarray, n: np.ndarray) -> list[bytes]:
+        flat = self.flat
+        return [flat[x:y] for x, y in zip(self.begin[first].tolist(), self.end[first + n - 1].tolist(), strict=True)]
+
+
+def _anchors(depths: tuple):
+    """A row a run; the lowest bit of its key says whether its units are words."""
+
     def run(batches):
         for b in batches:
             ids, texts, tid = b.column(0), b.column(1).cast(pa.binary()).to_pylist(), b.column(2)
             for lo, hi in sh.batches_of(texts, 1 << 18):
-                found = _runs(texts[lo:hi], depth)
-                if found is None:
-                    continue
-                flat, own, start, first, n, key = found
-                pack = np.array([xxhash.xxh3_64_intdigest(flat[x:y]) for x, y in zip(first.tolist(), (first + n + depth - 1).tolist(), strict=True)], np.uint64)
-                own = pa.array(own)
-                yield pa.record_batch(
-                    [pa.array(key), pa.array(pack.view(np.int64)), ids[lo:hi].take(own), tid[lo:hi].take(own), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["key", "pack", "doc_id", "tid", "start", "n"],
-                )
+                for kind, depth in enumerate(depths):
+                    units = _Units(texts[lo:hi], bool(kind))
+                    found = _runs(units.hashes, units.sizes, depth)
+                    if found is None or not len(found[0]):
+                        continue
+                    own, start, first, n, key = found
+                    key = (key & ~np.uint64(1)) | np.uint64(kind)
+                    pack = np.array([xxhash.xxh3_64_intdigest(x) for x in units.strings(first, n + depth - 1)], np.uint64)
+                    own = pa.array(own)
+                    yield pa.record_batch(
+                        [pa.array(key.view(np.int64)), pa.array(pack.view(np.int64)), ids[lo:hi].take(own), tid[lo:hi].take(own), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
+                        names=["key", "pack", "doc_id", "tid", "start", "n"],
+                    )
 
     return run
 
 
-def _strings(depth: int, apart: bool):
+def _strings(depths: tuple, apart: bool):
     """(doc_id, text, tid, unsettled runs) to the runs' strings, or with `apart` to the
     windows of those under hot anchors."""
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                runs = b.column(3)[i].as_py()
-                text = b.column(1)[i].as_py().encode()
-                doc, tid = b.column(0)[i].as_py(), b.column(2)[i].as_py()
-                runs = [r for r in runs if r["hot"] == apart]
-                if not runs:
-                    continue
-                n = np.array([r["n"] for r in runs])
-                start = np.array([r["start"] for r in runs])
-                if apart:
-                    at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    dig = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[x : x + depth]) for x in at.tolist()), np.int64).reshape(-1, 2)
-                    cols = [pa.array(dig[:, 0]), pa.array(dig[:, 1]), pa.array([doc] * len(at), pa.int64()), pa.array([tid] * len(at), pa.int64()), pa.array(at.astype(np.int32))]
-                    yield pa.record_batch(cols, names=["w1", "w2", "doc_id", "tid", "start"])
-                else:
-                    cols = [pa.array([r["key"] for r in runs]), pa.array([text[x : x + y] for x, y in zip(start.tolist(), (n + depth - 1).tolist(), strict=True)], pa.binary())]
-                    cols += [pa.array([doc] * len(n), pa.int64()), pa.array([tid] * len(n), pa.int64()), pa.array(start.astype(np.int32))]
-                    yield pa.record_batch(cols, names=["key", "packed", "doc_id", "tid", "start"])
+                wanted = [r for r in b.column(3)[i].as_py() if r["hot"] == apart]
+                for kind, depth in enumerate(depths):
+                    runs = [r for r in wanted if r["key"] & 1 == kind]
+                    if not runs:
+                        continue
+                    units = _Units([b.column(1)[i].as_py().encode()], bool(kind))
+                    n, start = np.array([r["n"] for r in runs]), np.array([r["start"] for r in runs])
+                    if apart:
+                        at = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        dig = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, units.strings(at, np.full(len(at), depth)))), np.int64).reshape(-1, 2)
+                        head, names = [pa.array((dig[:, 0] & ~1) | kind), pa.array(dig[:, 1])], ["w1", "w2"]
+                    else:
+                        at = start
+                        head, names = [pa.array([r["key"] for r in runs]), pa.array(units.strings(start, n + depth - 1), pa.binary())], ["key", "packed"]
+                    same = [pa.array([v] * len(at), pa.int64()) for v in (b.column(0)[i].as_py(), b.column(2)[i].as_py())]
+                    yield pa.record_batch([*head, *same, pa.array(at.astype(np.int32))], names=[*names, "doc_id", "tid", "start"])
 
     return run
 
 
-def _radix(depth: int, digits: int, most: int = 4 << 20):
+def _radix(depths: tuple, most: int = 4 << 20):
     """Rows in order of anchor: windows of equal anchors sorted digit by digit."""
 
-    def judged(keys, packed, ids, tids, starts):
-        key = np.array(keys, np.int64)
-        flat = b"".join(packed)
-        sizes = np.array([len(p) for p in packed])
-        n = sizes - depth + 1
-        begin = np.cumsum(sizes) - sizes
+    def repeated(key, units, depth):
+        """Which windows occur again: (row, place in its run) in order."""
+        n = np.maximum(units.sizes - depth + 1, 0)
+        begin = np.cumsum(units.sizes) - units.sizes
         own = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        digit = _gram_hashes(np.frombuffer(flat, np.uint8), depth // digits)
-        at = begin[own] + step
-        group = key.view(np.uint64)[own]
-        live = np.arange(len(at))
-        for d in range(digits):
-            value = digit[at[live] + d * (depth // digits)]
+        sizes = [depth // 4] * 3 + [depth - 3 * (depth // 4)]
+        digits = {k: _gram_hashes(units.hashes, k) for k in set(sizes)}
+        at, group = begin[own] + step, key.view(np.uint64)[own]
+        live, shift = np.arange(len(at)), 0
+        for size in sizes:
+            value = digits[size][at[live] + shift]
+            shift += size
             order = np.lexsort((value, group))
             value, g = value[order], group[order]
             new = np.ones(len(g), bool)
@@ -166,19 +187,29 @@ def _radix(depth: int, digits: int, most: int = 4 << 20):
             many = np.bincount(rank)[rank] > 1
             live, group = live[order][many], rank[many].astype(np.uint64)
             if not len(live):
-                return None
+                break
         hit = np.sort(live)
-        row = own[hit]
-        new = np.ones(len(hit), bool)
-        new[1:] = (row[1:] != row[:-1]) | (hit[1:] != hit[:-1] + 1)
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, len(hit)))
-        src = row[first]
-        start = np.array(starts)[src] + step[hit[first]]
-        return pa.record_batch(
-            [pa.array([ids[i] for i in src], pa.int64()), pa.array([tids[i] for i in src], pa.int64()), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
-            names=["doc_id", "tid", "start", "n"],
-        )
+        return own[hit], step[hit], hit
+
+    def judged(keys, packed, ids, tids, starts):
+        for kind, depth in enumerate(depths):
+            rows = [i for i, k in enumerate(keys) if k & 1 == kind]
+            if not rows:
+                continue
+            key = np.array([keys[i] for i in rows], np.int64)
+            row, step, hit = repeated(key, _Units([packed[i] for i in rows], bool(kind)), depth)
+            if not len(hit):
+                continue
+            new = np.ones(len(hit), bool)
+            new[1:] = (row[1:] != row[:-1]) | (hit[1:] != hit[:-1] + 1)
+            first = np.flatnonzero(new)
+            count = np.diff(np.append(first, len(hit)))
+            src = [rows[i] for i in row[first].tolist()]
+            start = np.array([starts[i] for i in src]) + step[first]
+            yield pa.record_batch(
+                [pa.array([kind == 1] * len(src)), pa.array([ids[i] for i in src], pa.int64()), pa.array([tids[i] for i in src], pa.int64()), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
+                names=["words", "doc_id", "tid", "start", "n"],
+            )
 
     def run(batches):
         held: list[list] = [[], [], [], [], []]
@@ -191,71 +222,72 @@ def _radix(depth: int, digits: int, most: int = 4 << 20):
             if size < most or held[0][0] == held[0][-1]:
                 continue
             cut = int(np.searchsorted(np.array(held[0]), held[0][-1]))  # the last anchor may go on
-            out = judged(*[h[:cut] for h in held])
+            yield from judged(*[h[:cut] for h in held])
             held = [h[cut:] for h in held]
             size = sum(map(len, held[1]))
-            if out is not None:
-                yield out
-        if held[0] and (out := judged(*held)) is not None:
-            yield out
+        if held[0]:
+            yield from judged(*held)
 
     return run
 
 
-def _cut(depth: int):
-    """(doc_id, text, runs of repeated windows) to what is left of the bytes."""
+def _cut(depths: tuple):
+    """(doc_id, text, runs of repeated windows) to what is left of the bytes, and how many
+    words are in repeated windows of words."""
+
+    def merged(spans, depth):
+        out: list[list[int]] = []
+        for a, z in sorted((g["start"], g["start"] + g["n"] + depth - 1) for g in spans):
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(out[-1][1], z)
+            else:
+                out.append([a, z])
+        return out
 
     def run(batches):
         for b in batches:
             ids, texts, spans = b.column(0), b.column(1).cast(pa.binary()), b.column(2)
-            n_bytes, n_removed, n_spans, sha = [], [], [], []
+            n_bytes, n_removed, n_spans, sha, n_words = [], [], [], [], []
             for i in range(len(ids)):
-                text, gone = texts[i].as_py(), spans[i].as_py()
-                kept, removed, runs, at = [], 0, 0, 0
-                for s in sorted((g["start"], g["start"] + g["n"] + depth - 1) for g in gone or ()):
-                    if s[0] > at or not runs:
-                        runs += 1
-                        kept.append(text[at : s[0]])
-                        removed += s[1] - s[0]
-                        at = s[1]
-                    elif s[1] > at:
-                        removed += s[1] - at
-                        at = s[1]
-                kept.append(text[at:])
+                text, found = texts[i].as_py(), spans[i].as_py() or ()
+                gone = merged((g for g in found if not g["words"]), depths[0])
+                kept = [text[a:z] for a, z in zip([0, *(z for _, z in gone)], [*(a for a, _ in gone), len(text)], strict=True)]
                 n_bytes.append(len(text))
-                n_removed.append(removed)
-                n_spans.append(runs)
+                n_removed.append(sum(z - a for a, z in gone))
+                n_spans.append(len(gone))
                 sha.append(hashlib.sha256(b"".join(kept)).hexdigest())
+                n_words.append(sum(z - a for a, z in merged((g for g in found if g["words"]), depths[1])))
             yield pa.record_batch(
-                [ids, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha)],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+                [ids, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha), pa.array(n_words, pa.int64())],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated_words"],
             )
 
     return run
 
 
-def _numbered(base: DataFrame) -> DataFrame:
-    """tid tells rows with one doc_id and other texts apart; same says how many rows
-    have both equal (their windows repeat each other's)."""
-    return base.withColumn("tid", F.xxhash64("text"))
-
-
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, words: int = WORDS) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256,
+    n_repeated_words.
 
     Every byte covered by a `depth`-byte string that starts anywhere else in the
-    table goes, in all its copies; matches stay inside one row's text. Null counts
-    as empty, with the digest of the empty string. Repeated rows are copies of each
-    other and lose everything that is long enough. A null doc_id is a row like any
-    other. No rows in, no rows out. Other columns are ignored.
+    table goes, in all its copies; matches stay inside one row's text. n_repeated_words
+    says how many words are covered by a run of `words` words that starts anywhere else;
+    they are reported, not removed. Null counts as empty, with the digest of the empty
+    string. Repeated rows are copies of each other and lose everything that is long
+    enough. A null doc_id is a row like any other. No rows in, no rows out. Other
+    columns are ignored.
     """
-    base = _numbered(common.id_text(docs, id_col, text_col))
-    anchors = base.mapInArrow(_anchors(depth), _ANCHOR)
-    many = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    again = common.kept_in_store(anchors.join(many, "key"))
+    depths = (depth, words)
+    # tid tells rows with one doc_id and other texts apart
+    base = common.id_text(docs, id_col, text_col).withColumn("tid", F.xxhash64("text"))
+    anchors = common.written(base.mapInArrow(_anchors(depths), _ANCHOR))
+    many = common.kept_in_store(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    again = common.written(common.joined_by_share(anchors, many, ["key"]))
     first = F.min(F.struct("doc_id", "tid", "start", "n"))
-    packs = common.kept_in_store(again.groupBy("key", "pack").agg(F.count(F.lit(1)).alias("c"), first.alias("r")))
-    done = again.join(packs.filter("c > 1").select("key", "pack"), ["key", "pack"]).select("doc_id", "tid", "start", "n")
+    packs = common.written(again.groupBy("key", "pack").agg(F.count(F.lit(1)).alias("c"), first.alias("r")))
+    twice = packs.filter("c > 1").select("key", "pack", "c")
+    is_words = (F.col("key").bitwiseAND(1) == 1).alias("words")
+    done = common.joined_by_share(again, twice, ["key", "pack"]).select(is_words, "doc_id", "tid", "start", "n")
 
     kinds = packs.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     kinds = common.kept_in_store(kinds.select("key", (F.col("kinds") > HOT_ROWS).alias("hot")))
@@ -264,16 +296,17 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     open_ = one.groupBy(F.col("doc_id").alias("d"), F.col("tid").alias("t")).agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("runs"))
     at = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tid") == F.col("t"))
     asked = base.join(open_, at).select("doc_id", "text", "tid", "runs")
-    packed = asked.mapInArrow(_strings(depth, False), "key long, packed binary, doc_id long, tid long, start int")
+    packed = asked.mapInArrow(_strings(depths, False), "key long, packed binary, doc_id long, tid long, start int")
     packed = packed.repartition("key").sortWithinPartitions("key")
-    found = done.unionByName(packed.mapInArrow(_radix(depth, DIGITS), "doc_id long, tid long, start int, n int"))
+    found = done.unionByName(packed.mapInArrow(_radix(depths), "words boolean, doc_id long, tid long, start int, n int"))
     if some_hot:
-        apart = asked.mapInArrow(_strings(depth, True), "w1 long, w2 long, doc_id long, tid long, start int")
-        both = apart.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
-        found = found.unionByName(apart.join(both, ["w1", "w2"]).select("doc_id", "tid", "start", F.lit(1).alias("n")))
-    by_doc = found.groupBy(F.col("doc_id").alias("d"), F.col("tid").alias("t")).agg(F.collect_set(F.struct("start", "n")).alias("spans"))
+        apart = asked.mapInArrow(_strings(depths, True), "w1 long, w2 long, doc_id long, tid long, start int")
+        both = apart.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+        more = common.joined_by_share(apart, common.kept_in_store(both), ["w1", "w2"])
+        found = found.unionByName(more.select((F.col("w1").bitwiseAND(1) == 1).alias("words"), "doc_id", "tid", "start", F.lit(1).alias("n")))
+    by_doc = found.groupBy(F.col("doc_id").alias("d"), F.col("tid").alias("t")).agg(F.collect_set(F.struct("words", "start", "n")).alias("spans"))
     out = base.join(by_doc, at, "left").select("doc_id", "text", "spans")
-    return out.mapInArrow(_cut(depth), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return out.mapInArrow(_cut(depths), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated_words long")
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

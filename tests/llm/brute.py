@@ -4,17 +4,20 @@ import hashlib
 from collections import Counter
 
 
-def suffixes(rows, depth=400):
-    """rows: (doc_id, text) to sorted (doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
+def suffixes(rows, depth=400, words=50):
+    """rows: (doc_id, text) to sorted (doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_repeated_words)."""
     texts = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(t[p : p + depth] for _, t in texts for p in range(len(t) - depth + 1))
+    runs = Counter(tuple(w[p : p + words]) for _, t in texts for w in [t.split()] for p in range(len(w) - words + 1))
     out = []
     for i, t in texts:
+        w = t.split()
+        met = {q for p in range(len(w) - words + 1) if runs[tuple(w[p : p + words])] > 1 for q in range(p, p + words)}
         gone = bytearray(len(t) + 1)
         for p in range(len(t) - depth + 1):
             if seen[t[p : p + depth]] > 1:
                 gone[p : p + depth] = b"\1" * depth
         spans = sum(1 for p in range(len(t)) if gone[p] and (p == 0 or not gone[p - 1]))
         kept = bytes(c for c, g in zip(t, gone) if not g)
-        out.append((i, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        out.append((i, len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest(), len(met)))
     return out
