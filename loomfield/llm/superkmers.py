@@ -232,10 +232,10 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     base = _base(docs, id_col, text_col)
     runs = base.select("place", "text", "tid").mapInArrow(_run_rows(window, gram), _RUN)
     keys = base.select("text").mapInArrow(_run_keys(window, gram), "key long")
-    many = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    again = common.written(runs.join(many, "key"))
-    packs = common.kept_in_store(again.groupBy("key", "pack").agg(F.min("doc_id").alias("least")))
-    placed = again.join(packs, ["key", "pack"])
+    many = common.kept_in_store(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    again = common.written(common.joined_by_share(runs, many, ["key"]))
+    packs = common.kept_in_store(again.groupBy("key", "pack").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")))
+    placed = common.joined_by_share(again, packs, ["key", "pack"])
     done = placed.filter("doc_id > least").select("doc_id", "tid", "start", "n")
 
     kinds = packs.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
@@ -249,8 +249,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = done.unionByName(cold.mapInArrow(_bucket(window), _SPAN))
     if not kinds.filter("hot").isEmpty():
         apart = asked.mapInArrow(_strings(window, True), _HOT)
-        least = apart.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-        more = apart.join(least.select("w1", "w2", "least"), ["w1", "w2"]).filter("doc_id > least")
+        least = apart.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("c")).filter("least < most")
+        more = common.joined_by_share(apart, common.kept_in_store(least.drop("most")), ["w1", "w2"]).filter("doc_id > least")
         found = found.unionByName(more.select("doc_id", "tid", "start", F.lit(1).alias("n")))
     return found
 
