@@ -21,8 +21,19 @@ PORTFOLIO = r"(?i)https?://[\w\-.]+\.[a-z]{2,}(?:/[\w\-._~:/?#\[\]@!$&'()*+,;=%]
 EMAIL_SHAPE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
 
+# One class, possessive, and begun only where a run begins: linear, and no stack in long runs.
+_EDGE = SPACE[:-1] + r"\n]"
+_EDGES = rf"\A{_EDGE}++|(?<!{_EDGE}){_EDGE}++\z"
+_LINE_END = rf"(?m)(?<!{SPACE}){SPACE}++$"
+
+
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^({SPACE}|\n)+|({SPACE}|\n)+$", "")
+    return F.regexp_replace(c, _EDGES, "")
+
+
+def bound(c: Column, f) -> Column:
+    """f of a value that is worked out once."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def clean_text(c: Column) -> Column:
@@ -31,17 +42,23 @@ def clean_text(c: Column) -> Column:
     c = F.regexp_replace(F.regexp_replace(c, CONTROL, " "), PRIVATE, " ")
     c = F.replace(F.replace(c, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
     c = F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), BREAK, "\n")
-    return trimmed(F.regexp_replace(c, rf"(?m){SPACE}+$", ""))
+    return trimmed(F.regexp_replace(c, _LINE_END, ""))
 
 
 def low_quality(c: Column, least: int = 120, wordy: float = 0.55, letters: float = 0.40, cids: int = 5) -> Column:
     """Is the text too short, full of unmapped glyphs, or of too few word characters?"""
-    body = trimmed(c)
-    solid = F.regexp_replace(body, r"[\s\x{A0}]", "")
-    n = F.length(solid)
-    n_wordy = F.length(F.regexp_replace(solid, r"[^\p{L}\p{N}.,/\-:;()&'@]", ""))
-    n_letters = F.length(F.regexp_replace(solid, r"[^\p{L}]", ""))
-    return (F.length(body) < least) | (F.regexp_count(body, F.lit(r"\(cid:")) >= cids) | (n == 0) | (n_wordy < wordy * n) | (n_letters < letters * n)
+
+    def judged(body: Column) -> Column:
+        def of_solid(solid: Column) -> Column:
+            n = F.length(solid)
+            n_wordy = F.length(F.regexp_replace(solid, r"[^\p{L}\p{N}.,/\-:;()&'@]++", ""))
+            n_letters = F.length(F.regexp_replace(solid, r"[^\p{L}]++", ""))
+            return (n == 0) | (n_wordy < wordy * n) | (n_letters < letters * n)
+
+        short = (F.length(body) < least) | (F.regexp_count(body, F.lit(r"\(cid:")) >= cids)
+        return short | bound(F.regexp_replace(body, r"[\s\x{A0}]++", ""), of_solid)
+
+    return bound(trimmed(c), judged)
 
 
 def found(c: Column, pattern: str) -> Column:
@@ -51,9 +68,9 @@ def found(c: Column, pattern: str) -> Column:
 def emails(c: Column) -> Column:
     """Distinct addresses in order; with a blank beside the sign only where none is
     strict."""
-    strict = F.array_distinct(found(c, EMAIL))
-    loose = F.array_distinct(F.transform(found(c, EMAIL_LOOSE), lambda x: F.replace(x, F.lit(" "), F.lit(""))))
-    return F.when(F.size(strict) > 0, strict).otherwise(loose)
+    signed = F.when(c.contains("@"), c).when(c.isNotNull(), "")  # no sign, nothing to look for
+    loose = F.array_distinct(F.transform(found(signed, EMAIL_LOOSE), lambda x: F.replace(x, F.lit(" "), F.lit(""))))
+    return bound(F.array_distinct(found(signed, EMAIL)), lambda strict: F.when(F.size(strict) > 0, strict).otherwise(loose))
 
 
 def digits(c: Column) -> Column:
@@ -86,7 +103,7 @@ def match_key(c: Column) -> Column:
     """The key that all resolvers join on: lower case, dashes alike, `and` for `&`, no
     blanks about a slash, hyphens and blanks as one blank."""
     c = F.lower(F.regexp_replace(c, r"[\x{2013}\x{2014}]", "-"))
-    c = F.regexp_replace(F.replace(c, F.lit("&"), F.lit(" and ")), r"\s*/\s*", "/")
+    c = F.regexp_replace(F.replace(c, F.lit("&"), F.lit(" and ")), r"(?<!\s)\s*+/\s*", "/")
     return F.trim(F.regexp_replace(c, r"[\s\-]+", " "))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -15,6 +16,18 @@ def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
 
 
+# Fixed value: an adjacent repeat of a run of words.
+ADJACENT = re.compile(r"\b(\w[\w /()&-]{0,80}?)\s+\1\b", re.IGNORECASE)
+
+
+def settled(text: str) -> str:
+    """One blank between words, and adjacent repeats gone until there is none."""
+    text, n = " ".join(text.split()), 1
+    while n:
+        text, n = ADJACENT.subn(r"\1", text)
+    return text
+
+
 def without_repeats(text: str, least: int = 2, most: int = 6) -> str:
     """Later exact repeats of a phrase of `least` to `most` words go, long ones first."""
     words, seen, out, at = text.split(), set(), [], 0
@@ -33,4 +46,4 @@ def without_repeats(text: str, least: int = 2, most: int = 6) -> str:
 
 @F.pandas_udf(StringType())
 def drop_repeated_phrases(c: pd.Series) -> pd.Series:
-    return c.map(lambda t: None if t is None else without_repeats(t))
+    return c.map(lambda t: None if t is None else without_repeats(settled(t)))

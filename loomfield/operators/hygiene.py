@@ -17,13 +17,10 @@ def sanitize_scalar(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return df.withColumns({c: T.scalar(F.col(c), k) for c, k in kinds.items()})
 
 
-def dedup_phrase(df: DataFrame, col: str, rounds: int = 3) -> DataFrame:
-    """One blank between words, adjacent repeats of a run gone, then later repeats of
-    phrases of two to six words."""
-    c = F.trim(F.regexp_replace(col, r"\s+", " "))
-    for _ in range(rounds):
-        c = F.regexp_replace(c, r"(?i)\b(\w[\w /()&-]{0,80}?)\s+\1\b", "$1")
-    return df.withColumn(col, drop_repeated_phrases(c))
+def dedup_phrase(df: DataFrame, col: str) -> DataFrame:
+    """One blank between words, adjacent repeats of a run gone until none is left, then
+    later repeats of phrases of two to six words."""
+    return df.withColumn(col, drop_repeated_phrases(F.col(col)))
 
 
 def shorten(df: DataFrame, col: str, most: int = 8) -> DataFrame:
@@ -38,26 +35,24 @@ def tidy_raw(df: DataFrame, col: str, most: int = 8) -> DataFrame:
 
 def split_name_credentials(df: DataFrame, name: str, creds: str, known: list[str]) -> DataFrame:
     """Credentials after the name go to the list: all that follow the first comma if all
-    are known, else the known words that end it (one word stays). The list keeps its
-    order, each credential once in any case."""
-    norm = lambda x: F.upper(F.regexp_replace(F.trim(x), r"\.", ""))
+    are known, then the known words that end what is before it, or the whole (one word
+    stays). The list keeps its order, each credential once in any case."""
+    norm = lambda x: F.upper(F.regexp_replace(F.trim(x), r"^\.+|[.,]+$", ""))
     dictionary = F.array(*[F.lit(k.upper()) for k in known])
+    said = lambda x: F.array_contains(dictionary, norm(x))
     n = F.trim(F.col(name))
     tail = F.filter(F.split(F.regexp_extract(n, r"^[^,]*,(.*)$", 1), r"[,\s]+"), lambda x: x != "")
-    by_comma = (F.size(tail) > 0) & F.forall(tail, lambda x: F.array_contains(dictionary, norm(x)))
-    words = F.split(n, r"\s+")
-    zero = F.struct(F.lit(True).alias("on"), F.lit(0).alias("n"))
-
-    def step(acc, x):
-        on = acc["on"] & F.array_contains(dictionary, norm(x))
-        return F.struct(on.alias("on"), (acc["n"] + on.cast("int")).alias("n"))
-
-    run = F.least(F.aggregate(F.reverse(words), zero, step)["n"], F.size(words) - 1)
-    by_space = F.slice(words, F.size(words) - run + 1, run)
-    found = F.when(by_comma, tail).when(~n.contains(",") & (run > 0), by_space).otherwise(F.array().cast("array<string>"))
-    left = F.when(by_comma, F.trim(F.regexp_extract(n, r"^([^,]*),", 1))).when(~n.contains(",") & (run > 0), F.array_join(F.slice(words, 1, F.size(words) - run), " ")).otherwise(n)
-    every = F.transform(F.concat(F.coalesce(F.col(creds), F.array().cast("array<string>")), found), norm)
-    return df.withColumns({creds: F.array_distinct(every), name: left})
+    by_comma = (F.size(tail) > 0) & F.forall(tail, said)
+    rows = df.withColumns({"_tail": F.when(by_comma, tail).otherwise(F.array().cast("array<string>")), "_words": F.split(F.trim(F.when(by_comma, F.regexp_extract(n, r"^([^,]*),", 1)).otherwise(n)), r"\s+")})
+    # how many words from the end are known: the place of the first other one, read backwards
+    other = F.array_position(F.transform(F.reverse("_words"), lambda x: (~said(x)).cast("int")), 1)
+    run = F.least(F.when(other > 0, other - 1).otherwise(F.size("_words")), F.size("_words") - 1).cast("int")
+    rows = rows.withColumn("_run", run)
+    left = F.array_join(F.slice("_words", F.lit(1), F.size("_words") - F.col("_run")), " ")
+    ended = F.slice("_words", F.size("_words") - F.col("_run") + 1, F.col("_run"))
+    every = F.concat(F.coalesce(F.col(creds), F.array().cast("array<string>")), F.col("_tail"), ended)
+    tidy = F.regexp_replace(left, r"^[ ,]+|[ ,]+$", "")
+    return rows.withColumns({creds: F.array_distinct(F.transform(every, norm)), name: F.when(tidy != "", tidy).otherwise(n)}).drop("_tail", "_words", "_run")
 
 
 def canonical_case(df: DataFrame, col: str, upper: list[str], special: dict[str, str]) -> DataFrame:

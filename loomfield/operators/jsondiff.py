@@ -8,23 +8,22 @@ from pyspark.sql import functions as F
 
 def leaves(df: DataFrame, key: str, json: str, max_depth: int = 25) -> DataFrame:
     """(key, path, value, sort): one row a leaf, paths as a.b[1].c; nulls have none. Each
-    pass opens one level of all documents, and ends where no container is left."""
-    level = df.select(F.col(key).alias("id"), F.lit("").alias("path"), F.array().cast("array<string>").alias("sort"), F.try_parse_json(json).alias("v"))
-    out = None
-    for depth in range(max_depth):
-        kind = F.schema_of_variant("v")
-        level = level.withColumn("kind", F.when(kind.startswith("OBJECT"), "o").when(kind.startswith("ARRAY"), "a").otherwise("l"))
-        flat = level.filter("kind = 'l' and not is_variant_null(v)").select("id", "path", "sort", F.expr("cast(v as string)").alias("value"))
-        out = flat if out is None else out.unionByName(flat)
-        if depth == max_depth - 1 or (depth and depth % 4 == 0 and level.filter("kind != 'l'").isEmpty()):
-            break
-        level.createOrReplaceTempView("_level")
-        level = df.sparkSession.sql(
-            """SELECT l.id, CASE WHEN l.kind = 'a' THEN concat(l.path, '[', e.pos, ']') WHEN l.path = '' THEN e.key ELSE concat(l.path, '.', e.key) END AS path,
-               array_append(l.sort, CASE WHEN l.kind = 'a' THEN lpad(e.pos, 9, '0') ELSE e.key END) AS sort, e.value AS v
-               FROM _level l, LATERAL variant_explode(l.v) e WHERE l.kind <> 'l'"""
+    document is parsed once: every level opens the containers among its rows and hands
+    on the leaves. A container at max_depth is one leaf, its JSON."""
+    rows = df.select(F.col(key).alias("id"), F.lit("").alias("path"), F.array().cast("array<string>").alias("sort"), F.try_parse_json(json).alias("v"))
+    for _ in range(max_depth - 1):
+        rows = df.sparkSession.sql(
+            """SELECT id, v,
+               CASE WHEN kind = 'a' THEN concat(path, '[', pos, ']') WHEN kind = 'o' AND path <> '' THEN concat(path, '.', k) WHEN kind = 'o' THEN k ELSE path END AS path,
+               CASE WHEN kind = 'a' THEN array_append(sort, lpad(pos, 9, '0')) WHEN kind = 'o' THEN array_append(sort, k) ELSE sort END AS sort
+               FROM (SELECT l.id, l.path, l.sort, l.kind, e.pos, e.key AS k, CASE WHEN l.kind = 'l' THEN l.v ELSE e.value END AS v
+                     FROM (SELECT *, CASE WHEN schema_of_variant(v) LIKE 'OBJECT%' THEN 'o' WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN 'a' ELSE 'l' END AS kind FROM {rows}) l,
+                     LATERAL variant_explode_outer(CASE WHEN l.kind <> 'l' THEN l.v END) e)""",
+            rows=rows,
         )
-    return out
+    kind = F.schema_of_variant("v")
+    value = F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json("v")).otherwise(F.expr("try_variant_get(v, '$', 'string')"))
+    return rows.filter("v is not null and not is_variant_null(v)").select("id", "path", "sort", value.alias("value")).filter("value is not null")
 
 
 def flat_leaves(df: DataFrame, key: str, json: str, fields: list[str]) -> DataFrame:

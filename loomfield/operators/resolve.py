@@ -7,6 +7,8 @@ picks the join; probes are deduplicated before anything that compares texts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,19 +127,43 @@ def grams(c: Column, n: int = 3) -> Column:
     return F.array_distinct(F.transform(at, lambda i: F.substr(c, i, F.lit(n))))
 
 
+def gram_pairs(a: DataFrame, b: DataFrame, shared: Callable[[Column], Column], by: tuple = ()) -> DataFrame:
+    """Distinct (by..., key, rkey) of a (by..., key) and b (by..., rkey) that have a 3-gram
+    in common among the rarest of each: shared(length) says how many grams a text of that
+    length shares with any partner at least, so all but that many, and one more, are
+    looked at. Common grams stay out wherever the bound allows it."""
+    ga = a.select(*by, "key", F.explode(grams(F.col("key"))).alias("g"))
+    gb = b.select(*by, "rkey", F.explode(grams(F.col("rkey"))).alias("g"))
+    freq = ga.select(*by, "g").unionByName(gb.select(*by, "g")).groupBy(*by, "g").agg(F.count(F.lit(1)).alias("df"))
+
+    def rarest(x: DataFrame, k: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(*by, k).orderBy("df", "g"))
+        n = F.length(k)
+        most = F.greatest(n - 2, F.lit(1)) - F.greatest(shared(n), F.lit(1)) + 1
+        return x.join(freq, [*by, "g"]).withColumn("_n", nth).filter(F.col("_n") <= most).select(*by, k, "g")
+
+    return rarest(ga, "key").join(rarest(gb, "rkey"), [*by, "g"]).select(*by, "key", "rkey").distinct()
+
+
 def near_pairs(cands: DataFrame, records: DataFrame, threshold: float = 0.90, blocked: bool = True) -> DataFrame:
     """(key, rkey, ratio) of distinct candidate keys and record keys with ratio at least
-    the threshold. Blocked on a shared 3-gram (both at most eight characters together:
-    on all short ones) and bounded by lengths; the ratio is for survivors only."""
+    the threshold. Blocked on the rarest 3-grams and bounded by lengths; both at most
+    eight characters together: on a shared character, or on equality where the threshold
+    leaves no character over. The ratio is for survivors only."""
     a, b = cands.select("key").distinct(), records.select(F.col("key").alias("rkey")).distinct()
     la, lb = F.length("key"), F.length("rkey")
     fits = 2 * F.least(la, lb) >= threshold * (la + lb)
     if blocked:
-        ga = a.select("key", F.explode(grams(F.col("key"))).alias("g"))
-        gb = b.select("rkey", F.explode(grams(F.col("rkey"))).alias("g"))
-        pairs = ga.join(gb, "g").filter(fits).select("key", "rkey").distinct()
-        short = a.filter("length(key) <= 5").withColumn("l", F.lit(1)).join(b.filter("length(rkey) <= 5").withColumn("l", F.lit(1)), "l").filter((la + lb <= 8) & fits).select("key", "rkey")
-        pairs = pairs.unionByName(short).distinct()
+        # m matched characters leave at most la + lb - 2 m + 1 gaps, each of which costs two grams
+        shared = lambda n: F.floor((2.5 * threshold - 2) * n * (1 + threshold / (2 - threshold)) - 2)
+        pairs = gram_pairs(a, b, shared).filter(fits)
+        sa, sb = a.filter("length(key) <= 7"), b.filter("length(rkey) <= 7")
+        if (1 - threshold) * 8 < 1:
+            short = sa.join(sb, F.col("key") == F.col("rkey"))
+        else:
+            each = lambda df, k: df.select(k, F.explode(F.array_distinct(F.split(k, ""))).alias("c"))
+            short = each(sa, "key").join(each(sb, "rkey"), "c").drop("c")
+        pairs = pairs.unionByName(short.filter((la + lb <= 8) & fits)).distinct()
     else:
         pairs = a.join(b, fits)
     return pairs.withColumn("ratio", gestalt_ratio("key", "rkey")).filter(F.col("ratio") >= threshold)
@@ -232,7 +258,12 @@ def resolve_city(roles: DataFrame, cities: DataFrame, floor: float = 0.9, cap: i
     distinct = asked_keys.select("country_id", "state_id", "ck").distinct()
     table = cities.select(F.col("country_id"), F.col("state_id"), F.col("id").alias("cid"), match_key(F.col("city")).alias("name"))
     score = 1 - F.levenshtein("ck", "name") / F.greatest(F.length("ck"), F.length("name"))
-    best = distinct.join(table, ["country_id", "state_id"]).withColumn("score", score).filter(F.col("score") >= floor)
+    # an edit costs three grams at most, and a partner within the floor bounds the edits
+    place = ("country_id", "state_id")
+    shared = lambda n: n - 2 - 3 * F.floor((1 - floor) * n / floor + 1e-9)
+    met = gram_pairs(distinct.withColumnRenamed("ck", "key"), table.select(*place, F.col("name").alias("rkey")).distinct(), shared, place)
+    near = met.withColumnsRenamed({"key": "ck", "rkey": "name"}).withColumn("score", score).filter(F.col("score") >= floor)
+    best = near.join(table, [*place, "name"])
     best = best.groupBy("country_id", "state_id", "ck").agg(F.min_by(F.struct("cid", "score"), F.struct(-F.col("score"), "cid")).alias("b"))
     got = asked_keys.join(best, ["country_id", "state_id", "ck"]).select("doc_id", "country_id", "state_id", "ck", "b.cid", "b.score")
     out = roles.withColumn("ck", key).join(got, ["doc_id", "country_id", "state_id", "ck"], "left").drop("ck")

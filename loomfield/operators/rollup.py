@@ -51,10 +51,13 @@ def platform_stats(tenants: DataFrame, keys: DataFrame, log: DataFrame) -> DataF
 
 
 def latency_percentiles(log: DataFrame, by: str, ps: dict[str, float]) -> DataFrame:
-    """Nearest rank round(p (n - 1)), halves to even, by ranking: no group is gathered."""
+    """Nearest rank round(p (n - 1)), halves to even: equal durations are counted with
+    map-side combining, and only the counts are ranked."""
+    counts = log.filter("duration_ms is not null").groupBy(by, "duration_ms").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy(by)
-    ranked = log.filter("duration_ms is not null").select(by, "duration_ms", F.row_number().over(w.orderBy("duration_ms")).alias("rank"), F.count(F.lit(1)).over(w).alias("n"))
-    picks = [F.max(F.when(F.col("rank") == F.bround(F.lit(p) * (F.col("n") - 1)) + 1, F.col("duration_ms"))).alias(name) for name, p in ps.items()]
+    ranked = counts.select(by, "duration_ms", "c", F.sum("c").over(w.orderBy("duration_ms")).alias("upto"), F.sum("c").over(w).alias("n"))
+    rank = {name: F.bround(F.lit(p) * (F.col("n") - 1)) + 1 for name, p in ps.items()}
+    picks = [F.max(F.when((F.col("upto") >= r) & (F.col("upto") - F.col("c") < r), F.col("duration_ms"))).alias(name) for name, r in rank.items()]
     rates = log.groupBy(by).agg(F.avg((F.col("status") == "completed").cast("int")).alias("success_rate"), F.avg(F.col("ocr_used").cast("int")).alias("ocr_rate"))
     return rates.join(ranked.groupBy(by).agg(*picks), by, "left")
 

@@ -108,9 +108,9 @@ def _(s, d):
     return S.flatten_facilities(f).drop("ord")
 
 
-@query("s10_keyword_overlay", "SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 AND p_partkey <= 100 THEN [p_type, 'x', 'y'] ELSE [p_type] END AS keywords FROM part WHERE p_partkey <= 100")
+@query("s10_keyword_overlay", "SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN [p_type, 'x', 'y'] ELSE [p_type] END AS keywords FROM part")
 def _(s, d):
-    p = table(s, d, "part").filter("p_partkey <= 100")
+    p = table(s, d, "part")
     name = F.concat_ws(" ", "p_partkey", "p_name")
     return S.keyword_overlay(p.select(F.col("p_partkey").alias("id"), name.alias("name"), F.array("p_type").alias("keywords")), p.filter("p_size % 5 = 0").select(name.alias("name"), F.array(F.lit("x"), F.lit("y")).alias("extra"))).select("id", "keywords")
 
@@ -252,11 +252,13 @@ def _(s, d):
     return rec.select("doc_id", "name", F.size("experience").cast("long").alias("n_roles"), F.col("experience")[0]["role"].alias("first_role"))
 
 
-@query("x10_reading_order", """WITH b AS (SELECT l_orderkey AS page_id, l_suppkey % 2 AS c, l_partkey AS y, l_quantity AS q FROM lineitem WHERE l_orderkey % 20 = 0)
-SELECT page_id, count(*) AS n FROM b GROUP BY 1""")
+@query("x10_reading_order", """WITH b AS (SELECT l_orderkey AS page_id, l_suppkey % 2 AS c, l_partkey AS y, l_linenumber AS pos, 'block of text number x' || l_partkey || ' and more of it' AS t FROM lineitem)
+SELECT page_id, count(*) AS n, md5(string_agg(t, chr(10) ORDER BY c, y, pos)) AS h FROM b GROUP BY 1""")
 def _(s, d):
-    b = table(s, d, "lineitem").filter("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("page_id"), F.lit(595.0).alias("page_width"), (50.0 + 250.0 * (F.col("l_suppkey") % 2)).alias("x0"), F.col("l_partkey").cast("double").alias("y0"), F.concat(F.lit("block of text number "), F.col("l_partkey"), F.lit(" and more")).alias("text"))
-    return X.reading_order(b).select("page_id", F.size(F.split("text", "block of")).cast("long").alias("n1")).select("page_id", (F.col("n1") - 1).alias("n"))
+    text = F.concat(F.lit("block of text number x"), F.col("l_partkey"), F.lit(" and more of it"))
+    y = F.col("l_partkey").cast("double")
+    b = table(s, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.lit(595.0).alias("page_width"), F.col("l_linenumber").alias("pos"), (50.0 + 250.0 * (F.col("l_suppkey") % 2)).alias("x0"), y.alias("y0"), (y + 10).alias("y1"), text.alias("text"))
+    return X.reading_order(b).select("page_id", F.size(F.split("text", "\n")).cast("long").alias("n"), F.md5("text").alias("h"))
 
 
 # ---- streams and their batch twins
@@ -314,12 +316,24 @@ _PROGRESS = f"""WITH {_ACTIONS}, e AS (SELECT DISTINCT batch_id, job_id, first_v
 SELECT batch_id, 'batch.completed' AS event, count(*) AS ended, count_if(action = 'failed') AS failed FROM e GROUP BY 1 HAVING count(*) >= 20 + batch_id % 20"""
 
 
+@query("r3_job_state_stream", f"""WITH {_ACTIONS}, j AS (SELECT job_id, min(CASE WHEN action = 'claim' THEN ts END) AS c, min_by(action, ts) FILTER (action IN ('completed', 'failed')) AS f FROM a GROUP BY 1)
+SELECT job_id, CASE WHEN c IS NOT NULL AND f IS NOT NULL THEN f ELSE 'processing' END AS state FROM j""")
+def _(s, d):
+    return R.run_available(R.job_state(_actions(_stream(s, d))).drop("claimed"), shared(s, "jobs"), "update", ["job_id"])
+
+
 @query("r4_batch_progress", _PROGRESS)
 def _(s, d):
     a = _actions(table(s, d, "events"))
     return R.batch_progress(a, a.select("batch_id").distinct().withColumn("total", 20 + F.col("batch_id") % 20))
 
 
+@query("r4_batch_progress_stream", _PROGRESS)
+def _(s, d):
+    a = _actions(_stream(s, d)).withColumn("total", 20 + F.col("batch_id") % 20)
+    return R.run_available(R.batch_progress_stream(a), shared(s, "batches"), "update", ["batch_id"])
+
+
 def _requests(df):
     return df.select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("key"), "ts", F.get_json_object("props", "$.k").cast("long").alias("tokens"))
 
@@ -352,7 +366,15 @@ def _(s, d):
     return R.retry_lineage(j)
 
 
-@query("r8_rule_pack_fold")
+@query("r8_rule_pack_fold", """WITH a AS (SELECT CAST(user_id % 5 AS VARCHAR) AS scope, CAST(user_id % 7 AS VARCHAR) AS owner, event_id AS seq, ['r' || event_id] AS r, CASE event_type WHEN 'click' THEN 'p' WHEN 'purchase' THEN 'a' WHEN 'error' THEN 'x' WHEN 'view' THEN 'e' ELSE 'd' END AS act FROM events),
+  t AS (SELECT *, lag(act) OVER w AS pa, lag(r) OVER w AS pr FROM a WHERE act IN ('p', 'a', 'x') WINDOW w AS (PARTITION BY scope, owner ORDER BY seq)),
+  b AS (SELECT scope, owner, min(seq) FILTER (act = 'p') AS begun, count_if(act = 'p') AS version FROM a GROUP BY 1, 2),
+  ev AS (SELECT a.scope, a.owner, a.seq, a.act, t.pr FROM a JOIN b USING (scope, owner) LEFT JOIN t ON t.scope = a.scope AND t.owner = a.owner AND t.seq = a.seq WHERE a.seq >= begun AND (a.act <> 'a' OR t.pa = 'p')),
+  f AS (SELECT scope, owner, arg_max(act, seq) AS last_act, max(seq) FILTER (act = 'a') AS approved_at, arg_max(pr, seq) FILTER (act = 'a') AS rules FROM ev GROUP BY 1, 2),
+  l AS (SELECT scope, owner, arg_max(act, seq) AS last_turn, arg_max(r, seq) AS last_rules FROM t GROUP BY 1, 2),
+  s AS (SELECT b.scope, b.owner, b.version, rules, last_turn, last_rules, CASE WHEN last_act IS NULL THEN 'none' WHEN last_act = 'p' THEN 'pending' WHEN last_act = 'a' THEN 'active' WHEN last_act = 'd' THEN 'disabled' WHEN approved_at IS NOT NULL THEN 'active' ELSE 'none' END AS status
+    FROM b LEFT JOIN f ON f.scope = b.scope AND f.owner = b.owner LEFT JOIN l ON l.scope = b.scope AND l.owner = b.owner)
+SELECT scope, owner, CASE WHEN status = 'active' THEN coalesce(rules, []) ELSE [] END AS rules, CASE WHEN last_turn = 'p' THEN last_rules ELSE [] END AS proposed, status, CAST(version AS INT) AS version FROM s""")
 def _(s, d):
     kind = F.col("event_type")
     act = F.when(kind == "click", "propose").when(kind == "purchase", "approve").when(kind == "error", "reject").when(kind == "view", "enable").otherwise("disable")

@@ -154,11 +154,11 @@ _CREDS = ["RN", "BSN", "MSN", "CCRN"]
 
 
 @query("t14_split_name_credentials", """
-SELECT c_custkey, split_part(c_name, '#', 1) AS name, CASE c_custkey % 4 WHEN 0 THEN ['RN','BSN'] WHEN 1 THEN ['CCRN'] WHEN 2 THEN [] ELSE ['MSN'] END AS creds FROM customer""")
+SELECT c_custkey, CASE c_custkey % 6 WHEN 5 THEN 'Smith, Jane' ELSE split_part(c_name, '#', 1) END AS name, CASE c_custkey % 6 WHEN 0 THEN ['RN','BSN'] WHEN 1 THEN ['CCRN'] WHEN 2 THEN [] WHEN 3 THEN ['MSN'] WHEN 4 THEN ['BSN','RN'] ELSE ['RN'] END AS creds FROM customer""")
 def _(s, d):
-    k = F.col("c_custkey") % 4
+    k = F.col("c_custkey") % 6
     name = F.split_part("c_name", F.lit("#"), F.lit(1))
-    said = F.when(k == 0, F.concat(name, F.lit(", RN, bsn"))).when(k == 1, F.concat(name, F.lit(" CCRN"))).when(k == 2, name).otherwise(name)
+    said = F.when(k == 0, F.concat(name, F.lit(", RN, bsn"))).when(k == 1, F.concat(name, F.lit(" CCRN"))).when(k == 4, F.concat(name, F.lit(" RN, BSN"))).when(k == 5, "Smith, Jane RN").otherwise(name)
     df = table(s, d, "customer").select("c_custkey", said.alias("name"), F.when(k == 3, F.array(F.lit("MSN"))).otherwise(F.array().cast("array<string>")).alias("creds"))
     return H.split_name_credentials(df, "name", "creds", _CREDS)
 
@@ -237,11 +237,12 @@ def _(s, d):
 
 
 @query("t25_expiry_warnings", """
-SELECT l_orderkey AS doc_id, 'No expiry date for: ' || string_agg(l_returnflag, ', ' ORDER BY l_returnflag) AS warning
-FROM (SELECT DISTINCT l_orderkey, l_returnflag FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_linestatus = 'F') GROUP BY l_orderkey""")
+WITH c AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, l_returnflag || l_linestatus AS name FROM lineitem WHERE l_returnflag || l_linestatus IN ('AF', 'RF', 'NO') AND l_quantity <= 25)
+SELECT doc_id, 'No expiry date for: ' || string_agg(name, ', ' ORDER BY pos, name) AS warning FROM c GROUP BY doc_id""")
 def _(s, d):
-    li = table(s, d, "lineitem").filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("name"), F.lit(None).cast("string").alias("expiry")).distinct()
-    return H.expiry_warnings(li.withColumn("pos", F.ascii("name")), ["A", "R"])
+    expiry = F.when(F.col("l_quantity") > 25, F.col("l_shipdate").cast("string")).when(F.col("l_quantity") > 10, " ")
+    li = table(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.concat("l_returnflag", "l_linestatus").alias("name"), expiry.alias("expiry"))
+    return H.expiry_warnings(li, ["AF", "RF", "NO"])
 
 
 @query("t26_name_email_mismatch", """

@@ -20,14 +20,14 @@ def scan_files(spark: SparkSession, path: str, extensions: dict | None = None, m
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     kind = F.create_map(*[F.lit(x) for kv in extensions.items() for x in kv])[ext]
-    head, body = F.hex(F.substring("content", 1, 12)), F.hex("content")
+    head = F.hex(F.substring("content", 1, 12))
     starts = F.lit(False)
     for t, heads in magic.items():
         for h in heads:
             starts = starts | ((kind == t) & head.startswith(h))
     webp = (kind != "webp") | (F.substring(head, 17, 8) == "57454250")
-    names = lambda s: F.lit(s.encode().hex().upper())
-    office = (kind != "docx") | (body.contains(names("[Content_Types].xml")) & body.contains(names("word/")))
+    holds = lambda s: F.contains(F.col("content"), F.lit(s.encode()))
+    office = (kind != "docx") | (holds("[Content_Types].xml") & holds("word/"))
     reason = F.when(kind.isNull(), "unsupported").when(F.col("length") == 0, "empty").when(~starts, "content is not of its type").when(~(webp & office), "inner marks are missing")
     return df.select("path", ext.alias("ext"), kind.alias("file_type"), "length", reason.isNull().alias("ok"), reason.alias("reason"))
 

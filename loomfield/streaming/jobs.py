@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 FINAL = ("completed", "partial", "failed")
 
@@ -30,37 +26,14 @@ def skip_done(df: DataFrame, key: str, ts: str, delay: str | None = None) -> Dat
 
 def job_state(events: DataFrame) -> DataFrame:
     """events (job_id, ts, action) to the state of each job: the first claim starts it,
-    the first final action after that ends it; pending reads as processing."""
+    the first final action ends it; pending reads as processing. One aggregate, so the
+    same on a table and, in update mode, on a stream."""
     at = lambda cond: F.min(F.when(cond, F.struct("ts", "action")))
     out = events.groupBy("job_id").agg(at(F.col("action") == "claim").alias("c"), at(F.col("action").isin(*FINAL)).alias("f"))
     done = F.col("c").isNotNull() & F.col("f").isNotNull()
     return out.select("job_id", F.when(done, F.col("f.action")).otherwise("processing").alias("state"), F.col("c.ts").alias("claimed"))
 
 
-class JobProcessor(StatefulProcessor):
-    """job_state() one event at a time: a row for each change."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "claimed boolean, final string", ttlDurationMs=3_600_000)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        claimed, final = self.state.get() if self.state.exists() else (False, None)
-        for part in rows:
-            for action in part.sort_values("ts")["action"]:
-                claimed = claimed or action == "claim"
-                if final is None and action in FINAL:
-                    final = action
-        self.state.update((bool(claimed), final))
-        yield pd.DataFrame({"job_id": [key[0]], "state": [final if claimed and final else "processing"]})
-
-    def close(self) -> None:
-        pass
-
-
-def job_state_stream(events: DataFrame) -> DataFrame:
-    return events.groupBy("job_id").transformWithStateInPandas(statefulProcessor=JobProcessor(), outputStructType="job_id long, state string", outputMode="Update", timeMode="ProcessingTime")
-
-
 def batch_progress(events: DataFrame, batches: DataFrame) -> DataFrame:
     """One batch.completed row a batch whose distinct ended jobs reach its total."""
     ended = events.filter(F.col("action").isin(*FINAL)).groupBy("batch_id", "job_id").agg(F.min_by("action", "ts").alias("action"))
@@ -68,37 +41,18 @@ def batch_progress(events: DataFrame, batches: DataFrame) -> DataFrame:
     return batches.join(n, "batch_id").filter("ended >= total").select("batch_id", F.lit("batch.completed").alias("event"), "ended", "failed")
 
 
-class BatchProcessor(StatefulProcessor):
-    """batch_progress() on a stream: each job counts once, one event a batch, whether its
-    total comes before or after its jobs."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        day = 86_400_000
-        self.total = handle.getValueState("total", "total long, sent boolean", ttlDurationMs=day)
-        self.jobs = handle.getMapState("jobs", "job_id long", "action string", ttlDurationMs=day)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        total, sent = self.total.get() if self.total.exists() else (None, False)
-        for part in rows:
-            for r in part.sort_values("ts").itertuples():
-                if r.total is not None and r.total == r.total:
-                    total = int(r.total)
-                if r.action in FINAL and not self.jobs.containsKey((r.job_id,)):
-                    self.jobs.updateValue((r.job_id,), (r.action,))
-        ended = sum(1 for _ in self.jobs.keys()) if self.jobs.exists() else 0
-        if total is not None and ended >= total and not sent:
-            sent = True
-            failed = sum(1 for v in self.jobs.values() if v[0] == "failed")
-            yield pd.DataFrame({"batch_id": [key[0]], "event": ["batch.completed"], "ended": [ended], "failed": [failed]})
-        self.total.update((total, sent))
-
-    def close(self) -> None:
-        pass
-
-
 def batch_progress_stream(events: DataFrame) -> DataFrame:
-    """events (batch_id, job_id, ts, action, total: of the batch, null on job rows)."""
-    return events.groupBy("batch_id").transformWithStateInPandas(statefulProcessor=BatchProcessor(), outputStructType="batch_id long, event string, ended long, failed long", outputMode="Append", timeMode="ProcessingTime")
+    """batch_progress() on a stream of events (batch_id, job_id, ts, action, total: of the
+    batch, null on job rows), in update mode: one aggregate whose state is the ended jobs
+    of each batch, as many as the batch has. A redelivered row changes nothing; a row
+    for a batch that has completed before repeats its event with the same batch_id."""
+    ended = F.when(F.col("action").isin(*FINAL), F.struct("job_id", "ts", "action"))
+    state = events.groupBy("batch_id").agg(F.max("total").alias("total"), F.array_sort(F.collect_set(ended)).alias("e"))
+    # in order of job and time, a job's first row is the one that counts
+    once = F.filter("e", lambda x, i: (i == 0) | (F.get("e", i - 1)["job_id"] != x["job_id"]))
+    failed = F.size(F.filter(once, lambda x: x["action"] == "failed")).cast("long")
+    out = state.select("batch_id", F.lit("batch.completed").alias("event"), F.size(once).cast("long").alias("ended"), failed.alias("failed"), "total")
+    return out.filter("ended >= total").drop("total")
 
 
 def rate_windows(requests: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
@@ -143,31 +97,36 @@ def retry_lineage(jobs: DataFrame, most: int = 3) -> DataFrame:
     return walk.select("job_id", "root", "attempt", (F.col("attempt") == last).alias("latest"))
 
 
-def fold_rules(actions: list[tuple]) -> tuple:
-    """(rules, proposed, status, version) after (action, rules) in order."""
-    rules, proposed, status, version = [], [], "none", 0
-    for action, new in actions:
-        if action == "propose":
-            proposed, status, version = list(new), "pending", version + 1
-        elif action == "approve" and status == "pending":
-            rules, proposed, status = proposed, [], "active"
-        elif action == "reject" and status == "pending":
-            proposed, status = [], "active" if rules else "rejected"
-        elif action in ("disable", "enable") and rules:
-            status = "disabled" if action == "disable" else "active"
-    return rules, proposed, status, version
-
-
 def rule_pack_fold(actions: DataFrame) -> DataFrame:
-    """actions (scope, owner, seq, action, rules[]) to the state of each pack; only active
-    rules apply."""
-
-    def fold(key, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("seq")
-        rules, proposed, status, version = fold_rules(list(zip(p["action"], p["rules"], strict=True)))
-        return pd.DataFrame({"scope": [key[0]], "owner": [key[1]], "rules": [rules if status == "active" else []], "proposed": [proposed], "status": [status], "version": [version]})
-
-    return actions.groupBy("scope", "owner").applyInPandas(fold, "scope string, owner string, rules array<string>, proposed array<string>, status string, version int")
+    """actions (scope, owner, seq, action, rules[]) to the state of each pack (rules,
+    proposed, status, version); only active rules apply. A proposal waits, an approval
+    makes one that waits the rules, a rejection drops it; enabling, disabling and
+    rejecting count from the first proposal on. What precedes an approval is the only
+    thing that needs the order; the rest are greatest sequence numbers, combined on the
+    map side."""
+    none = F.array().cast("array<string>")
+    own = Window.partitionBy("scope", "owner").orderBy("seq")
+    turns = actions.filter(F.col("action").isin("propose", "approve", "reject"))
+    before = F.lag(F.struct("action", "rules")).over(own)
+    turns = turns.withColumn("before", before)
+    real = (F.col("action") == "approve") & (F.col("before.action") == "propose") & (F.size("before.rules") > 0)
+    said = lambda c: F.max(F.when(c, F.col("seq")))
+    told = turns.groupBy("scope", "owner").agg(
+        F.count_if(F.col("action") == "propose").cast("int").alias("version"), F.min(F.when(F.col("action") == "propose", F.col("seq"))).alias("begun"),
+        said(F.col("action") == "propose").alias("proposed_at"), said(F.coalesce(real, F.lit(False))).alias("approved_at"), said(F.col("action") == "reject").alias("rejected_at"),
+        F.max(F.when(real, F.struct("seq", F.col("before.rules").alias("rules")))).alias("approved"), F.max(F.struct("seq", "action", "rules")).alias("last"),
+    )
+    turned = actions.filter(F.col("action").isin("enable", "disable")).groupBy("scope", "owner").agg(said(F.col("action") == "enable").alias("enabled_at"), said(F.col("action") == "disable").alias("disabled_at"))
+    every = actions.select("scope", "owner").distinct().join(told, ["scope", "owner"], "left").join(turned, ["scope", "owner"], "left")
+    at = lambda c: F.coalesce(F.when(F.col(c) >= F.col("begun"), F.col(c)), F.lit(-1))
+    names = ("proposed_at", "approved_at", "rejected_at", "enabled_at", "disabled_at")
+    latest = F.greatest(*map(at, names))
+    has = F.when(at("approved_at") >= 0, "active").otherwise("none")
+    status = F.when(latest < 0, "none").when(latest == at("proposed_at"), "pending").when(latest == at("approved_at"), "active").when(latest == at("disabled_at"), "disabled").otherwise(has)
+    # rejected or enabled before the first approval, the pack has no rules yet
+    rules = F.when(status == "active", F.coalesce(F.col("approved.rules"), none)).otherwise(none)
+    proposed = F.when(F.col("last.action") == "propose", F.col("last.rules")).otherwise(none)
+    return every.select("scope", "owner", rules.alias("rules"), proposed.alias("proposed"), status.alias("status"), F.coalesce("version", F.lit(0)).alias("version"))
 
 
 def usage_stream(log: DataFrame, delay: str = "1 day") -> DataFrame:

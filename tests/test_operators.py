@@ -1,6 +1,5 @@
 """Operators on literal rows, a case for each clause."""
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,9 +64,9 @@ def test_low_quality(spark):
 
 
 def test_name_credentials(spark):
-    df = spark.createDataFrame([("Ann Lee, RN, BSN", ["rn"]), ("Ann Lee RN", None), ("Lee, Ann", None), ("RN", None)], "n string, c array<string>")
+    df = spark.createDataFrame([("Ann Lee, RN, BSN", ["rn"]), ("Ann Lee RN", None), ("Lee, Ann", None), ("RN", None), ("Jane Smith RN, BSN", None), ("Smith, Jane RN", None)], "n string, c array<string>")
     got = [tuple(r) for r in hygiene.split_name_credentials(df, "n", "c", ["RN", "BSN"]).collect()]
-    assert got == [("Ann Lee", ["RN", "BSN"]), ("Ann Lee", ["RN"]), ("Lee, Ann", []), ("RN", [])]
+    assert got == [("Ann Lee", ["RN", "BSN"]), ("Ann Lee", ["RN"]), ("Lee, Ann", []), ("RN", []), ("Jane Smith", ["BSN", "RN"]), ("Smith, Jane", ["RN"])]
 
 
 CATALOG = [(1, 1, "ICU", "Intensive Care Unit", ["critical care"], "RN"), (2, 2, "ICU", None, None, "CNA"), (3, 3, "Pediatric ICU", "Intensive Care Unit", ["critical care"], "RN"), (4, 4, "Telemetry", None, ["tele"], "RN")]
@@ -118,19 +117,143 @@ def test_segment_and_blocks(spark):
     rules = {"experience": ["experience"], "certifications": ["certifications", "licenses"]}
     out = {(r.doc_id, r.section): r.text for r in segment.segment(segment.section_headers(lines, rules)).collect()}
     assert out[2, "full_text"] == "just prose" and out[1, "header"] == "Ann Lee" and out[1, "certifications"] == "RN\nExperience in a 64-bed unit"
-    got = segment.blocks_of(out[1, "experience"].split("\n"))
-    assert got == [("Nurse", "Acme", "Jan 2019", "Present", ["cared"]), ("Aide", None, "08/2015", "2017", ["helped"])]
+    assert entries(spark, out[1, "experience"]) == [("Nurse", "Acme", "01/2019", "Present", True, ["cared"]), ("Aide", None, "08/2015", "2017", False, ["helped"])]
 
 
-def test_reading_order():
-    page = lambda rows: pd.DataFrame(rows, columns=["x0", "y0", "text"]).assign(page_width=595.0)
-    assert segment.reading(page([(50, 10, "a b c d e f g h i j k l m n o"), (300, 10, "second column of long prose text"), (50, 30, "more"), (300, 30, "and more of that long prose text")])).split("\n")[1] == "more"
-    rows = [(50, 10 * i, f"job number {i}") for i in range(5)] + [(450, 0, "2019 - 2020"), (450, 20, "2017 - 2018")]
-    assert segment.reading(page(rows)).split("\n")[0] == "job number 0 2019 - 2020"
+def entries(spark, text, **caps):
+    out = segment.experience_blocks(spark.createDataFrame([(1, text)], "doc_id long, text string"), **caps).orderBy("pos").collect()
+    assert [r.pos for r in out] == list(range(len(out)))
+    return [(r.role, r.company, r.start_date, r.end_date, r.is_current, r.description) for r in out]
 
 
-def test_rule_fold():
-    assert jobs.fold_rules([("propose", ["a"]), ("approve", []), ("disable", []), ("propose", ["b"]), ("reject", [])]) == (["a"], [], "active", 2)
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("no dates here\nat all", []),
+        ("Nurse, 2010 - 2012", [("Nurse", None, "2010", "2012", False, [])]),
+        ("2010 - 2012", [(None, None, "2010", "2012", False, [])]),
+        ("too far up\n\nFirm\nRole\n2010 to present", [("Firm", "Role", "2010", "Present", True, [])]),
+        ("third\nFirm\nRole\n2010 - 2011 | Rome\nfree text\n- done\n\nNext\n2012 - 2013\nlast", [("Firm", "Role", "2010", "2011", False, ["free text", "done"]), ("Next", None, "2012", "2013", False, ["last"])]),
+        ("A\n2010 - 2011\n2012 - 2013\nB", [("A", None, "2010", "2011", False, []), (None, None, "2012", "2013", False, ["B"])]),
+        ("Head\n- bullet\nRole\nMay\n2010 - June 2011", [("Head", "Role", "05/2010", "06/2011", False, [])]),
+    ],
+)
+def test_experience_blocks(spark, text, want):
+    assert entries(spark, text) == want
+
+
+def test_experience_blocks_caps_and_null(spark):
+    assert len(entries(spark, "\n".join(f"{1950 + i} - {1951 + i}" for i in range(70)))) == 60
+    assert entries(spark, "Role\n2010 - 2011\n" + "\n".join(f"- item {i}" for i in range(50)))[0][5] == [f"item {i}" for i in range(40)]
+    assert entries(spark, None) == []
+
+
+def test_reading_order(spark):
+    long = "a line of prose that is long enough to be no note"
+    pages = {
+        "columns": [(50, 10, long + " 1"), (300, 10, long + " 3"), (50, 30, long + " 2"), (300, 30, long + " 4")],
+        "one": [(52, 30, "c"), (50, 10, "a"), (60, 10, "b"), (50, 50, "  ")],
+        "dated": [(50, 20 * i, f"job {i}") for i in range(5)] + [(450, 0, "January, 2019 to December, 2020"), (450, 42, "2017 - 2018")],
+        "not beside": [(50, 20 * i, f"job {i}") for i in range(5)] + [(450, 200, "2019"), (450, 240, "2017")],
+        "prose strip": [(50, 20 * i, f"job {i}") for i in range(5)] + [(450, 0, long), (450, 40, long)],
+        "as many": [(50, 0, "left"), (450, 0, "2019")],
+    }
+    rows = [(name, 595.0, i, float(x), float(y), float(y + 12), t) for name, blocks in pages.items() for i, (x, y, t) in enumerate(blocks)]
+    blocks = spark.createDataFrame(rows, "page_id string, page_width double, pos int, x0 double, y0 double, y1 double, text string")
+    got = {r.page_id: r.text.split("\n") for r in segment.reading_order(blocks).collect()}
+    assert [t[-1] for t in got["columns"]] == ["1", "2", "3", "4"] and got["one"] == ["a", "b", "c"]
+    assert got["dated"] == ["job 0", "January, 2019 to December, 2020", "job 1", "job 2", "2017 - 2018", "job 3", "job 4"]
+    jobs_first = [f"job {i}" for i in range(5)]
+    assert got["not beside"] == [*jobs_first, "2019", "2017"] and got["prose strip"] == [*jobs_first, long, long] and got["as many"] == ["left", "2019"]
+
+
+def test_rule_fold(spark):
+    import random
+
+    rng, packs = random.Random(1), {}
+    for k in range(120):
+        packs[f"p{k}"] = [(rng.choice(["propose", "approve", "reject", "enable", "disable"]), [f"r{k}.{i}"] * rng.randrange(3)) for i in range(rng.randrange(1, 9))]
+    packs["told"] = [("propose", ["a"]), ("approve", []), ("disable", []), ("propose", ["b"]), ("reject", [])]
+    rows = [("s", k, i, a, r) for k, acts in packs.items() for i, (a, r) in enumerate(acts)]
+    out = {r.owner: (r.rules, r.proposed, r.status, r.version) for r in jobs.rule_pack_fold(spark.createDataFrame(rows, "scope string, owner string, seq long, action string, rules array<string>")).collect()}
+    for k, acts in packs.items():
+        rules, waiting, status, version = [], [], None, 0
+        for act, new in acts:
+            if act == "propose":
+                waiting, status, version = new, "pending", version + 1
+            elif status is None:
+                continue
+            elif act == "approve":
+                if waiting:
+                    rules, waiting, status = waiting, [], "active"
+            elif act == "disable":
+                status = "disabled"
+            else:
+                waiting, status = ([] if act == "reject" else waiting), "active" if rules else "none"
+        assert out[k] == (rules if status == "active" else [], waiting, status or "none", version), acts
+    assert out["told"] == (["a"], [], "active", 2)
+
+
+def test_job_streams_are_their_tables(spark, tmp_path):
+    rows = [(b, b * 10 + j, f"2024-01-01 00:0{t}:00", a, 2) for b, j, t, a in [(1, 1, 1, "claim"), (1, 1, 2, "completed"), (1, 1, 3, "failed"), (1, 2, 1, "failed"), (2, 1, 1, "completed"), (2, 1, 2, "completed"), (3, 1, 1, "claim")]]
+    df = spark.createDataFrame(rows, "batch_id long, job_id long, ts string, action string, total long").withColumn("ts", F.to_timestamp("ts"))
+    for i in range(2):  # the second half comes late, and the first is delivered again
+        (df.orderBy("ts").limit(4) if i == 0 else df).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    read = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    got = jobs.run_available(jobs.batch_progress_stream(read()), f"{tmp_path}/b", "update", ["batch_id"])
+    assert [tuple(r) for r in got.collect()] == [(1, "batch.completed", 2, 1)]
+    state = jobs.run_available(jobs.job_state(read()).drop("claimed"), f"{tmp_path}/j", "update", ["job_id"])
+    want = jobs.job_state(df).drop("claimed")
+    assert sorted(map(tuple, state.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("put", ["{b}x", "x{b}y", "x{b}", "{b}", "x{b}\ny{b}\n"])
+def test_long_runs_of_blanks(spark, put):
+    text = put.format(b=" \t" * 500_000)
+    assert one(spark, text, lambda c: F.length(T.clean_text(c))) == {"{b}x": 1, "x{b}y": 1_000_002, "x{b}": 1, "{b}": 0, "x{b}\ny{b}\n": 3}[put]
+    assert one(spark, text, T.low_quality) == (len(text.strip()) < 120)
+    assert one(spark, text, lambda c: F.length(T.match_key(c))) <= 3
+
+
+def test_phrases_settle(spark):
+    df = spark.createDataFrame([("icu " * 16,), ("Step Down step down unit",), (None,), ("",)], "t string")
+    assert [r.t for r in hygiene.dedup_phrase(df, "t").collect()] == ["icu", "Step Down unit", None, ""]
+
+
+def test_containers_below_the_depth_are_leaves(spark):
+    df = spark.createDataFrame([(1, '{"a":{"b":{"c":1}},"d":[]}', '{"a":{"b":{"c":2}}}'), (2, "not json", None)], "id long, x string, y string")
+    assert {(r.path, r.value) for r in jsondiff.leaves(df, "id", "x", 3).collect()} == {("a.b", '{"c":1}')}
+    assert [r.path for r in jsondiff.json_diff(jsondiff.leaves(df, "id", "x", 3), jsondiff.leaves(df, "id", "y", 3)).collect()] == ["a.b"]
+    assert {(r.path, r.value) for r in jsondiff.leaves(df, "id", "x").collect()} == {("a.b.c", "1")}
+
+
+def test_near_pairs_are_the_cross_joins(spark):
+    import random
+
+    rng = random.Random(9)
+    stock = ["".join(rng.choice("abc d") for _ in range(rng.randrange(1, 16))) for _ in range(60)]
+    odd = [x[:i] + rng.choice("ab") + x[i + rng.randrange(2) :] for x in stock for i in [rng.randrange(len(x))]] + ["aaaaaaaaaaaa", "aaaaaaaaaaaaa"]
+    a, b = spark.createDataFrame([(x,) for x in stock], "key string"), spark.createDataFrame([(x,) for x in odd], "key string")
+    for t in (0.9, 0.8):
+        got, want = (set(map(tuple, resolve.near_pairs(a, b, t, blocked).collect())) for blocked in (True, False))
+        assert got == want and want if t == 0.9 else got <= want
+
+
+def test_cities_are_found_as_by_comparing_all(spark):
+    import random
+
+    rng = random.Random(2)
+    towns = ["".join(rng.choice("abcde ") for _ in range(rng.randrange(1, 24))).strip() or "x" for _ in range(80)]
+    cities = spark.createDataFrame([(1, i % 2, i, t) for i, t in enumerate(towns)], "country_id int, state_id int, id int, city string")
+    asked = [(i, 0, 1, i % 2, t[:k] + t[k + 1 :] if i % 3 else t, None) for i, t in enumerate(towns) for k in [len(t) // 2]]
+    roles = spark.createDataFrame(asked, "doc_id int, pos int, country_id int, state_id int, city string, city_id int")
+    got = {r.doc_id: (r.city_id, round(r.city_confidence, 6)) for r in resolve.resolve_city(roles, cities).collect()}
+    every = roles.join(cities.select("country_id", "state_id", "id", F.col("city").alias("c")), ["country_id", "state_id"])
+    k, n = T.match_key(F.col("city")), T.match_key(F.col("c"))
+    score = 1 - F.levenshtein(k, n) / F.greatest(F.length(k), F.length(n))
+    best = every.withColumn("s", score).filter("s >= 0.9").groupBy("doc_id").agg(F.min_by(F.struct("id", "s"), F.struct(-F.col("s"), "id")).alias("b"))
+    want = {r.doc_id: (r.b.id, round(r.b.s, 6)) for r in best.collect()}
+    assert got == {i: want.get(i, (None, 0.0)) for i in range(len(towns))} and len(want) > 30
 
 
 def test_streaks_and_rates(spark):
