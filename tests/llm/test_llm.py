@@ -1,6 +1,7 @@
 """The corpus operators on small and odd tables, against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomfield.llm import content_sort, language, mixing, near_dedup, ogg, packing, pii, randomness, suffix_sort, superkmers
 
@@ -288,7 +290,46 @@ def test_secrets_of_every_encoding_and_length(spark):
     out = {r.doc_id: r.spans for r in randomness.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert out == {0: "random:4:68", 1: "random:4:56", 2: "random:4:27", 3: ""}
     long = spark.createDataFrame([(randomness.BASE64 * 16_000,)], "t string")  # in the alphabet's order: only the other two tests see that
-    assert long.select(randomness._statistics(long.t, randomness.BASE64)["p"].alias("p")).first().p < 0.001
+    assert long.select(randomness.battery(long.t, F.lit(randomness.BASE64)).alias("p")).first().p < 0.001
+
+
+def test_battery_p_values(spark):
+    """Uniform over random tokens, tiny for words and sequences, exact tails."""
+    df = spark.createDataFrame([(z,) for z in (-3.0, 0.0, 1.0, 5.0, 20.0)], "z double")
+    for r in df.select("z", randomness.normal_tail(df.z).alias("p")).collect():
+        want = math.erfc(r.z / 2**0.5) / 2
+        assert abs(r.p - want) <= 1e-6 * want
+    df = spark.createDataFrame([(float(c), m) for c in (0, 1, 4, 9, 25) for m in (3.0, 12.0)], "c double, m double")
+    for r in df.select("c", "m", randomness.poisson_from(df.c, df.m).alias("p")).collect():
+        want = math.fsum(math.exp(-r.m) * r.m**i / math.factorial(i) for i in range(int(r.c), 120))
+        assert abs(r.p - want) < 0.006 and (r.p < 3 * want + 1e-12)
+    rng = random.Random(3)
+    for alphabet in (randomness.HEX_DIGITS, randomness.BASE32, randomness.BASE64):
+        for n in (20, 40, 400):
+            df = spark.createDataFrame([("".join(rng.choice(alphabet) for _ in range(n)),) for _ in range(400)], "t string")
+            p = [r.p for r in df.select(randomness.battery(df.t, F.lit(alphabet)).alias("p")).collect()]
+            assert sum(x < 0.1 for x in p) < 70 and sum(x < 0.01 for x in p) < 16 and sum(x >= randomness.SURE for x in p) > 240
+    df = spark.createDataFrame([("electroencephalographically" * 2,), ("abcdefghijklmnopqrstuvwxyz" * 2,), ("ab" * 30,), ("aaaaaaaaaabbbbbbbbbbccccccccccyyyyyyyyyyzzzzzzzzzz",)], "t string")
+    assert all(r.p < 0.01 for r in df.select(randomness.battery(df.t, F.lit(randomness.BASE32.lower())).alias("p")).collect())
+
+
+def test_secrets_recall_precision_and_size(spark):
+    """Planted keys among words and paths: most keys found, nearly nothing else."""
+    rng = random.Random(12)
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    kinds = [randomness.HEX_DIGITS.upper(), randomness.BASE32, randomness.BASE64]
+    planted = {i: draw(kinds[i % 3], rng.randrange(32, 90)) for i in range(150)}
+    syllables = ["con", "ver", "tion", "al", "ment", "er", "in", "stra", "den", "lo"]
+    texts = [(i, f"the key {x} is here") for i, x in planted.items()]
+    texts += [(1000 + i, "see src/" + "/".join("".join(rng.choice(syllables) for _ in range(4)) for _ in range(4)) + " " + "xy" * 30) for i in range(150)]
+    out = {r.doc_id: r.spans for r in randomness.secret_spans(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    found = sum(f"random:8:{8 + len(x)}" in out[i] for i, x in planted.items())
+    assert found >= 140 and sum(out[i] != "" for i in out if i >= 1000) <= 3
+    big = [(0, draw(randomness.BASE64, 1_000_000)), (1, " ".join(draw(randomness.BASE64, 24) for _ in range(5000))), (2, None)]
+    spans = {r.doc_id: r.spans for r in randomness.secret_spans(spark.createDataFrame(big, "doc_id long, text string")).collect()}
+    assert spans[0] == "random:0:1000000" and spans[2] == ""
+    starts = [int(x.split(":")[1]) for x in spans[1].split(",")]
+    assert len(starts) > 4500 and all(x % 25 == 0 for x in starts)
 
 
 def fewest(lengths, room):
