@@ -1,17 +1,27 @@
 """PII with offset-preserving deobfuscation.
 
-Base spans come from the text as it stands. Then a transducer rewrites the text with
-a source offset for each character it puts out (homoglyphs and full-width forms to
-ASCII, runs of spelled digits to digits, bracketed or paired "at" and "dot" to their
-signs), identifiers are looked for in what it wrote, and their spans go back to the
-source through the offsets. Found spans that no base span of their kind touches, or
-that are longer than the base spans they touch and contain them, are added.
+Base spans come from the text as it stands. Then a chain of transducers rewrites the
+text, each with a source offset for every character it puts out:
+
+1. characters: compatibility forms (full width, mathematical, circled) to what they
+   stand for, look-alikes of ASCII letters to those, invisible ones to nothing;
+2. digits: runs of three or more spelled or written ones ("double five", "oh") to
+   digits, and O, o, l, I, | among digits to 0 and 1;
+3. signs: "plus" before a digit, bracketed "at" and "dot";
+4. chains: numbers joined by " dot " or " . ", and addresses whose sign is a word or
+   stands apart, with any number of labels on both sides.
+
+Identifiers are looked for in what it wrote, and their spans go back to the source
+through the offsets. Found spans that no base span of their kind touches, or that are
+longer than the base spans they touch and contain them, are added.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_left
 
 import pyarrow as pa
@@ -81,18 +91,37 @@ HOMOGLYPHS = {
     "ο": "o", "α": "a", "ν": "v", "ρ": "p", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X",
     "․": ".", "。": ".", "‐": "-", "‑": "-", " ": " ", " ": " ", " ": " ", "​": "", "⁠": "", "­": "",
 }
-_PLAIN = {ord(k): v for k, v in HOMOGLYPHS.items()} | {0xFEE0 + c: chr(c) for c in range(0x21, 0x7F)}
-_ODD = re.compile("[" + "".join(map(re.escape, HOMOGLYPHS)) + "！-～]")
+_ODD = re.compile(r"[^\x00-\x7f]")
 
+
+@functools.lru_cache(1 << 16)
+def plain(c: str) -> str:
+    """What a character stands for, itself where that isn't ASCII."""
+    if c in HOMOGLYPHS:
+        return HOMOGLYPHS[c]
+    form = unicodedata.normalize("NFKC", c)
+    return HOMOGLYPHS.get(form, form) if form in HOMOGLYPHS or form.isascii() else c
+
+
+# Digits in words.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)"
-_SPELLED_RUN = re.compile(rf"(?i)\b{_WORD}(?:[\x20,-]+(?:{_WORD}\b|[0-9]+))*(?:[\x20,-]+{_WORD}\b)+")
+TIMES = {"double": 2, "triple": 3}
+_WORD = rf"(?:(?:{'|'.join(TIMES)})\x20+)?(?:{'|'.join(SPELLED)})"
+_SPELLED_RUN = re.compile(rf"(?i)\b(?:[0-9]+[\x20,-]+)*{_WORD}\b(?:[\x20,-]+(?:{_WORD}\b|[0-9]+))*")
+_PART = re.compile(rf"(?i)(?:({'|'.join(TIMES)})\x20+)?({'|'.join(SPELLED)})|[0-9]+")
+_ANY_WORD = re.compile("(?i)" + "|".join(SPELLED))
+_LIKE = str.maketrans("OolI|", "00111")
+_LIKE_RUN = re.compile(r"(?<![A-Za-z0-9])(?=[OolI|]*[0-9])(?=[0-9]*[OolI|])[0-9OolI|]+(?![A-Za-z0-9])")
 _PLUS = re.compile(r"(?i)\bplus[\x20-]+(?=[0-9])")
 _SIGN = re.compile(r"(?i)\x20?[\[({<]\x20?(at|dot|@|\.)\x20?[\])}>]\x20?")
-_PAIRED = re.compile(r"(?i)\b[A-Za-z0-9._%+-]{1,64}(\x20at\x20)[A-Za-z0-9-]{1,63}(?:(?:\x20dot\x20|\.)[A-Za-z0-9-]{1,63}){0,8}?(?:\x20dot\x20)[A-Za-z0-9-]{1,63}")
-_DOT = re.compile(r"(?i)\x20dot\x20")
 # What no match of _SIGN is without; quicker to look for.
 _SIGN_HINT = re.compile(r"(?i)[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]")
+_NUMBERS = re.compile(r"(?i)(?<![0-9])[0-9]+(?:\x20+(?:dot|\.)\x20+[0-9]+){3}(?![0-9])")
+_APART = re.compile(r"(?i)\x20+(?:dot|\.)\x20+")
+_AT = re.compile(r"(?i)\x20+(?:(at)|@)\x20+|\x20+@|@\x20+")
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
+_STEP = re.compile(r"(?i)(\x20+(?:dot|\.)\x20+|\.)[A-Za-z0-9-]+")
+_LOCAL_STEP = re.compile(r"(?i)\x20dot\x20\Z")
 
 
 class Tape:
@@ -121,29 +150,61 @@ class Tape:
         return self.begin[a], self.end[b - 1]
 
 
+def _spelled(text: str) -> list[tuple[int, int, str]]:
+    edits = []
+    for m in _SPELLED_RUN.finditer(text):
+        put = "".join(SPELLED[p[2].lower()] * TIMES.get((p[1] or "").lower(), 1) if p[2] else p[0] for p in _PART.finditer(m[0]))
+        if len(put) >= 3:
+            edits.append((m.start(), m.end(), put))
+    return edits
+
+
+def _addresses(text: str) -> list[tuple[int, int, str]]:
+    """Edits that close up addresses whose sign is the word "at" or stands apart. A word
+    needs a dot that is a word or stands apart too; a sign needs some dot."""
+    edits, end = [], 0
+    for m in _AT.finditer(text):
+        a, at = m.span()
+        first = _LABEL.match(text, at)
+        if a < end or not first or not a or text[a - 1] not in _LOCAL:
+            continue
+        steps, stop = [], first.end()
+        while step := _STEP.match(text, stop):
+            steps.append(step.span(1))
+            stop = step.end()
+        if not steps or (m[1] and all(z - x == 1 for x, z in steps)):
+            continue
+        before, start = [], a
+        while True:  # the local part, and the words that "dot" joins before it
+            while start > end and text[start - 1] in _LOCAL:
+                start -= 1
+            if start - 6 < end or not _LOCAL_STEP.search(text, start - 5, start) or text[start - 6] not in _LOCAL:
+                break
+            before.append((start - 5, start, "."))
+            start -= 5
+        edits += [*before[::-1], (a, at, "@"), *((x, z, ".") for x, z in steps if z - x > 1)]
+        end = stop
+    return edits
+
+
 def deobfuscate(t: str) -> Tape | None:
     """The rewritten text, or None where nothing is to be rewritten."""
     tape = Tape(t)
     if not t.isascii():
-        tape.rewrite([(m.start(), m.end(), _PLAIN[ord(m[0])]) for m in _ODD.finditer(t)])
-    runs = []
-    for m in _SPELLED_RUN.finditer(tape.text):
-        parts = re.findall(rf"(?i){_WORD}|[0-9]+", m[0])
-        if len(parts) >= 3:
-            runs.append((m.start(), m.end(), "".join(SPELLED.get(p.lower(), p) for p in parts)))
-    tape.rewrite(runs)
+        tape.rewrite([(m.start(), m.end(), p) for m in _ODD.finditer(t) if (p := plain(m[0])) != m[0]])
+    if _ANY_WORD.search(tape.text):
+        tape.rewrite(_spelled(tape.text))
+    tape.rewrite([(m.start(), m.end(), m[0].translate(_LIKE)) for m in _LIKE_RUN.finditer(tape.text)])
     # each rule is run where its text has what none of its matches is without; a long s counts as an s in any case
     low = tape.text.lower()
     if "plus" in low or "pluſ" in low:
         tape.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)])
     if _SIGN_HINT.search(tape.text):
         tape.rewrite([(m.start(), m.end(), {"at": "@", "dot": "."}.get(m[1].lower(), m[1])) for m in _SIGN.finditer(tape.text)])
-    edits = []
-    if " at " in low and " dot " in low:
-        for m in _PAIRED.finditer(tape.text):
-            edits.append((m.start(1), m.end(1), "@"))
-            edits += [(x.start(), x.end(), ".") for x in _DOT.finditer(tape.text, m.end(1), m.end())]
-    tape.rewrite(edits)
+    if " dot " in low or " . " in low:
+        tape.rewrite([(x.start(), x.end(), ".") for m in _NUMBERS.finditer(tape.text) for x in _APART.finditer(tape.text, m.start(), m.end())])
+    if " at " in low or "@" in tape.text:
+        tape.rewrite(_addresses(tape.text))
     return tape if tape.text is not t else None
 
 

@@ -178,7 +178,67 @@ def test_pii_spans(text, want):
     assert pii._join(pii.spans(text)[1]) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("jane at mail dot example dot com", "email:0:32"),
+        ("ann.lee at cs.uni dot edu dot au!", "email:0:32"),
+        ("jane dot doe at mail dot com", "email:0:28"),
+        ("from 192 dot 168 dot 0 dot 1 on", "ip:5:28"),
+        ("call +1 2l2 555 O199", "phone:5:20"),
+        ("jane @ site . org", "email:0:17"),
+        ("jane @site.org. Then", "email:0:14"),
+        ("\U0001d423\U0001d428\U0001d421\U0001d427@\U0001d4ce.org", "email:0:10"),
+        ("\uff4aane\uff20site\uff0eorg", "email:0:13"),
+        ("plus one two one two double five five oh triple nine", "phone:0:52"),
+        ("looked at noon. Dot came at ten.", ""),
+        ("at 5 . 6 dot 7", ""),
+        ("a" * 70 + " at " + "b" * 70 + " dot " * 1 + "org", "email:0:152"),
+        ("x at y dot z" + " dot z" * 12, f"email:0:{12 + 72}"),
+        ("one two", ""),
+    ],
+)
+def test_pii_chains_and_forms(text, want):
+    assert pii._join(pii.spans(text)[1]) == want
+
+
+def test_pii_planted_disguises():
+    """Each disguise over random identifiers: recall, and no span in clean text."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghkmnpqrstuvwxyz") for _ in range(rng.randrange(3, 9)))
+    names = {v: k for k, v in pii.SPELLED.items() if k != "oh"}
+    swap = lambda t: "".join({"a": "\u0430", "e": "\u0435", "o": "\u043e"}.get(c, c) for c in t)
+    wide = lambda t: "".join(chr(ord(c) + 0xFEE0) for c in t)
+    mail = [lambda a, b, c: f"{a} at {b} dot {c} dot com", lambda a, b, c: f"{a}[at]{b}(dot){c}[dot]com", lambda a, b, c: f"{a} @ {b} . {c} . com", lambda a, b, c: swap(f"{a}o@{b}.{c}.com"), lambda a, b, c: wide(f"{a}@{b}.{c}.com")]
+    found = n = 0
+    for i in range(500):
+        x = mail[i % 5](word(), word(), word())
+        found += f"email:6:{6 + len(x)}" in pii._join(pii.spans(f"Write {x}, now")[1])
+        digits = "".join(rng.choice("0123456789") for _ in range(11))
+        y = ["plus " + " ".join(names[d] for d in digits), "+" + wide(digits), "+" + digits[:4] + " " + digits[4:].replace("0", "O").replace("1", "l")][i % 3]
+        found += f"phone:5:{5 + len(y)}" in pii._join(pii.spans(f"Call {y} now")[1])
+        n += 2
+    assert found >= 0.97 * n
+    clean = [" ".join(rng.choice(["at", "dots", "one", "plus", "two", "word", "the", "look", "10", "3.5", "e.g.", "point", "Ol"]) for _ in range(60)) for _ in range(200)]
+    assert sum(bool(pii.spans(t)[1]) for t in clean) <= 10
+
+
+def test_pii_base_spans_are_the_patterns(docs, rows):
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    card, phone = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("0123456789.@+- ()ab") for _ in range(300)) for _ in range(300)] + ["4111 1111 1111 1111", "4111-1111-1111-1112"]
+    for t in texts:
+        want = [(m.start(), 0, m.end()) for m in email.finditer(t)]
+        want += [(m.start(), 1, m.end()) for m in ip.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+        want += [(m.start(), 2, m.end()) for m in card.finditer(t) if 14 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and pii.luhn(d)]
+        want += [(m.start(), 3, m.end()) for m in phone.finditer(t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        assert pii.spans(t)[0] == sorted(want)
+
+
 def test_pii_long_runs_are_linear():
+    assert pii.spans("one " * 500_000)[0] == pii.spans("a dot " * 300_000 + "at b")[1] == pii.spans("1 " * 500_000)[0] == []
+    assert len(pii.spans("a at b dot c " * 50_000)[1]) == 50_000
     assert pii.spans("a" * 300_000 + "@" + "1" * 300_000)[0] == []
 
 
