@@ -26,7 +26,8 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nul
 
 def kept_in_store(df: DataFrame) -> DataFrame:
     """Cut the lineage with checkpoint() in the folder that the session names in
-    spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
+    spark.checkpoint.dir; a folder of our own only where none is set and Spark is local
+    (tests)."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -45,6 +46,8 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             import tempfile
 
             where = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -132,9 +132,10 @@ def mix_sources(
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
     """The rows of docs, all columns, as often as mix_sources takes them. Rows under one
-    doc_id are taken as often as the one taken most; rows without an id are left out."""
-    taken = mix_sources(docs, id_col, **kw).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__n")).filter("__n > 0")
-    out = docs.join(common.kept_in_store(taken), F.col(common.quoted(id_col)).cast("long") == F.col("__id"))
+    doc_id, and all rows without one, are taken as often as the one taken most."""
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
+    taken = mix_sources(docs, id_col, **kw).groupBy(key(F.col("doc_id")).alias("__id")).agg(F.max("copies").alias("__n")).filter("__n > 0")
+    out = docs.join(common.kept_in_store(taken), key(F.col(common.quoted(id_col)).cast("long")) == F.col("__id"))
     return out.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*(F.col(common.quoted(c)) for c in docs.columns))
 
 

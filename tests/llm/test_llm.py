@@ -434,3 +434,59 @@ def test_pipeline_mixture_keeps_and_repeats(spark):
     out = Counter(r.doc_id for r in corpus_pipeline.mixing_stage(spark, docs, "").collect())
     assert set(out) == {r[0] for r in rows} and set(out.values()) == {1, 2}
     assert all(r.copies >= 1 and r.leaf_budget > 0 for r in mixing.mix_sources(docs, share=None).collect())
+
+
+def test_language_on_supplied_documents(spark):
+    """Accuracy and calibration on rows that learning never sees; letters of all planes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {r.doc_id: r.lang for r in docs.filter("lang is not null").select("doc_id", "lang").collect()}
+    out = language.language_id(docs).collect()
+    held = [(r.score, r.lang_pred == truth[r.doc_id]) for r in out if r.held_out and r.doc_id in truth and r.lang_pred != "und"]
+    assert len(held) > 150 and sum(ok for _, ok in held) >= 0.97 * len(held)
+    error = 0.0
+    for i in range(10):
+        lot = [(s, ok) for s, ok in held if min(int(s * 10), 9) == i]
+        error += abs(sum(s for s, _ in lot) - sum(ok for _, ok in lot)) / len(held) if lot else 0
+    assert error < 0.03
+    grams = language.Grams()
+    assert grams.counts("\U00020000\U00020001")[2] and not grams.counts("12 \U0001f600 --")[2]
+
+
+def test_pipeline_stages_against_plain_versions(spark):
+    """Each stage on what the one before kept, with nulls, repeats and odd rows."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    part = {"en": ["the", "and", "of", "thing", "house", "river"], "de": ["der", "und", "haus", "schnell", "fluss", "ein"]}
+    rows = []
+    for i in range(260):
+        la = ("en", "de")[i % 2]
+        rows.append((i, " ".join(rng.choice(part[la]) + (rng.choice("abcdefgh") if rng.random() < 0.6 else "") for _ in range(rng.randrange(30, 60))), la, f"src{i % 5}", 1))
+    rows += [(300, rows[4][1] + "  ", "en", "src1", 1), (301, rows[5][1], "de", "src1", 1)]  # exact copies
+    rows += [(302, rows[6][1] + " tail", "en", "src1", 1), (303, "start " + rows[7][1], "de", None, 1)]  # near copies
+    rows += [(304, None, "en", "src1", 1), (305, "123 456", "en", "src1", 1), (306, "", None, None, None)]  # no language
+    rows += [(None, "the river and the house of the thing " * 4, "en", "src2", 1), rows[9]]  # no id, a repeated row
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = docs
+    ids = lambda df: Counter(r.doc_id for r in df.select("doc_id").collect())
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        kept = spark.createDataFrame(stage(spark, kept, "").collect(), docs.schema)
+        seen[name] = ids(kept)
+        assert kept.columns == docs.columns
+    everything = Counter(r[0] for r in rows)
+    assert seen["language_id"] == everything - Counter([304, 305, 306])
+    assert seen["exact_dedup"] == seen["language_id"] - Counter([4, 301, 9])  # 300 has more code points than 4
+    assert seen["near_dedup"] == seen["exact_dedup"] - Counter([302, 303])
+    assert set(seen["mixing"]) == set(seen["near_dedup"]) and set(seen["mixing"].values()) <= {1, 2}
+    packed = corpus_pipeline.packing_stage(spark, kept, "").collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == seen["mixing"]
+    import public_tokenizers
+
+    tok = packing.Ids(public_tokenizers.path(packing.TOKENIZER))
+    text = {r[0]: r[1] for r in rows}
+    for r in packed:
+        raw = tok.plain(text[r.doc_id]) + (1).to_bytes(4, "little")
+        assert r.ids_crc32 == zlib.crc32(raw[4 * r.start : 4 * (r.start + r.length)]) and r.length <= 4096
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.filter("false"), "").count() == 0, name
