@@ -5,10 +5,14 @@
 2. Equal sets collapse to the smallest doc_id by their digest (map-side combined).
 3. Every member of a band bucket first meets one pivot, the smallest doc_id; pairs
    are confirmed on whole sets and linked documents contract to components. Only
-   buckets that still hold several components go on: their members are dealt into
-   blocks, each two blocks meet in a cell of bounded size, and only links between
+   buckets that still hold several components go on. Members of small ones are dealt
+   into blocks, each two blocks meet in a cell of bounded size, and only links between
    components leave it, so no pairs are listed.
-4. A pair of similarity 0.75 misses all 32 bands with probability 5e-6, one of
+4. In a large one, such as many documents about one boilerplate make, blocks would meet
+   each other too often. Its members meet instead where they share one of their rarest
+   shingles: two sets of similarity s share one among the rarest 1 - s of each, and
+   boilerplate is not among those. That is exact, whatever the bucket's size.
+5. A pair of similarity 0.75 misses all 32 bands with probability 5e-6, one of
    0.8 with 5e-8.
 """
 
@@ -17,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -26,6 +30,7 @@ from . import shingles as sh
 WORDS, COORDS, BAND = 5, 128, 4
 THRESHOLD = 75  # hundredths of intersection to union
 BLOCK, CHUNK = 400, 4096  # members of a block, shingles looked at at once
+LARGE = 4 * BLOCK  # members of a bucket beyond which rare shingles decide who meets
 BROADCAST_IDS = 100_000  # ids (8 bytes each) up to which a semi join broadcasts
 
 _SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
@@ -140,7 +145,12 @@ def near_dedup(
     comp = components(links)
     placed = active.join(comp, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("root", "doc").alias("comp"))
     mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi")
-    links = links.unionByName(common.kept_in_store(_met(placed.join(mixed.select("bucket", "n"), "bucket"), base, words, threshold)))
+    mixed = common.kept_in_store(mixed.select("bucket", "n"))
+    meet = placed.join(mixed.filter(F.col("n") <= LARGE), "bucket")
+    if not mixed.filter(F.col("n") > LARGE).isEmpty():
+        large = placed.join(mixed.filter(F.col("n") > LARGE), "bucket").select("doc", "comp").distinct()
+        meet = meet.unionByName(_rare(common.kept_in_store(large), base, words, threshold))
+    links = links.unionByName(common.kept_in_store(_met(meet, base, words, threshold)))
     same = alive.select("doc_id", "d1", "d2").join(reps.select("d1", "d2", "rep"), ["d1", "d2"])
     several = same.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).filter("b != hi")
     several = common.kept_in_store(same.join(several, "doc_id").filter("rep != b").select(F.col("rep").alias("a"), "b"))
@@ -184,6 +194,34 @@ def _sets(words: int):
     return run
 
 
+def _shingles(batches):
+    """Sets to a row a shingle; t tells several texts of one document apart."""
+    for b in batches:
+        for doc, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            n = len(raw) // 8
+            if n:
+                t = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
+                cols = [pa.array([doc] * n, pa.int64()), pa.array([t] * n, pa.int64()), pa.array([n] * n, pa.int32()), pa.array(np.frombuffer(raw, np.int64))]
+                yield pa.record_batch(cols, names=["doc", "t", "size", "item"])
+
+
+def _rare(docs: DataFrame, base: DataFrame, words: int, threshold: int) -> DataFrame:
+    """(bucket, doc, comp, n) of docs (doc, comp): buckets by each document's rarest
+    shingles, as many as its partners can't do without, that hold several components."""
+    sets = _texts(base, docs.select(F.col("doc").alias("doc_id"))).mapInArrow(_sets(words), "doc_id long, items binary")
+    rows = common.written(sets.mapInArrow(_shingles, "doc long, t long, size int, item long"))
+    counts = rows.groupBy("item").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    shared = common.joined_by_share(rows, common.kept_in_store(counts.withColumn("df", F.col("c"))), ["item"])
+    own = Window.partitionBy("doc", "t")
+    ranked = shared.withColumns({"nth": F.row_number().over(own.orderBy("df", "item")), "known": F.count(F.lit(1)).over(own)})
+    # shingles of this document alone are the rarest of all, and meet nobody
+    looked_at = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) / 100) + 1 - (F.col("size") - F.col("known"))
+    prefix = ranked.filter(F.col("nth") <= looked_at).select(F.col("item").alias("bucket"), "doc").distinct()
+    prefix = common.kept_in_store(prefix.join(docs, "doc"))
+    mixed = prefix.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi")
+    return prefix.join(mixed.select("bucket", "n"), "bucket").select("bucket", "doc", "comp", "n")
+
+
 def _cell(threshold: int):
     """All members of a cell meet; a link for each two components that meet."""
 

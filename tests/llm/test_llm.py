@@ -137,6 +137,24 @@ def test_near_dedup(docs, rows):
     assert near_dedup.without_near_copies(docs).columns == docs.columns
 
 
+def test_near_dedup_of_one_large_bucket(spark, monkeypatch):
+    """Many texts about one boilerplate, few of them linked: the rarest shingles find all."""
+    rng = random.Random(30)
+    boiler = words(rng, 120, 5000)
+    rows = []
+    for i in range(150):
+        own = words(rng, rng.randrange(20, 70), 5000)
+        rows.append((i, boiler + " " + own))
+        if i % 10 == 0:
+            rows.append((1000 + i, boiler + " " + own + " " + words(rng, rng.randrange(1, 40), 5000)))
+    want = plain_components(rows)
+    assert 20 < len(set(want.values())) < len(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for large in (near_dedup.LARGE, 5):
+        monkeypatch.setattr(near_dedup, "LARGE", large)
+        assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs).collect()} == want
+
+
 def test_ogg_round_trip_and_broken_pages(docs, rows):
     out = ogg.ogg_features(ogg.ogg_column(docs)).collect()
     assert Counter(r.n_bytes for r in out) == Counter(len((t or "").encode()) for _, t, *_ in rows)
