@@ -58,15 +58,22 @@ def shared_folder(spark: SparkSession) -> str:
 def joined_by_share(rows: DataFrame, keys: DataFrame, on: list[str], share: int = HOT_SHARE) -> DataFrame:
     """rows with the columns of keys (on..., c), a kept table whose c says how many rows
     have that key: an inner join. Keys of more than 1/share of the rows, at most `share`
-    of them, meet their rows by a broadcast, so that no task gets all rows of one; the
-    others are shuffled."""
+    of them, meet their rows by a broadcast, and those rows are dealt by a hash of
+    themselves after that, so that no task gets all rows of one key; the others are
+    shuffled by key. The rows are read once."""
     total = keys.agg(F.sum("c")).first()[0] or 0
-    wide = keys.filter(F.col("c") > total / share).drop("c")
-    rest = keys.filter(F.col("c") <= total / share).drop("c")
+    wide, rest = keys.filter(F.col("c") > total / share).drop("c"), keys.filter(F.col("c") <= total / share).drop("c")
     if wide.isEmpty():
         return rows.join(rest, on)
-    hot = F.broadcast(wide)
-    return rows.join(hot, on).unionByName(rows.join(F.broadcast(wide.select(*on)), on, "left_anti").join(rest, on))
+    more = [c for c in rest.columns if c not in on]
+    hot = wide.select(*on, F.lit(True).alias("__hot"), *(F.col(c).alias(f"__{c}") for c in more))
+    met = rows.join(F.broadcast(hot), on, "left")
+    key = F.when(F.col("__hot"), F.xxhash64(*rows.columns)).otherwise(F.col(on[0]))
+    met = met.withColumn("__key", key)
+    cold = rest.select(F.col(on[0]).alias("__key"), *(F.col(c).alias(f"__on_{c}") for c in on[1:]), F.lit(True).alias("__cold"), *more)
+    same = ["__key", *(f"__on_{c}" for c in on[1:])]
+    met = met.withColumns({f"__on_{c}": F.col(c) for c in on[1:]}).join(cold, same, "left").filter("__hot or __cold")
+    return met.select(*rows.columns, *(F.when(F.col("__hot"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in more))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
