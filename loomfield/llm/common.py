@@ -65,15 +65,17 @@ def joined_by_share(rows: DataFrame, keys: DataFrame, on: list[str], share: int
     wide, rest = keys.filter(F.col("c") > total / share).drop("c"), keys.filter(F.col("c") <= total / share).drop("c")
     if wide.isEmpty():
         return rows.join(rest, on)
+    first, others = on[0], on[1:]
     more = [c for c in rest.columns if c not in on]
     hot = wide.select(*on, F.lit(True).alias("__hot"), *(F.col(c).alias(f"__{c}") for c in more))
     met = rows.join(F.broadcast(hot), on, "left")
-    key = F.when(F.col("__hot"), F.xxhash64(*rows.columns)).otherwise(F.col(on[0]))
-    met = met.withColumn("__key", key)
-    cold = rest.select(F.col(on[0]).alias("__key"), *(F.col(c).alias(f"__on_{c}") for c in on[1:]), F.lit(True).alias("__cold"), *more)
-    same = ["__key", *(f"__on_{c}" for c in on[1:])]
-    met = met.withColumns({f"__on_{c}": F.col(c) for c in on[1:]}).join(cold, same, "left").filter("__hot or __cold")
-    return met.select(*rows.columns, *(F.when(F.col("__hot"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in more))
+    key = F.when(F.col("__hot"), F.xxhash64(*rows.columns)).otherwise(F.col(first)).alias("__key")
+    # what travels is as wide as the rows, but for a key that is null in all but wide ones
+    met = met.select(key, F.when(F.col("__hot"), F.col(first)).alias("__own"), *(c for c in rows.columns if c != first), *(f"__{c}" for c in more))
+    cold = rest.select(F.col(first).alias("__key"), *others, F.lit(True).alias("__cold"), *more)
+    met = met.join(cold, ["__key", *others], "left").filter("__own is not null or __cold")
+    told = [F.when(F.col("__own").isNotNull(), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in more]
+    return met.select(F.coalesce("__own", "__key").alias(first), *(c for c in rows.columns if c != first), *told)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
