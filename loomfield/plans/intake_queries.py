@@ -30,6 +30,8 @@ def shared(s, what: str) -> str:
     """A new folder that driver and executors share."""
     base = s.sparkContext.getCheckpointDir() or s.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
