@@ -176,8 +176,11 @@ def lines(s, d):
     end = F.when(F.col("o_orderkey") % 4 == 0, "Present").otherwise(F.date_format(F.add_months(t, 5), "MM/yyyy"))
     entry = F.array(F.lit(""), F.concat(F.lit("Role "), "o_orderpriority"), F.concat(F.lit("Firm "), "o_orderstatus"), F.concat(F.date_format(t, "MMM yyyy"), F.lit(" - "), end), F.concat(F.lit("- did "), "o_orderkey"))
     body = o.select(F.col("o_custkey").alias("doc_id"), (nth * 10).alias("p"), F.posexplode(entry).alias("q", "text")).select("doc_id", (F.col("p") + F.col("q")).alias("pos"), "text")
-    head = F.array(F.lit("Ann Lee, RN"), F.lit("Work Experience:"))
-    tail = F.array(F.lit("Education & Training"), F.lit("Bachelor of Science"), F.lit("State University"), F.lit("1999"), F.lit("SKILLS"), F.concat(F.lit("lift, Lift; drive | "), F.col("o_custkey"), F.lit(" cranes")))
+    who, even = F.col("o_custkey") % 3, F.col("o_custkey") % 2 == 0
+    pick = lambda a, b: F.when(even, a).otherwise(b)
+    head = F.array(F.when(who == 0, "Ann Lee, RN").when(who == 1, "Bo Q. Diaz").otherwise("Mary-Jo Neil, BSN"), F.lit("Work Experience:"))
+    skills = pick(F.concat(F.lit("lift, Lift; drive | "), F.col("o_custkey"), F.lit(" cranes")), F.concat(F.col("o_custkey"), F.lit(" cranes / tow")))
+    tail = F.array(F.lit("Education & Training"), pick("Bachelor of Science", "State University"), pick("State University", "Bachelor of Arts"), pick("1999", "2001"), F.lit("SKILLS"), skills)
     one = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
     heads = one.select(F.col("o_custkey").alias("doc_id"), F.posexplode(head).alias("pos", "text")).select("doc_id", F.col("pos").cast("int"), "text")
     tails = one.select(F.col("o_custkey").alias("doc_id"), "n", F.posexplode(tail).alias("q", "text")).select("doc_id", (F.col("n") * 10 + 100 + F.col("q")).cast("int").alias("pos"), "text")
@@ -188,6 +191,10 @@ def sections(s, d):
     return X.segment(X.section_headers(lines(s, d), _RULES))
 
 
+_SAID = "CASE doc_id % 3 WHEN 0 THEN 'Ann Lee, RN' WHEN 1 THEN 'Bo Q. Diaz' ELSE 'Mary-Jo Neil, BSN' END"
+_NAME = "CASE {id} % 3 WHEN 0 THEN 'Ann Lee' WHEN 1 THEN 'Bo Q. Diaz' ELSE 'Mary-Jo Neil' END"
+_TAUGHT = "CASE WHEN doc_id % 2 = 0 THEN 'Bachelor of Science' || chr(10) || 'State University' || chr(10) || '1999' ELSE 'State University' || chr(10) || 'Bachelor of Arts' || chr(10) || '2001' END"
+_SKILLS = "CASE WHEN doc_id % 2 = 0 THEN 'lift, Lift; drive | ' || doc_id || ' cranes' ELSE doc_id || ' cranes / tow' END"
 _N = "(SELECT o_custkey AS doc_id, count(*) AS n FROM orders GROUP BY 1)"
 
 
@@ -197,7 +204,7 @@ def _(s, d):
 
 
 @query("x2_segment", f"""WITH e AS (SELECT o_custkey AS doc_id, string_agg('Role ' || o_orderpriority || chr(10) || 'Firm ' || o_orderstatus || chr(10) || strftime(o_orderdate, '%b %Y') || ' - ' || CASE WHEN o_orderkey % 4 = 0 THEN 'Present' ELSE strftime(o_orderdate + INTERVAL 5 MONTH, '%m/%Y') END || chr(10) || '- did ' || o_orderkey, chr(10) || chr(10) ORDER BY o_orderkey) AS t FROM orders GROUP BY 1)
-SELECT doc_id, unnest([0, 1, 2, 3]) AS seq, unnest(['header', 'experience', 'education', 'skills']) AS section, md5(unnest(['Ann Lee, RN', t, 'Bachelor of Science' || chr(10) || 'State University' || chr(10) || '1999', 'lift, Lift; drive | ' || doc_id || ' cranes'])) AS h FROM e""")
+SELECT doc_id, unnest([0, 1, 2, 3]) AS seq, unnest(['header', 'experience', 'education', 'skills']) AS section, md5(unnest([{_SAID}, t, {_TAUGHT}, {_SKILLS}])) AS h FROM e""")
 def _(s, d):
     return sections(s, d).select("doc_id", "seq", "section", F.md5("text").alias("h"))
 
@@ -231,22 +238,22 @@ def _(s, d):
     return _blocks(s, d)
 
 
-@query("x6_education_entries", f"SELECT doc_id, 'Bachelor of Science' AS degree, 'State University' AS institution, 1999 AS year FROM {_N}")
+@query("x6_education_entries", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Bachelor of Science' ELSE 'Bachelor of Arts' END AS degree, 'State University' AS institution, CASE WHEN doc_id % 2 = 0 THEN 1999 ELSE 2001 END AS year FROM {_N}")
 def _(s, d):
     return X.education_entries(lines(s, d).filter("text not like '%Training%'"), r"(?i)\bbachelor\b", r"(?i)\buniversity\b").drop("pos")
 
 
-@query("x7_split_items", f"SELECT doc_id, unnest([0, 1, 2]) AS pos, unnest(['lift', 'drive', doc_id || ' cranes']) AS item FROM {_N}")
+@query("x7_split_items", f"SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS pos, unnest(l) AS item FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ['lift', 'drive', doc_id || ' cranes'] ELSE [doc_id || ' cranes', 'tow'] END AS l FROM {_N})")
 def _(s, d):
     return X.split_items(sections(s, d).filter("section = 'skills'"), "text")
 
 
-@query("x8_name_line", f"SELECT doc_id, 'Ann Lee' AS name FROM {_N}")
+@query("x8_name_line", f"SELECT doc_id, {_NAME.format(id='doc_id')} AS name FROM {_N}")
 def _(s, d):
     return X.name_line(lines(s, d))
 
 
-@query("x9_assemble_record", "SELECT o_custkey AS doc_id, 'Ann Lee' AS name, count(*) AS n_roles, 'Role ' || min_by(o_orderpriority, o_orderkey) AS first_role FROM orders GROUP BY 1")
+@query("x9_assemble_record", f"SELECT o_custkey AS doc_id, {_NAME.format(id='o_custkey')} AS name, count(*) AS n_roles, 'Role ' || min_by(o_orderpriority, o_orderkey) AS first_role FROM orders GROUP BY 1")
 def _(s, d):
     sec, ln = sections(s, d), lines(s, d)
     anchors = sec.filter("section = 'header'").select("doc_id", emails(F.col("text")).alias("emails"))
