@@ -169,6 +169,53 @@ def test_ogg_round_trip_and_broken_pages(docs, rows):
             ogg.read(media[:-5])
 
 
+def test_ogg_columns_against_a_plain_version(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [None, "", "a", "\x00\x00", "\u00e9" * 288, "b" * 576, "c" * 577, words(rng, 400), "\U0001f600 " * 900, "again", "again", words(rng, 400_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "again")], "doc_id long, text string")
+    out = {r.doc_id: r for r in ogg.ogg_features(ogg.ogg_column(docs)).collect()}
+    assert len(out) == len(texts) + 1
+    for i, r in out.items():
+        raw = ("again" if i is None else texts[i] or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-576:])
+        packets = [payload[k : k + 576] for k in range(0, len(payload), 576)]
+        streams = [packets[k::2] for k in range(min(2, len(packets)))]
+        pages = sum(1 + -(-len(s) // 64) for s in streams)
+        assert r.media_bytes == len(payload) + 3 * len(packets) + 27 * pages + 9 * len(streams)
+        n = Counter(payload)
+        entropy = -sum(c / len(payload) * math.log2(c / len(payload)) for c in n.values())
+        loudest = max(sum(x * x for x in p) for p in packets) // 576
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(payload, payload[1:]))
+        told = dict(f.split("=") for f in r.feature.split(";"))
+        assert abs(float(told.pop("entropy")) - entropy) < 0.001
+        want = {"streams": len(streams), "pages": pages, "packets": len(packets), "ms": len(payload) * 1000 // 48_000, "mean": sum(payload) // len(payload), "peak": max(payload), "loudest": loudest, "crossings": crossings}
+        assert told == {k: str(v) for k, v in want.items()}
+    assert out[9][1:] == out[10][1:] == out[None][1:]
+    # the query writes the column and reads it back
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert Counter(ogg.op3_media_columns(spark, str(tmp_path)).collect()) == Counter(out.values())
+
+
+def test_ogg_packets_that_run_over_pages():
+    rng = random.Random(9)
+    a, b, c = (rng.randbytes(576) for _ in range(3))
+    head = ogg._page(ogg.FIRST, 0, 1, 0, b"\x08", (48_000).to_bytes(4, "little") + (576).to_bytes(4, "little"))
+    one = bytes([255, 255, 66])
+    first = ogg._page(0, 576, 1, 1, one + b"\xff", a + b[:255])
+    middle = ogg._page(ogg.CONTINUED, -1, 1, 2, b"\xff", b[255:510])
+    last = ogg._page(ogg.CONTINUED | ogg.LAST, 1728, 1, 3, b"\x42" + one, b[510:] + c)
+    payload, facts = ogg.read(head + first + middle + last)
+    assert payload == a + b + c and facts == {"streams": 1, "pages": 4, "packets": 3, "ms": 36}
+    for broken in (head + first + last, head + first + middle, head + middle + last, first + middle + last, head + first + first + middle + last):
+        with pytest.raises(ValueError):
+            ogg.read(broken)
+    unmarked = ogg._page(0, -1, 1, 2, b"\xff", b[255:510])
+    with pytest.raises(ValueError):
+        ogg.read(head + first + unmarked + last)
+
+
 def test_page_checksum_is_the_formats():
     crc = 0
     data = b"OggS and more"
