@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 HOT_SHARE = 1000  # a key of more than this part of the rows is wide
 
 
@@ -29,17 +31,35 @@ def kept_in_store(df: DataFrame) -> DataFrame:
     spark.checkpoint.dir; a folder of our own only where none is set and Spark is local
     (tests)."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_removed(df.sparkSession):
+        # a plan is planned under the settings that hold when its frame is made
+        return df.select("*").checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder: columns that repeat
     take far less room there than in a checkpoint's rows."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Queries that run inside delete their shuffle files when they end: what has been
+    written to the shared folder needs none of them again."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share."""
     sc = spark.sparkContext
