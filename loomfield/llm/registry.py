@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content_sort, language, mixing, near_dedup, ogg, packing, pii, randomness, suffix_sort, superkmers
+from . import content_sort, language, merkle, mixing, near_dedup, ogg, packing, pii, randomness, suffix_sort, superkmers
 
 QUERIES = {
     "op1_substring_dedup": superkmers.op1_substring_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_exact_dedup": content_sort.op9_exact_dedup,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op1_substring_dedup": superkmers.ORACLE_SQL,
     "op9_exact_dedup": content_sort.ORACLE_SQL,
     "op10_minhash_near_dedup": near_dedup.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
 }
