@@ -104,3 +104,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def row_key(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
+
+
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of an ASCII text, in DuckDB's SQL."""
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)"
+    return f"xor(4294967295, list_reduce([4294967295::BIGINT] || {codes}, lambda c, b: {step}))"

@@ -179,8 +179,7 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle(levels: int = 7) -> str:
     """Level by level in SQL, as many as 8 ** levels rows of a language need."""
-    crc = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::BIGINT),
-      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))""".format("CAST(doc_id AS VARCHAR)")
+    crc = common.crc32_sql("CAST(doc_id AS VARCHAR)")
     put = lambda c: f"coalesce(strlen({c}) || ':' || {c}, '-')"
     head = " || ".join(put(f"CAST({c} AS VARCHAR)") for c in ("doc_id", "source", "lang", "n_chars"))
     out = [f"""WITH d AS (SELECT doc_id, coalesce('1' || lang, '0') AS key, sha256({head} || {put("text")}) AS leaf,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content_sort, language, merkle, mixing, near_dedup, ogg, packing, pii, randomness, suffix_sort, superkmers
+from . import content_sort, language, merkle, mixing, near_dedup, ogg, packing, pii, randomness, runs, suffix_sort, superkmers
 
 QUERIES = {
     "op1_substring_dedup": superkmers.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": content_sort.op9_exact_dedup,
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_periodic_runs": runs.op12_periodic_runs,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op9_exact_dedup": content_sort.ORACLE_SQL,
     "op10_minhash_near_dedup": near_dedup.ORACLE_SQL,
     "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op12_periodic_runs": runs.ORACLE_SQL,
 }
