@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content_sort, language, merkle, mixing, near_dedup, ogg, packing, pii, randomness, runs, suffix_sort, superkmers
+from . import bpe_stream, content_sort, language, merkle, mixing, near_dedup, ogg, packing, pii, randomness, runs, suffix_sort, superkmers
 
 QUERIES = {
     "op1_substring_dedup": superkmers.op1_substring_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_minhash_near_dedup": near_dedup.op10_minhash_near_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_bpe_coding": bpe_stream.op13_bpe_coding,
 }
 
 ORACLES = {
