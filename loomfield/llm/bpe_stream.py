@@ -120,7 +120,7 @@ class Vocabulary:
         value = {c: b for b, c in enumerate(_byte_signs())}
         self.special = {t["content"]: t["id"] for t in added}
         words = {i: w for w, i in vocab.items()} | {i: w for w, i in self.special.items()}
-        self.bytes = {i: bytes(value[c] for c in w) if all(c in value for c in w) else w.encode() for i, w in words.items()}
+        self.bytes = _Bytes({i: bytes(value[c] for c in w) if all(c in value for c in w) else w.encode() for i, w in words.items()})
         self.specials = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.openings = {s[:n] for s in self.special for n in range(1, len(s))}
         self.hold = max(map(len, self.openings), default=0)
@@ -170,6 +170,13 @@ class Vocabulary:
         return [text[a:b] for a, b in pairwise(ends)]
 
 
+class _Bytes(dict):
+    """Bytes of ids; of ids that aren't there, none."""
+
+    def __missing__(self, i: int) -> bytes:
+        return b""
+
+
 class _Classes(dict):
     """For str.translate: other characters than ASCII to one that stands for their class,
     which the tokenizer's own split is asked for when a character is first met."""
@@ -308,7 +315,7 @@ def decode_stream(vocabulary: Vocabulary, chunks: Iterable[Iterable[int]]) -> It
     """Text of ids that come in chunks; ids that aren't in the vocabulary say nothing."""
     machine, told = codecs.getincrementaldecoder("utf-8")("replace"), vocabulary.bytes
     for chunk in chunks:
-        yield machine.decode(b"".join([told.get(i, b"") for i in chunk]))
+        yield machine.decode(b"".join(map(told.__getitem__, chunk)))
     yield machine.decode(b"", final=True)
 
 
@@ -365,7 +372,10 @@ def decode(rows: DataFrame, tokenizer: str | None = None, ids_col: str = "ids",
         vocabulary = vocabulary_of(path)
         for b in batches:
             ids = b.column(b.num_columns - 1)
-            texts = ["".join(decode_stream(vocabulary, [(x.values.to_pylist() if x.is_valid else [])])) for x in ids]
+            flat = ids.values.fill_null(-1).to_numpy()
+            ends = ids.offsets.to_numpy()
+            parts = (flat[a:z] if valid else flat[:0] for a, z, valid in zip(ends[:-1], ends[1:], ids.is_valid().to_numpy(zero_copy_only=False), strict=True))
+            texts = ["".join(decode_stream(vocabulary, (x[i : i + WINDOW].tolist() for i in range(0, len(x), WINDOW)))) for x in parts]
             yield pa.record_batch([*b.columns[:-1], pa.array(texts, pa.string())], names=[*b.schema.names[:-1], "text"])
 
     return rows.mapInArrow(run, schema)
