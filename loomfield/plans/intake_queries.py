@@ -12,6 +12,7 @@ from loomfield.operators import segment as X
 from loomfield.sources import files as S
 from loomfield.sources.tables import table
 from loomfield.streaming import jobs as R
+from loomfield.streaming import stateful as T
 
 QUERIES, ORACLES = {}, {}
 
@@ -343,6 +344,29 @@ def _(s, d):
     return R.run_available(R.batch_progress_stream(a), shared(s, "batches"), "update", ["batch_id"])
 
 
+@query("r4_batch_events_stream", f"""WITH {_ACTIONS}, e AS (SELECT DISTINCT batch_id, job_id, first_value(action) OVER (PARTITION BY batch_id, job_id ORDER BY ts) AS action FROM a WHERE action IN ('completed', 'failed')),
+  n AS (SELECT batch_id, count(*) AS ended, count_if(action = 'failed') AS failed FROM e GROUP BY 1)
+SELECT batch_id, 'batch.completed' AS event, ended, failed, CASE WHEN failed = 0 THEN 'completed' WHEN failed = ended THEN 'failed' ELSE 'partial' END AS status FROM n WHERE ended >= 20 + batch_id % 20""")
+def _(s, d):
+    a = _actions(_stream(s, d)).withColumn("total", 20 + F.col("batch_id") % 20)
+    return R.run_available(T.batch_events(a), shared(s, "batches"), conf=T.STATE_STORE)
+
+
+def _plain_times(df):
+    """Times as the tables have them, without a zone."""
+    return df.select(*(F.col(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType.typeName() == "timestamp" else f.name for f in df.schema))
+
+
+_MARK = "w AS (SELECT time_bucket(INTERVAL 1 MILLISECOND, max(ts)) - INTERVAL 10 MINUTE AS mark FROM events)"  # where a watermark of ten minutes stands at the end
+
+
+@query("r3_job_states_stream", f"""WITH {_ACTIONS}, {_MARK}, j AS (SELECT job_id, min(CASE WHEN action = 'claim' THEN ts END) AS c, min_by(action, ts) FILTER (action IN ('completed', 'failed')) AS f, max(ts) AS last FROM a GROUP BY 1)
+SELECT job_id, CASE WHEN c IS NOT NULL AND f IS NOT NULL THEN f ELSE 'processing' END AS state, c AS claimed FROM j
+UNION ALL SELECT job_id, 'expired', c FROM j, w WHERE time_bucket(INTERVAL 1 MILLISECOND, last) + INTERVAL 1 HOUR <= mark""")
+def _(s, d):
+    return _plain_times(R.run_available(T.job_states(_actions(_stream(s, d))), shared(s, "jobs"), conf=T.STATE_STORE))
+
+
 def _requests(df):
     return df.select(F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("key"), "ts", F.get_json_object("props", "$.k").cast("long").alias("tokens"))
 
@@ -366,6 +390,31 @@ def _(s, d):
     return R.failure_streaks(q, 3)
 
 
+def _deliveries(df):
+    return df.select(F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("url"), "ts", F.col("event_type").isin("purchase", "view").alias("ok"))
+
+
+def _circuits(until: str) -> str:
+    """Circuits of three failures that close after two hours, row by row."""
+    return f"""WITH RECURSIVE {_MARK}, q AS (SELECT user_id % 20 AS url, ts, event_type IN ('purchase', 'view') AS ok, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS n FROM events, w WHERE {until}),
+  f AS (SELECT url, n, ok, CASE WHEN ok THEN 0 ELSE 1 END AS count, NULL::TIMESTAMP AS since, ts AS last, NULL::TIMESTAMP AS a, NULL::TIMESTAMP AS b FROM q WHERE n = 1
+    UNION ALL SELECT url, n, ok, CASE WHEN ok THEN 0 ELSE kept + 1 END, CASE WHEN kept + 1 = 3 THEN ts ELSE since END, ts,
+      CASE WHEN cooled OR (ok AND kept >= 3) THEN since END, CASE WHEN cooled THEN last + INTERVAL 2 HOUR WHEN ok AND kept >= 3 THEN ts END
+    FROM (SELECT q.*, f.since, f.last, f.count >= 3 AND q.ts >= f.last + INTERVAL 2 HOUR AS cooled, CASE WHEN f.count >= 3 AND q.ts >= f.last + INTERVAL 2 HOUR THEN 0 ELSE f.count END AS kept FROM f JOIN q ON q.url = f.url AND q.n = f.n + 1) x)
+SELECT url, a AS open_from, b AS open_to FROM f WHERE a IS NOT NULL
+UNION ALL SELECT url, since, last + INTERVAL 2 HOUR FROM f, w WHERE count >= 3 AND n = (SELECT max(n) FROM q WHERE q.url = f.url)"""
+
+
+@query("r6_circuits", _circuits("true"))
+def _(s, d):
+    return _plain_times(T.circuits(_deliveries(table(s, d, "events")), 3, 7200))
+
+
+@query("r6_circuits_stream", _circuits("ts <= mark") + " AND last + INTERVAL 2 HOUR <= mark")
+def _(s, d):
+    return _plain_times(R.run_available(T.circuit_stream(_deliveries(_stream(s, d)), 3, 7200), shared(s, "circuits"), conf=T.STATE_STORE))
+
+
 @query("r7_retry_lineage", """WITH RECURSIVE j AS (SELECT o_orderkey AS job_id, CASE WHEN row_number() OVER w % 4 > 0 THEN lag(o_orderkey) OVER w END AS up FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
   t AS (SELECT job_id, job_id AS root, 0 AS attempt FROM j WHERE up IS NULL UNION ALL SELECT j.job_id, t.root, t.attempt + 1 FROM j JOIN t ON j.up = t.job_id)
 SELECT job_id, root, attempt, attempt = max(attempt) OVER (PARTITION BY root) AS latest FROM t""")
@@ -375,7 +424,14 @@ def _(s, d):
     return R.retry_lineage(j)
 
 
-@query("r8_rule_pack_fold", """WITH a AS (SELECT CAST(user_id % 5 AS VARCHAR) AS scope, CAST(user_id % 7 AS VARCHAR) AS owner, event_id AS seq, ['r' || event_id] AS r, CASE event_type WHEN 'click' THEN 'p' WHEN 'purchase' THEN 'a' WHEN 'error' THEN 'x' WHEN 'view' THEN 'e' ELSE 'd' END AS act FROM events),
+def _packs(df):
+    kind = F.col("event_type")
+    act = F.when(kind == "click", "propose").when(kind == "purchase", "approve").when(kind == "error", "reject").when(kind == "view", "enable").otherwise("disable")
+    return df.select((F.col("user_id") % 5).cast("string").alias("scope"), (F.col("user_id") % 7).cast("string").alias("owner"), F.col("event_id").alias("seq"), "ts", act.alias("action"), F.array(F.concat(F.lit("r"), F.col("event_id"))).alias("rules"))
+
+
+def _packs_sql(source: str, seq: str) -> str:
+    return f"""WITH a AS (SELECT CAST(user_id % 5 AS VARCHAR) AS scope, CAST(user_id % 7 AS VARCHAR) AS owner, {seq} AS seq, ['r' || event_id] AS r, CASE event_type WHEN 'click' THEN 'p' WHEN 'purchase' THEN 'a' WHEN 'error' THEN 'x' WHEN 'view' THEN 'e' ELSE 'd' END AS act FROM {source}),
   t AS (SELECT *, lag(act) OVER w AS pa, lag(r) OVER w AS pr FROM a WHERE act IN ('p', 'a', 'x') WINDOW w AS (PARTITION BY scope, owner ORDER BY seq)),
   b AS (SELECT scope, owner, min(seq) FILTER (act = 'p') AS begun, count_if(act = 'p') AS version FROM a GROUP BY 1, 2),
   ev AS (SELECT a.scope, a.owner, a.seq, a.act, t.pr FROM a JOIN b USING (scope, owner) LEFT JOIN t ON t.scope = a.scope AND t.owner = a.owner AND t.seq = a.seq WHERE a.seq >= begun AND (a.act <> 'a' OR t.pa = 'p')),
@@ -383,12 +439,17 @@ def _(s, d):
   l AS (SELECT scope, owner, arg_max(act, seq) AS last_turn, arg_max(r, seq) AS last_rules FROM t GROUP BY 1, 2),
   s AS (SELECT b.scope, b.owner, b.version, rules, last_turn, last_rules, CASE WHEN last_act IS NULL THEN 'none' WHEN last_act = 'p' THEN 'pending' WHEN last_act = 'a' THEN 'active' WHEN last_act = 'd' THEN 'disabled' WHEN approved_at IS NOT NULL THEN 'active' ELSE 'none' END AS status
     FROM b LEFT JOIN f ON f.scope = b.scope AND f.owner = b.owner LEFT JOIN l ON l.scope = b.scope AND l.owner = b.owner)
-SELECT scope, owner, CASE WHEN status = 'active' THEN coalesce(rules, []) ELSE [] END AS rules, CASE WHEN last_turn = 'p' THEN last_rules ELSE [] END AS proposed, status, CAST(version AS INT) AS version FROM s""")
+SELECT scope, owner, CASE WHEN status = 'active' THEN coalesce(rules, []) ELSE [] END AS rules, CASE WHEN last_turn = 'p' THEN last_rules ELSE [] END AS proposed, status, CAST(version AS INT) AS version FROM s"""
+
+
+@query("r8_rule_pack_fold", _packs_sql("events", "event_id"))
 def _(s, d):
-    kind = F.col("event_type")
-    act = F.when(kind == "click", "propose").when(kind == "purchase", "approve").when(kind == "error", "reject").when(kind == "view", "enable").otherwise("disable")
-    a = table(s, d, "events").select((F.col("user_id") % 5).cast("string").alias("scope"), (F.col("user_id") % 7).cast("string").alias("owner"), F.col("event_id").alias("seq"), act.alias("action"), F.array(F.concat(F.lit("r"), F.col("event_id"))).alias("rules"))
-    return R.rule_pack_fold(a)
+    return R.rule_pack_fold(_packs(table(s, d, "events")).drop("ts"))
+
+
+@query("r8_rule_packs_stream", _packs_sql(f"(WITH {_MARK} SELECT * FROM events, w WHERE ts <= mark)", "row_number() OVER (ORDER BY ts, event_id)"))
+def _(s, d):
+    return R.run_available(T.rule_packs(_packs(_stream(s, d))), shared(s, "packs"), key=["scope", "owner"], conf=T.STATE_STORE)
 
 
 _DAYS = "SELECT CAST(ts AS DATE) AS day, count(*) AS jobs, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS tokens FROM events GROUP BY 1"

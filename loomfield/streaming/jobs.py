@@ -137,15 +137,24 @@ def usage_stream(log: DataFrame, delay: str = "1 day") -> DataFrame:
     return out.select(F.to_date(F.col("w.start")).alias("day"), "jobs", "tokens")
 
 
-def run_available(stream: DataFrame, folder: str, mode: str = "append", key: list[str] | None = None) -> DataFrame:
+def run_available(stream: DataFrame, folder: str, mode: str = "append", key: list[str] | None = None, conf: dict[str, str] | None = None) -> DataFrame:
     """Runs a stream over what its source has now into Parquet below folder, and reads
-    it; in update mode with a key, the last row of each key."""
+    it; with a key, the last row of each key. conf: settings that hold while the stream
+    starts (those of its state store)."""
 
     def put(df: DataFrame, epoch: int) -> None:
         df.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{folder}/out/{epoch}")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start()
-    q.awaitTermination()
+    spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = stream.sparkSession.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out")
     if key:
         w = Window.partitionBy(*key).orderBy(F.desc("_epoch"))
