@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import intake_queries, resolve_queries, text_queries, usage_queries
+from . import intake_queries, report_queries, resolve_queries, text_queries, usage_queries
 
-_GROUPS = (text_queries, usage_queries, resolve_queries, intake_queries)
+_GROUPS = (text_queries, usage_queries, report_queries, resolve_queries, intake_queries)
 
 QUERIES = {k: f for g in _GROUPS for k, f in g.QUERIES.items()}
 ORACLES = {k: q for g in _GROUPS for k, q in g.ORACLES.items()}
