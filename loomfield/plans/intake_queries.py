@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -150,6 +151,16 @@ def _(s, d):
     return tenant_time_scan(table(s, d, "events").withColumnRenamed("user_id", "tenant"), 3, "2024-01-20").select("event_id")
 
 
+@query("s14_log_pages", """WITH r AS (SELECT event_id AS id, ts, row_number() OVER (ORDER BY ts, event_id) AS k FROM events WHERE user_id = 3 AND ts >= TIMESTAMP '2024-01-08')
+SELECT id, ts, CAST((k - 1) // 20 AS INT) AS page FROM r""")
+def _(s, d):
+    path = shared(s, "log")
+    S.audit_sink(table(s, d, "events").withColumnsRenamed({"user_id": "tenant", "event_id": "id"}), path)
+    pages = S.log_pages(s.read.parquet(path), 3, datetime(2024, 1, 8), 20)
+    rows = [(r.id, r.ts, i) for i, page in enumerate(pages) for r in page]
+    return s.createDataFrame(rows, "id long, ts timestamp_ntz, page int")
+
+
 @query("s15_expire", "SELECT event_id FROM events WHERE ts + INTERVAL 24 HOUR > TIMESTAMP '2024-01-25'")
 def _(s, d):
     return S.expire(table(s, d, "events"), "2024-01-25", "24 hours").select("event_id")
@@ -161,7 +172,8 @@ def _(s, d):
     t = table(s, d, "supplier").select("s_suppkey", "s_name")
     S.catalog_refresh(t, path)
     S.catalog_refresh(t.filter("false"), path)
-    return s.read.parquet(path)
+    S.catalog_refresh(t, path, {"named": "s_name = 'no such name'"})
+    return S.catalog_current(s, path)
 
 
 # ---- segmentation: a customer's orders as the lines of a document

@@ -1,5 +1,6 @@
 """Operators on literal rows, a case for each clause."""
 
+import zipfile
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,7 +276,9 @@ def test_scan_files_and_split(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 x")
     (tmp_path / "b.pdf").write_bytes(b"not a pdf")
     (tmp_path / "c.exe").write_bytes(b"MZ")
-    (tmp_path / "d.docx").write_bytes(b"PK\x03\x04 [Content_Types].xml word/document.xml")
+    with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
+        z.writestr("[Content_Types].xml", "x")
+        z.writestr("word/document.xml", "x")
     df = files.scan_files(spark, str(tmp_path))
     assert {r.path[-5:]: r.ok for r in df.collect()} == {"a.pdf": True, "b.pdf": False, "c.exe": False, ".docx": True}
     ok, bad = files.split_accepted(df.withColumn("batch_id", F.lit(1)), max_files=1)
