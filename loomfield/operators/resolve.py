@@ -26,6 +26,21 @@ def resolve_term(df: DataFrame, col: str, terms: DataFrame, out: str = "canonica
     return df.withColumn("_k", match_key(F.col(col))).join(best, "_k", "left").drop("_k")
 
 
+def expand_term(df: DataFrame, col: str, terms: DataFrame, heads: DataFrame, names: DataFrame | None = None, out: str = "canonical") -> DataFrame:
+    """resolve_term(), and for values the dictionary doesn't have: a single leading word
+    of letters, then a dash or slash, where heads (priority, key, expansion) know the
+    word and names (name; by default the dictionary's canonical ones) know its expansion
+    with the rest behind it. Nothing is made up: an expansion that no name is stays null."""
+    found = resolve_term(df, col, terms, "_direct")
+    known = (names if names is not None else terms.select(F.col("canonical").alias("name"))).groupBy(match_key(F.col("name")).alias("_full")).agg(F.min("name").alias("_name"))
+    said = heads.groupBy(match_key(F.col("key")).alias("_hk")).agg(F.min_by("expansion", "priority").alias("_long"))
+    shape = r"^\s*([A-Za-z]+)\s*[-\u2013/]\s*(.+)$"
+    head, tail = F.regexp_extract(col, shape, 1), F.regexp_extract(col, shape, 2)
+    rows = found.withColumn("_hk", F.when(F.col("_direct").isNull() & (head != ""), match_key(head))).join(said, "_hk", "left")
+    rows = rows.withColumn("_full", match_key(F.concat("_long", F.lit("-"), tail))).join(known, "_full", "left")
+    return rows.withColumn(out, F.coalesce("_direct", "_name")).drop("_direct", "_hk", "_long", "_full", "_name")
+
+
 def term_group(df: DataFrame, col: str, groups: DataFrame, out: str = "group") -> DataFrame:
     by = groups.groupBy(match_key(F.col("name")).alias("_k")).agg(F.min("group").alias(out))
     return df.withColumn("_k", match_key(F.col(col))).join(by, "_k", "left").drop("_k")
@@ -145,34 +160,59 @@ def gram_pairs(a: DataFrame, b: DataFrame, shared: Callable[[Column], Column], b
     return rarest(ga, "key").join(rarest(gb, "rkey"), [*by, "g"]).select(*by, "key", "rkey").distinct()
 
 
-def near_pairs(cands: DataFrame, records: DataFrame, threshold: float = 0.90, blocked: bool = True) -> DataFrame:
-    """(key, rkey, ratio) of distinct candidate keys and record keys with ratio at least
-    the threshold. Blocked on the rarest 3-grams and bounded by lengths; both at most
-    eight characters together: on a shared character, or on equality where the threshold
-    leaves no character over. The ratio is for survivors only."""
-    a, b = cands.select("key").distinct(), records.select(F.col("key").alias("rkey")).distinct()
+def bag_bound(a: Column, b: Column) -> Column:
+    """The most that gestalt_ratio(a, b) can be: twice the characters that both have,
+    in any order, over both lengths."""
+    many = lambda t, c: F.length(t) - F.length(F.replace(t, c, F.lit("")))
+    both = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.least(many(a, c), many(b, c)))
+    return 2 * both / (F.length(a) + F.length(b))
+
+
+def near_candidates(cands: DataFrame, records: DataFrame, threshold: float = 0.90, blocked: bool = True, by: tuple = ()) -> DataFrame:
+    """(by..., key, rkey) of distinct candidate and record keys, in one scope where `by`
+    names it, that can have a ratio of at least the threshold. Blocked on the rarest
+    3-grams and bounded by lengths; both at most eight characters together: on a shared
+    character, or on equality where the threshold leaves no character over."""
+    a, b = cands.select(*by, "key").distinct(), records.select(*by, F.col("key").alias("rkey")).distinct()
     la, lb = F.length("key"), F.length("rkey")
     fits = 2 * F.least(la, lb) >= threshold * (la + lb)
-    if blocked:
-        # m matched characters leave at most la + lb - 2 m + 1 gaps, each of which costs two grams
-        shared = lambda n: F.floor((2.5 * threshold - 2) * n * (1 + threshold / (2 - threshold)) - 2)
-        pairs = gram_pairs(a, b, shared).filter(fits)
-        sa, sb = a.filter("length(key) <= 7"), b.filter("length(rkey) <= 7")
-        if (1 - threshold) * 8 < 1:
-            short = sa.join(sb, F.col("key") == F.col("rkey"))
-        else:
-            each = lambda df, k: df.select(k, F.explode(F.array_distinct(F.split(k, ""))).alias("c"))
-            short = each(sa, "key").join(each(sb, "rkey"), "c").drop("c")
-        pairs = pairs.unionByName(short.filter((la + lb <= 8) & fits)).distinct()
+    if not blocked:
+        return (a.join(b, list(by)) if by else a.join(b)).filter(fits)
+    # m matched characters leave at most la + lb - 2 m + 1 gaps, each of which costs two grams
+    shared = lambda n: F.floor((2.5 * threshold - 2) * n * (1 + threshold / (2 - threshold)) - 2)
+    pairs = gram_pairs(a, b, shared, by).filter(fits)
+    sa, sb = a.filter("length(key) <= 7"), b.filter("length(rkey) <= 7")
+    if (1 - threshold) * 8 < 1:
+        short = sa.withColumn("_k", F.col("key")).join(sb.withColumn("_k", F.col("rkey")), [*by, "_k"]).drop("_k")
     else:
-        pairs = a.join(b, fits)
-    return pairs.withColumn("ratio", gestalt_ratio("key", "rkey")).filter(F.col("ratio") >= threshold)
+        each = lambda df, k: df.select(*by, k, F.explode(F.array_distinct(F.split(k, ""))).alias("c"))
+        short = each(sa, "key").join(each(sb, "rkey"), [*by, "c"]).drop("c")
+    return pairs.unionByName(short.filter((la + lb <= 8) & fits)).distinct()
+
+
+def near_pairs(cands: DataFrame, records: DataFrame, threshold: float = 0.90, blocked: bool = True, by: tuple = ()) -> DataFrame:
+    """(by..., key, rkey, ratio) with ratio at least the threshold. Candidates that their
+    characters alone rule out go before the ratio, which is worked out once for a pair of
+    keys however many scopes it is in."""
+    pairs = near_candidates(cands, records, threshold, blocked, by)
+    some = pairs.select("key", "rkey").distinct() if by else pairs
+    if blocked:
+        some = some.filter(bag_bound(F.col("key"), F.col("rkey")) >= threshold)
+    near = some.withColumn("ratio", gestalt_ratio("key", "rkey")).filter(F.col("ratio") >= threshold)
+    return pairs.join(near, ["key", "rkey"]) if by else near
 
 
-def match_fuzzy(probe: DataFrame, row_id: str, cands: DataFrame, catalog: DataFrame, threshold: float = 0.90, token_sorted: bool = False, blocked: bool = True, most_words: int = 6) -> DataFrame:
+def match_fuzzy(
+    probe: DataFrame, row_id: str, cands: DataFrame, catalog: DataFrame, threshold: float = 0.90, token_sorted: bool = False, blocked: bool = True, most_words: int = 6,
+    scopes: DataFrame | None = None, aliases: dict | None = None,
+) -> DataFrame:
     """(probe columns, match_id, confidence, match_tier): the record whose name or full
     name is nearest a candidate of at most six words; ties go to the earliest record,
-    field and candidate. A ratio of 1 is an exact match, nearer ones end at 0.94."""
+    field and candidate. A ratio of 1 is an exact match, nearer ones end at 0.94.
+
+    scopes (row id, scope_key), as scope_keys() gives them: a row with scope keys meets
+    the records that share one only, and nothing outside is compared; a row without any
+    meets all."""
     fields = F.array(F.struct(F.lit(0).alias("field"), match_key(F.col("name")).alias("key")), F.struct(F.lit(1).alias("field"), match_key(F.col("full_name")).alias("key")))
     rec = catalog.select("id", "ord", F.explode(fields).alias("f")).select("id", "ord", "f.field", "f.key").filter("key is not null")
     some = cands.filter(F.size(F.split("key", " ")) <= most_words)
@@ -180,11 +220,19 @@ def match_fuzzy(probe: DataFrame, row_id: str, cands: DataFrame, catalog: DataFr
         form = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
         some = some.unionByName(some.withColumn("key", form(F.col("key"))))
         rec = rec.unionByName(rec.withColumn("key", form(F.col("key"))))
-    near = near_pairs(some, rec, threshold, blocked)
-    hits = some.join(near, "key").join(rec.withColumnRenamed("key", "rkey"), "rkey")
-    best = hits.groupBy(row_id).agg(F.min_by(F.struct("id", "ratio"), F.struct(-F.col("ratio"), "ord", "field", "cand_pos")).alias("b"))
-    conf = F.when(F.col("b.ratio") == 1.0, 1.0).when(F.col("b").isNotNull(), F.least(F.bround("b.ratio", 2), F.lit(NEAR_MOST)))
-    tier = F.when(F.col("b.ratio") == 1.0, "name").when(F.col("b").isNotNull(), "fuzzy")
+    by = ()
+    if scopes is not None:
+        by, all_of = ("_scope",), F.lit("").alias("_scope")  # no scope key is empty
+        own = scopes.select(row_id, F.col("scope_key").alias("_scope")).distinct()
+        some = some.join(own, row_id, "left").withColumn("_scope", F.coalesce("_scope", F.lit("")))
+        held = scope_keys(catalog, "ord", "scope", aliases).select("ord", F.col("scope_key").alias("_scope")).distinct()
+        rec = rec.join(held.unionByName(catalog.select("ord", all_of)), "ord")
+    near = near_pairs(some, rec, threshold, blocked, by)
+    hits = some.join(near, [*by, "key"]).join(rec.withColumnRenamed("key", "rkey"), [*by, "rkey"])
+    best = hits.groupBy(row_id).agg(F.min_by(F.struct("id", "ratio", "field"), F.struct(-F.col("ratio"), "ord", "field", "cand_pos")).alias("b"))
+    same = F.col("b.ratio") == 1.0
+    conf = F.when(same, 1.0).when(F.col("b").isNotNull(), F.least(F.bround("b.ratio", 2), F.lit(NEAR_MOST)))
+    tier = F.when(same & (F.col("b.field") == 0), "name").when(same, "full_name").when(F.col("b").isNotNull(), "fuzzy")
     return probe.join(best, row_id, "left").select(*probe.columns, F.col("b.id").alias("match_id"), F.coalesce(conf, F.lit(0.0)).alias("confidence"), tier.alias("match_tier"))
 
 
@@ -282,6 +330,48 @@ def infer_scope(docs: DataFrame, roles: DataFrame, states: DataFrame) -> DataFra
     return out.join(states.groupBy(F.col("id").alias("state_id")).agg(F.min("country_id").alias("country_id")), "state_id", "left").select("doc_id", "country_id", "state_id")
 
 
+#: The last part of an address line: what may be a state, and a ZIP code.
+STATE_TAIL = r",\s*([A-Za-z][A-Za-z. ]{0,24}?)\s*(?:,\s*)?(?:[0-9]{5}(?:-[0-9]{4})?)?\s*$"
+
+
+def home_scope(docs: DataFrame, roles: DataFrame, states: DataFrame) -> DataFrame:
+    """(doc_id, country_id, state_id), one row a document: the state, by code or name,
+    that ends the last line of the home address; else the one pair of country and state
+    that all roles with both share; else none."""
+    line = F.element_at(F.split(F.regexp_replace("address", r"^\s+|\s+$", ""), r"\R"), -1)
+    said = docs.select("doc_id", F.lit(None).cast(states.schema["country_id"].dataType).alias("country_id"), F.nullif(F.trim(F.regexp_extract(line, STATE_TAIL, 1)), F.lit("")).alias("_said"))
+    home = resolve_state(said, "_said", states).select("doc_id", F.col("state_id").alias("home"))
+    of = states.groupBy(F.col("id").alias("home")).agg(F.min_by("country_id", "ord").alias("home_country"))
+    both = roles.filter("country_id is not null and state_id is not null").groupBy("doc_id")
+    pair = F.struct("country_id", "state_id")
+    shared = both.agg(F.min(pair).alias("lo"), F.max(pair).alias("hi"))
+    out = home.join(of, "home", "left").join(shared, "doc_id", "left")
+    at_home, only = F.col("home").isNotNull() & F.col("home_country").isNotNull(), F.col("lo") == F.col("hi")
+    return out.select("doc_id", F.when(at_home, F.col("home_country")).when(only, F.col("lo.country_id")).alias("country_id"), F.when(at_home, F.col("home")).when(only, F.col("lo.state_id")).alias("state_id"))
+
+
+def resolve_role_cities(docs: DataFrame, roles: DataFrame, states: DataFrame, cities: DataFrame, floor: float = 0.9, cap: int = 25) -> DataFrame:
+    """resolve_city() with the document's own scope for roles that name a city without
+    a country or state: docs (doc_id, address), roles (doc_id, pos, country_id, state_id,
+    city, city_id). A city found that way brings its own state and country where the role
+    has none, with the city's score as their confidence; nothing that is there is
+    overridden, and the guess itself is never kept."""
+    scope = home_scope(docs, roles, states).select("doc_id", F.col("country_id").alias("_gc"), F.col("state_id").alias("_gs"))
+    asked = roles.join(scope, "doc_id", "left")
+    guessed = F.col("country_id").isNull() | F.col("state_id").isNull()
+    place = {"_c": F.when(guessed, F.col("_gc")).otherwise(F.col("country_id")), "_s": F.when(guessed, F.col("_gs")).otherwise(F.col("state_id"))}
+    asked = asked.withColumns({**place, "_guess": guessed, "_new": F.col("city_id").isNull(), "_own_c": F.col("country_id"), "_own_s": F.col("state_id")})
+    asked = asked.withColumns({"country_id": F.col("_c"), "state_id": F.col("_s")}).drop("_c", "_s", "_gc", "_gs")
+    found = resolve_city(asked, cities, floor, cap)
+    of = cities.groupBy(F.col("id").alias("city_id")).agg(F.min(F.struct("country_id", "state_id")).alias("_of"))
+    out = found.join(of, "city_id", "left")
+    brings = F.col("_guess") & F.col("_new") & F.col("city_id").isNotNull()
+    fill = lambda own, theirs: F.when(F.col(own).isNull() & brings, F.col(theirs)).otherwise(F.col(own))
+    sure = lambda own: F.when(F.col(own).isNull() & brings, F.col("city_confidence"))
+    out = out.withColumns({"country_id": fill("_own_c", "_of.country_id"), "state_id": fill("_own_s", "_of.state_id"), "country_confidence": sure("_own_c"), "state_confidence": sure("_own_s")})
+    return out.select(*roles.columns, "city_confidence", "country_confidence", "state_confidence")
+
+
 def shortlist(phrases: DataFrame, catalog: DataFrame, cap: int = 60) -> DataFrame:
     """(doc_id, rank, id): records that share a word with a phrase and its scope, then
     that share a word, then the rest in load order, `cap` at most. The rest is the
@@ -339,6 +429,47 @@ def validate_terms(terms: DataFrame, resolved: DataFrame, certificates: list[str
     return out.select("doc_id", "n", "recognised", F.bround(F.col("recognised") / F.col("n"), 2).alias("ratio"), F.map_from_entries("k").alias("groups"))
 
 
+def word_hits(terms: DataFrame, words: DataFrame, most: int = 8) -> DataFrame:
+    """(doc_id, pos, word): the longest entry of a dictionary table (word) that stands in
+    a term as whole words, the first of equally long ones. Terms and entries are cut into
+    words the same way, and runs of up to `most` words of a term are joined with the
+    entries of as many words, so the dictionary may have any number of entries. Entries
+    of more words than the longest run are looked up at their own length."""
+    cut = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    entries = words.select(F.col("word"), cut(F.col("word")).alias("w")).filter(F.size("w") > 0)
+    entries = entries.groupBy(F.array_join("w", " ").alias("run")).agg(F.min("word").alias("word"), F.max(F.size("w")).alias("size"))
+    longest = max(most, entries.agg(F.max("size")).first()[0] or 0)
+    own = terms.select("doc_id", "pos", cut(F.col("term")).alias("w")).filter(F.size("w") > 0)
+    starts = F.sequence(F.lit(1), F.size("w"))
+    run = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.size("w") - i + 1, F.lit(longest))), lambda n: F.struct(i.alias("at"), F.array_join(F.slice("w", i, n), " ").alias("run")))
+    runs = own.select("doc_id", "pos", F.explode(F.flatten(F.transform(starts, run))).alias("r")).select("doc_id", "pos", "r.at", "r.run")
+    hits = runs.join(entries, "run")
+    return hits.groupBy("doc_id", "pos").agg(F.min_by("word", F.struct(-F.length("run"), "at")).alias("word"))
+
+
+def validate_term_tables(terms: DataFrame, dictionary: DataFrame, groups: DataFrame, certificates: DataFrame, words: DataFrame) -> DataFrame:
+    """terms (doc_id, pos, term) to (doc_id, total, recognised, ratio, known[], unknown[],
+    groups): each resolved value once, in order. A term is known by the dictionary
+    (priority, key, canonical), with the group of groups (name, group); else as one of
+    certificates (name); else by a clinical word of words (word) that it holds. All four
+    are tables of any size. Blank terms say nothing."""
+    t = terms.withColumn("term", F.trim("term")).filter("term != ''")
+    t = resolve_term(t, "term", dictionary)
+    value = F.coalesce("canonical", "term")
+    first = F.row_number().over(Window.partitionBy("doc_id", F.lower("value")).orderBy("pos"))
+    t = t.withColumn("value", value).withColumn("_n", first).filter("_n = 1").drop("_n")
+    t = term_group(t, "canonical", groups, "_group")
+    held = certificates.select(F.lower(F.trim("name")).alias("_cert")).distinct().withColumn("_is", F.lit(True))
+    t = t.withColumn("_cert", F.lower("term")).join(held, "_cert", "left").join(word_hits(t, words), ["doc_id", "pos"], "left")
+    kind = F.when(F.col("canonical").isNotNull(), F.col("_group")).when(F.col("_is"), "Certification").when(F.col("word").isNotNull(), "Clinical Skill")
+    known = F.col("canonical").isNotNull() | F.col("_is") | F.col("word").isNotNull()
+    t = t.select("doc_id", "pos", "value", kind.alias("kind"), F.coalesce(known, F.lit(False)).alias("known"))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("pos", "value")))), lambda x: x["value"])
+    named = F.collect_list(F.when(F.col("known") & F.col("kind").isNotNull(), F.struct("value", "kind")))
+    out = t.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("known").alias("recognised"), listed(F.col("known")).alias("known"), listed(~F.col("known")).alias("unknown"), F.map_from_entries(named).alias("groups"))
+    return out.select("doc_id", "total", "recognised", F.bround(F.col("recognised") / F.col("total"), 2).alias("ratio"), "known", "unknown", "groups")
+
+
 def normalize_terms(terms: DataFrame, dictionary: DataFrame) -> DataFrame:
     """terms (doc_id, pos, term): canonical or as written, once in any case, in order."""
     out = resolve_term(terms, "term", dictionary).withColumn("term", F.coalesce("canonical", "term")).drop("canonical")

@@ -274,6 +274,17 @@ def _(s, d):
     return rec.select("doc_id", "name", F.size("experience").cast("long").alias("n_roles"), F.col("experience")[0]["role"].alias("first_role"))
 
 
+@query("x9_documents_to_records", f"""SELECT o_custkey AS doc_id, {_NAME.format(id='o_custkey')} AS name, count(*) AS n_roles, 'Role ' || min_by(o_orderpriority, o_orderkey) AS first_role,
+  CASE WHEN o_custkey % 3 = 0 THEN 0 WHEN o_custkey % 2 = 0 THEN 3 ELSE 2 END AS n_skills, CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE 1 END AS n_education, 'p' || o_custkey || '@x.org' AS email FROM orders GROUP BY o_custkey""")
+def _(s, d):
+    # a third of the documents are without headers; an address stands above all
+    heads = F.col("text").isin("Work Experience:", "Education & Training", "SKILLS") & (F.col("doc_id") % 3 == 0)
+    rows = lines(s, d).filter(~heads).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("l"))
+    docs = rows.select("doc_id", F.concat(F.lit("p"), F.col("doc_id"), F.lit("@x.org\n"), F.array_join(F.transform("l", lambda x: x["text"]), "\n")).alias("text"))
+    out = X.documents_to_records(docs, _RULES, r"(?i)\bbachelor\b", r"(?i)\buniversity\b")
+    return out.select("doc_id", "name", F.size("experience").cast("long").alias("n_roles"), F.col("experience")[0]["role"].alias("first_role"), F.size("skills").alias("n_skills"), F.size("education").alias("n_education"), "email")
+
+
 @query("x10_reading_order", """WITH b AS (SELECT l_orderkey AS page_id, l_suppkey % 2 AS c, l_partkey AS y, l_linenumber AS pos, 'block of text number x' || l_partkey || ' and more of it' AS t FROM lineitem)
 SELECT page_id, count(*) AS n, md5(string_agg(t, chr(10) ORDER BY c, y, pos)) AS h FROM b GROUP BY 1""")
 def _(s, d):

@@ -345,3 +345,78 @@ def _(s, d):
     return C.ladder_coalesce(k.select("doc_id"), a, b, k.withColumn("record", F.array("record")), usable=F.size("record") > 0).select("doc_id", "source", "partial")
 
 
+
+
+def _settings(s, d):
+    """Order priorities with a nation or its first letters before them, as terms."""
+    k, n = F.col("o_orderkey"), F.lower("n_name")
+    head = F.when(k % 3 == 0, F.substring("n_name", 1, 3)).when(k % 3 == 1, F.concat(F.lit(" "), n)).otherwise("Qqq")
+    sign = F.when(k % 2 == 0, " - ").otherwise("/")
+    o = table(s, d, "orders").join(table(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(table(s, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return o.select(k.alias("row_id"), F.when(k % 7 == 0, n).otherwise(F.concat(head, sign, F.lower("o_orderpriority"))).alias("said"))
+
+
+@query("e1_expand_term", f"""WITH n AS (SELECT n_nationkey, n_name FROM nation), nm AS (SELECT DISTINCT n_name || ' - ' || o_orderpriority AS name FROM nation, orders WHERE o_orderpriority <> '5-LOW'),
+  h AS (SELECT {key_sql("substr(n_name, 1, 3)")} AS hk, min_by(n_name, n_nationkey) AS long FROM nation GROUP BY 1 UNION ALL SELECT {key_sql("n_name")}, n_name FROM nation WHERE length(n_name) > 3),
+  t AS (SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 7 = 0 THEN lower(n_name) ELSE (CASE o_orderkey % 3 WHEN 0 THEN substr(n_name, 1, 3) WHEN 1 THEN ' ' || lower(n_name) ELSE 'Qqq' END) || (CASE WHEN o_orderkey % 2 = 0 THEN ' - ' ELSE '/' END) || lower(o_orderpriority) END AS said
+    FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+  x AS (SELECT row_id, said, regexp_extract(said, '^\\s*([A-Za-z]+)\\s*[-/]\\s*(.+)$', 1) AS head, regexp_extract(said, '^\\s*([A-Za-z]+)\\s*[-/]\\s*(.+)$', 2) AS tail FROM t)
+SELECT row_id, coalesce(n.n_name, nm.name) AS canonical FROM x LEFT JOIN n ON {key_sql("n.n_name")} = {key_sql("said")}
+LEFT JOIN h ON n.n_name IS NULL AND head <> '' AND h.hk = {key_sql("head")} LEFT JOIN nm ON {key_sql("nm.name")} = {key_sql("h.long || '-' || tail")}""")
+def _(s, d):
+    n = table(s, d, "nation")
+    known = n.select(F.col("n_nationkey").alias("priority"), F.col("n_name").alias("key"), F.col("n_name").alias("canonical"))
+    heads = n.select(F.col("n_nationkey").alias("priority"), F.substring("n_name", 1, 3).alias("key"), F.col("n_name").alias("expansion")).unionByName(n.filter("length(n_name) > 3").select(F.col("n_nationkey").alias("priority"), F.col("n_name").alias("key"), F.col("n_name").alias("expansion")))
+    kinds = table(s, d, "orders").filter("o_orderpriority <> '5-LOW'").select("o_orderpriority").distinct()
+    full = n.join(kinds).select(F.concat_ws(" - ", "n_name", "o_orderpriority").alias("name"))  # 25 nations, a few priorities
+    return R.expand_term(_settings(s, d), "said", known, heads, full).select("row_id", "canonical")
+
+
+@query("e9_match_fuzzy_scoped")  # the ratio is no SQL function; tests hold this against all pairs
+def _(s, d):
+    part = table(s, d, "part").select(F.col("p_partkey").alias("row_id"), F.when(F.col("p_partkey") % 4 > 0, F.col("p_brand")).alias("scope"))
+    p = misspelt(s, d).join(part, "row_id")
+    cat = catalog(s, d).groupBy("name", "scope").agg(F.min("ord").alias("ord")).select("ord", F.col("ord").alias("id"), "name", F.lit(None).cast("string").alias("full_name"), "scope")
+    return R.match_fuzzy(p, "row_id", R.candidate_keys_org(p, "row_id", "said"), cat, scopes=R.scope_keys(p, "row_id", "scope"))
+
+
+@query("e16_role_cities", """WITH st AS (SELECT n_nationkey AS id, lower(substr(n_name, 1, 2)) AS code, lower(n_name) AS name, n_regionkey AS country_id FROM nation),
+  cu AS (SELECT c_custkey AS doc_id, n_nationkey AS nk, n_regionkey AS rk, lower(n_name) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey),
+  ro AS (SELECT doc_id, o_orderkey AS pos, CASE WHEN o_orderkey % 4 < 2 THEN rk END AS country_id, CASE WHEN o_orderkey % 4 = 0 THEN nk END AS state_id, 'city of ' || CASE WHEN o_orderkey % 5 = 0 THEN substr(n, 2) ELSE n END AS city, CASE WHEN o_orderkey % 9 = 0 THEN 7 END AS city_id FROM orders JOIN cu ON doc_id = o_custkey),
+  sh AS (SELECT doc_id, min(country_id) AS c, min(state_id) AS s FROM ro WHERE state_id IS NOT NULL GROUP BY 1),
+  g AS (SELECT cu.doc_id, CASE doc_id % 3 WHEN 0 THEN (SELECT min(id) FROM st WHERE code = substr(n, 1, 2)) WHEN 1 THEN nk ELSE s END AS s FROM cu LEFT JOIN sh USING (doc_id)),
+  p AS (SELECT ro.*, country_id IS NULL OR state_id IS NULL AS guess, CASE WHEN country_id IS NULL OR state_id IS NULL THEN g.s ELSE state_id END AS spot FROM ro LEFT JOIN g USING (doc_id)),
+  x AS (SELECT p.*, st.id * 10 AS found, st.country_id AS fc, 1 - levenshtein(city, 'city of ' || st.name) / greatest(length(city), length('city of ' || st.name)) AS score FROM p LEFT JOIN st ON st.id = p.spot AND p.city_id IS NULL)
+SELECT doc_id, pos, coalesce(city_id, CASE WHEN score >= 0.9 THEN found END) AS city_id, CASE WHEN country_id IS NULL AND guess AND score >= 0.9 THEN fc ELSE country_id END AS country_id, CASE WHEN state_id IS NULL AND guess AND score >= 0.9 THEN spot ELSE state_id END AS state_id,
+  round(CASE WHEN city_id IS NOT NULL THEN 1e0 WHEN score >= 0.9 THEN score ELSE 0e0 END, 6) AS city_confidence, round(CASE WHEN state_id IS NULL AND score >= 0.9 THEN score END, 6) AS state_confidence FROM x""")
+def _(s, d):
+    n, c, k = table(s, d, "nation"), F.col("c_custkey"), F.col("o_orderkey")
+    state = F.concat(F.lit("State of "), F.char(F.col("n_nationkey") + 65))
+    states = n.select(F.col("n_nationkey").alias("ord"), F.col("n_nationkey").alias("id"), F.substring("n_name", 1, 2).alias("code"), state.alias("name"), F.col("n_regionkey").alias("country_id"))
+    cities = n.select(F.col("n_regionkey").alias("country_id"), F.col("n_nationkey").alias("state_id"), (F.col("n_nationkey") * 10).alias("id"), F.concat(F.lit("City of "), "n_name").alias("city"))
+    people = table(s, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey"))
+    coded, named = F.concat(F.lit("1 Main St, Town, "), F.substring("n_name", 1, 2), F.lit(", 12345")), F.concat(F.lit("Flat 2, High Road\n5 Road, "), F.lower(state), F.lit(" 12345-6789 \n"))
+    docs = people.select(c.alias("doc_id"), F.when(c % 3 == 0, coded).when(c % 3 == 1, named).alias("address"))
+    city = F.concat(F.lit("City of "), F.when(k % 5 == 0, F.expr("substr(n_name, 2)")).otherwise(F.col("n_name")))
+    roles = table(s, d, "orders").join(people, c == F.col("o_custkey")).select(
+        c.alias("doc_id"), k.alias("pos"), F.when(k % 4 < 2, F.col("n_regionkey")).alias("country_id"), F.when(k % 4 == 0, F.col("n_nationkey")).alias("state_id"), city.alias("city"), F.when(k % 9 == 0, 7).alias("city_id")
+    )
+    out = R.resolve_role_cities(docs, roles, states, cities)
+    return out.select("doc_id", "pos", "city_id", "country_id", "state_id", F.round("city_confidence", 6).alias("city_confidence"), F.round("state_confidence", 6).alias("state_confidence"))
+
+
+@query("e20_validate_term_tables", f"""WITH t AS (SELECT o_custkey AS doc_id, o_orderkey AS pos, trim(CASE o_orderkey % 5 WHEN 0 THEN o_orderpriority WHEN 1 THEN ' bls ' WHEN 2 THEN 'did ' || o_orderstatus || '-Arterial  Line work' WHEN 3 THEN 'no such thing ' || o_orderkey % 10 ELSE ' ' END) AS term FROM orders),
+  v AS (SELECT *, CASE WHEN {key_sql("term")} IN (SELECT {key_sql("p_type")} FROM part) THEN 'no' WHEN {key_sql("term")} = '1 urgent' THEN 'Now' END AS canonical FROM t WHERE term <> ''),
+  u AS (SELECT *, coalesce(canonical, term) AS value FROM v), f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY doc_id, lower(value) ORDER BY pos) = 1),
+  k AS (SELECT *, canonical IS NOT NULL OR lower(term) = 'bls' OR contains(lower(term), 'arterial') OR regexp_matches(lower(term), '\\blow\\b') AS known FROM f)
+SELECT doc_id, count(*) AS total, count_if(known) AS recognised, round_even(count_if(known) / count(*), 2) AS ratio, coalesce(string_agg(CASE WHEN known THEN value END, '|' ORDER BY pos), '') AS known, coalesce(string_agg(CASE WHEN NOT known THEN value END, '|' ORDER BY pos), '') AS unknown, count_if(known) AS n_groups FROM k GROUP BY 1""")
+def _(s, d):
+    k = F.col("o_orderkey")
+    term = F.when(k % 5 == 0, F.col("o_orderpriority")).when(k % 5 == 1, " bls ").when(k % 5 == 2, F.concat(F.lit("did "), "o_orderstatus", F.lit("-Arterial  Line work"))).when(k % 5 == 3, F.concat(F.lit("no such thing "), k % 10)).otherwise(" ")
+    t = table(s, d, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("pos"), term.alias("term"))
+    # the dictionary holds every part type besides, which no term is
+    known = table(s, d, "part").select(F.col("p_partkey").cast("int").alias("priority"), F.col("p_type").alias("key"), F.lit("no").alias("canonical")).unionByName(s.createDataFrame([(0, "1 URGENT", "Now")], "priority int, key string, canonical string"))
+    groups = s.createDataFrame([("now", "time")], "name string, group string")
+    words = table(s, d, "part").select(F.col("p_name").alias("word")).distinct().unionByName(s.createDataFrame([("line",), ("arterial line",), ("low",)], "word string"))
+    out = R.validate_term_tables(t, known, groups, s.createDataFrame([("BLS",)], "name string"), words)
+    return out.select("doc_id", "total", "recognised", "ratio", F.array_join("known", "|").alias("known"), F.array_join("unknown", "|").alias("unknown"), F.size("groups").cast("long").alias("n_groups"))
