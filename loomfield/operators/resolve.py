@@ -171,23 +171,28 @@ def bag_bound(a: Column, b: Column) -> Column:
 def near_candidates(cands: DataFrame, records: DataFrame, threshold: float = 0.90, blocked: bool = True, by: tuple = ()) -> DataFrame:
     """(by..., key, rkey) of distinct candidate and record keys, in one scope where `by`
     names it, that can have a ratio of at least the threshold. Blocked on the rarest
-    3-grams and bounded by lengths; both at most eight characters together: on a shared
-    character, or on equality where the threshold leaves no character over."""
+    3-grams and bounded by lengths. Where both are so short, or the threshold so low, that
+    a partner need share no 3-gram: on a shared character, or on equality where the
+    threshold leaves no character over."""
     a, b = cands.select(*by, "key").distinct(), records.select(*by, F.col("key").alias("rkey")).distinct()
     la, lb = F.length("key"), F.length("rkey")
     fits = 2 * F.least(la, lb) >= threshold * (la + lb)
     if not blocked:
         return (a.join(b, list(by)) if by else a.join(b)).filter(fits)
-    # m matched characters leave at most la + lb - 2 m + 1 gaps, each of which costs two grams
+    each = lambda df, k: df.select(*by, k, F.explode(F.array_distinct(F.split(k, ""))).alias("c"))
+    if threshold <= 0.8:  # a partner may share no 3-gram, however long both are; it shares a character
+        return each(a, "key").join(each(b, "rkey"), [*by, "c"]).drop("c").filter(fits).distinct()
+    # m matched characters leave at most la + lb - 2 m + 1 gaps, each of which costs two grams;
+    # without a shared gram no block is longer than two, and both together not than this
+    limit = int(0.8 / (threshold - 0.8) + 1e-9)
     shared = lambda n: F.floor((2.5 * threshold - 2) * n * (1 + threshold / (2 - threshold)) - 2)
     pairs = gram_pairs(a, b, shared, by).filter(fits)
-    sa, sb = a.filter("length(key) <= 7"), b.filter("length(rkey) <= 7")
-    if (1 - threshold) * 8 < 1:
+    sa, sb = a.filter(la < limit), b.filter(lb < limit)
+    if (1 - threshold) * limit < 1:
         short = sa.withColumn("_k", F.col("key")).join(sb.withColumn("_k", F.col("rkey")), [*by, "_k"]).drop("_k")
     else:
-        each = lambda df, k: df.select(*by, k, F.explode(F.array_distinct(F.split(k, ""))).alias("c"))
         short = each(sa, "key").join(each(sb, "rkey"), [*by, "c"]).drop("c")
-    return pairs.unionByName(short.filter((la + lb <= 8) & fits)).distinct()
+    return pairs.unionByName(short.filter((la + lb <= limit) & fits)).distinct()
 
 
 def near_pairs(cands: DataFrame, records: DataFrame, threshold: float = 0.90, blocked: bool = True, by: tuple = ()) -> DataFrame:

@@ -38,7 +38,7 @@ def test_scoped_near_matches_are_all_pairs(spark):
     keys = {}
     for r in cands.collect():
         keys.setdefault(r.row_id, []).append((r.cand_pos, r.key))
-    for threshold in (0.9, 0.8):
+    for threshold in (0.9, 0.85, 0.75):
         want = {}
         for i, _, scope in rows:
             own = set((scope or "").split("/")) | {scope} if scope else set()
