@@ -107,18 +107,21 @@ def plain(c: str) -> str:
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 TIMES = {"double": 2, "triple": 3}
 _WORD = rf"(?:(?:{'|'.join(TIMES)})\x20+)?(?:{'|'.join(SPELLED)})"
-_SPELLED_RUN = re.compile(rf"(?i)\b(?:[0-9]+[\x20,-]+)*{_WORD}\b(?:[\x20,-]+(?:{_WORD}\b|[0-9]+))*")
+# From its first word on; digits before it are found by walking back.
+_SPELLED_RUN = re.compile(rf"(?i)\b{_WORD}\b(?:[\x20,-]+(?:{_WORD}\b|[0-9]+))*")
+_DIGITS, _BETWEEN = frozenset("0123456789"), frozenset(" ,-")
 _PART = re.compile(rf"(?i)(?:({'|'.join(TIMES)})\x20+)?({'|'.join(SPELLED)})|[0-9]+")
 _ANY_WORD = re.compile("(?i)" + "|".join(SPELLED))
 _LIKE = str.maketrans("OolI|", "00111")
-_LIKE_RUN = re.compile(r"(?<![A-Za-z0-9])(?=[OolI|]*[0-9])(?=[0-9]*[OolI|])[0-9OolI|]+(?![A-Za-z0-9])")
+_LIKE_RUN = re.compile(r"[0-9OolI|]+")
+_ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _PLUS = re.compile(r"(?i)\bplus[\x20-]+(?=[0-9])")
 _SIGN = re.compile(r"(?i)\x20?[\[({<]\x20?(at|dot|@|\.)\x20?[\])}>]\x20?")
 # What no match of _SIGN is without; quicker to look for.
 _SIGN_HINT = re.compile(r"(?i)[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]")
 _NUMBERS = re.compile(r"(?i)(?<![0-9])[0-9]+(?:\x20+(?:dot|\.)\x20+[0-9]+){3}(?![0-9])")
 _APART = re.compile(r"(?i)\x20+(?:dot|\.)\x20+")
-_AT = re.compile(r"(?i)\x20+(?:(at)|@)\x20+|\x20+@|@\x20+")
+_AT = re.compile(r"(?i)(?<!\x20)\x20++(?:(at)|@)\x20++|(?<!\x20)\x20++@|@\x20++")
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
 _STEP = re.compile(r"(?i)(\x20+(?:dot|\.)\x20+|\.)[A-Za-z0-9-]+")
 _LOCAL_STEP = re.compile(r"(?i)\x20dot\x20\Z")
@@ -151,11 +154,47 @@ class Tape:
 
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
-    edits = []
+    """Runs of spelled and written digits that hold a spelled one: from each first word
+    outwards, so numbers without one are passed over once."""
+    edits, end = [], 0
     for m in _SPELLED_RUN.finditer(text):
-        put = "".join(SPELLED[p[2].lower()] * TIMES.get((p[1] or "").lower(), 1) if p[2] else p[0] for p in _PART.finditer(m[0]))
+        start = at = m.start()
+        while True:
+            a = at
+            while a > end and text[a - 1] in _BETWEEN:
+                a -= 1
+            z = a
+            while z > end and text[z - 1] in _DIGITS:
+                z -= 1
+            # digits that go on to the left in another word are no number of their own
+            if a == at or z == a or (z and (text[z - 1].isalnum() or text[z - 1] == "_")):
+                break
+            start = at = z
+        end = m.end()
+        put = "".join(SPELLED[p[2].lower()] * TIMES.get((p[1] or "").lower(), 1) if p[2] else p[0] for p in _PART.finditer(text, start, end))
         if len(put) >= 3:
-            edits.append((m.start(), m.end(), put))
+            edits.append((start, end, put))
+    return edits
+
+
+def _likes(text: str) -> list[tuple[int, int, str]]:
+    """Digits and their look-alikes that stand alone, both kinds in one run. A run may
+    begin and end beside a bar, which is a look-alike and no letter."""
+    edits = []
+    for m in _LIKE_RUN.finditer(text):
+        a, z = m.span()
+        run = m[0]
+        if run.isdigit() or not any(c in _DIGITS for c in run):
+            continue
+        if a and text[a - 1] in _ALNUM:
+            a = text.find("|", a, z) + 1
+            if not a:
+                continue
+        rest = text[a : m.end()]
+        if z < len(text) and text[z] in _ALNUM:
+            z = text.rfind("|", a + 1, z)
+        if z > a and not rest.isdigit() and any(c in _DIGITS for c in rest):
+            edits.append((a, z, text[a:z].translate(_LIKE)))
     return edits
 
 
@@ -194,7 +233,7 @@ def deobfuscate(t: str) -> Tape | None:
         tape.rewrite([(m.start(), m.end(), p) for m in _ODD.finditer(t) if (p := plain(m[0])) != m[0]])
     if _ANY_WORD.search(tape.text):
         tape.rewrite(_spelled(tape.text))
-    tape.rewrite([(m.start(), m.end(), m[0].translate(_LIKE)) for m in _LIKE_RUN.finditer(tape.text)])
+    tape.rewrite(_likes(tape.text))
     # each rule is run where its text has what none of its matches is without; a long s counts as an s in any case
     low = tape.text.lower()
     if "plus" in low or "pluſ" in low:
