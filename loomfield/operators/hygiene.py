@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.functions import text as T
 from loomfield.functions.udfs import drop_repeated_phrases
+from loomfield.operators.resolve import resolve_term
 
 
 def sanitize_contact(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
@@ -154,3 +155,79 @@ def note_confidence(df: DataFrame) -> DataFrame:
 
 def is_current_sync(df: DataFrame) -> DataFrame:
     return df.withColumn("is_current", F.coalesce(F.col("end_date") == "Present", F.lit(False)) | F.coalesce("is_current", F.lit(False)))
+
+
+#: Marks of something still going on.
+PROGRESS = r"(?i)\b(in[\s-]?progress|current(?:ly)?\s+(?:student|enrolled)|candidate|pursuing|expected|anticipated|ongoing|to be completed)\b"
+
+
+def progress_flag(df: DataFrame, cols: list[str], out: str = "in_progress", pattern: str = PROGRESS) -> DataFrame:
+    """The flag where it is true already, or where a mark of progress stands in any of
+    the columns; never unset."""
+    said = F.concat_ws(" ", *(T.blank_null(F.col(c)) for c in cols)).rlike(pattern)
+    before = F.coalesce(F.col(out), F.lit(False)) if out in df.columns else F.lit(False)
+    return df.withColumn(out, before | F.coalesce(said, F.lit(False)))
+
+
+def classify_unset(df: DataFrame, out: str, cols: list[str], rules: list[tuple[str, str]]) -> DataFrame:
+    """The label of the first pattern that the filled columns match, where `out` is blank."""
+    return df.withColumn(out, F.coalesce(T.blank_null(F.col(out)), T.classify([T.blank_null(F.col(c)) for c in cols], rules)))
+
+
+def clean_name(c: Column, default: str = "Unknown") -> Column:
+    """A name without the quotes, braces, brackets and commas of JSON around it."""
+    return F.coalesce(F.nullif(F.regexp_replace(c, r"""^[\s"'{}\[\],]+|[\s"'{}\[\],]+$""", ""), F.lit("")), F.lit(default))
+
+
+def expand_title(df: DataFrame, col: str, credentials: DataFrame, terms: DataFrame) -> DataFrame:
+    """A title parted at its first dash, slash or comma, or else after a first word that
+    is a credential: the head by credentials (key, canonical), the tail by the term
+    dictionary (priority, key, canonical), both as they are where unknown; joined by a
+    dash, a long one where the title has one."""
+    mark = r"^([^\-\u2013/,]*?)\s*[-\u2013/,]\s*(.*)$"
+    t = F.trim(F.col(col))
+    parted = F.regexp_extract(t, mark, 2) != ""
+    bare = F.regexp_replace(t, r"\s*[-\u2013/,]\s*$", "")
+    first = F.substring_index(bare, " ", 1)
+    known = credentials.groupBy(F.lower(F.trim("key")).alias("_hk")).agg(F.min("canonical").alias("_hc"))
+    rows = df.withColumns({"_t": t, "_parted": parted, "_bare": bare, "_first": first})
+    rows = rows.join(known.withColumnsRenamed({"_hk": "_fk", "_hc": "_fc"}), F.lower("_first") == F.col("_fk"), "left")
+    spaced = ~F.col("_parted") & F.col("_bare").contains(" ") & F.col("_fc").isNotNull()
+    head = F.when(F.col("_parted"), F.trim(F.regexp_extract("_t", mark, 1))).when(spaced, F.col("_first")).otherwise(F.col("_bare"))
+    tail = F.when(F.col("_parted"), F.trim(F.regexp_extract("_t", mark, 2))).when(spaced, F.trim(F.expr("substring(_bare, length(_first) + 1)")))
+    rows = rows.withColumns({"_head": head, "_tail": tail}).join(known, F.lower("_head") == F.col("_hk"), "left")
+    rows = resolve_term(rows, "_tail", terms, "_long")
+    sign = F.when(F.col("_t").contains("\u2013"), " \u2013 ").otherwise(" - ")
+    whole = F.concat(F.coalesce("_hc", "_head"), F.coalesce(F.concat(sign, F.coalesce("_long", F.nullif(F.col("_tail"), F.lit("")))), F.lit("")))
+    return rows.withColumn(col, whole).select(*df.columns)
+
+
+def refine_location(df: DataFrame, col: str, states: list[str], street_words: list[str]) -> DataFrame:
+    """Reduces an address line to its street and fills blank city, state and zip from
+    its tail: `ST zip`, `ST`, or a zip with or without a state before it. Without such a
+    tail the line stays. The part before the tail is the city, unless it is the only one
+    and looks like a street (a digit first, or one of street_words); of a city that looks
+    like one all but its last word go back to the street."""
+    parts = F.filter(F.transform(F.split(F.col(col), ","), lambda x: F.trim(x)), lambda x: x != "")
+    df = df.withColumn("_p", F.when(F.col(col).contains(","), parts)).withColumn("_n", F.size("_p"))
+    last, before = F.get("_p", F.col("_n") - 1), F.get("_p", F.col("_n") - 2)
+    both = r"^([A-Za-z]{2})\s+([0-9]{5}(?:-[0-9]{4})?)$"
+    state_of = lambda x: F.when(F.upper(x).isin(states), F.upper(x))
+    pair = state_of(F.regexp_extract(last, both, 1))
+    zip_only = last.rlike(r"^[0-9]{5}(?:-[0-9]{4})?$")
+    state = F.coalesce(pair, state_of(last), F.when(zip_only, state_of(before)))
+    code = F.when(pair.isNotNull(), F.regexp_extract(last, both, 2)).when(zip_only, last)
+    df = df.withColumns({"_state": state, "_zip": code}).withColumn("_tail", F.col("_state").isNotNull() | F.col("_zip").isNotNull())
+    used = F.when(zip_only & F.col("_state").isNotNull(), 2).otherwise(1)
+    df = df.withColumn("_r", F.when(F.col("_tail"), F.slice("_p", F.lit(1), F.col("_n") - used)))
+    street = lambda x: x.rlike(rf"(?i)^[0-9]|\b(?:{'|'.join(street_words)})\b|#")
+    end = F.get("_r", F.size("_r") - 1)
+    city = F.when((F.size("_r") >= 2) | ~street(end), end)
+    df = df.withColumn("_city", city).withColumn("_r", F.when(city.isNotNull(), F.slice("_r", F.lit(1), F.size("_r") - 1)).otherwise(F.col("_r")))
+    glued = street(F.col("_city")) & F.col("_city").rlike(r"\s")
+    rest = F.when(glued, F.array(F.regexp_replace("_city", r"\s+\S+$", ""))).otherwise(F.array().cast("array<string>"))
+    line = F.nullif(F.regexp_replace(F.array_join(F.concat("_r", rest), ", "), r"^[ ,]+|[ ,]+$", ""), F.lit(""))
+    city = F.when(glued, F.regexp_extract("_city", r"(\S+)$", 1)).otherwise(F.col("_city"))
+    fill = lambda c, x: F.coalesce(T.blank_null(F.col(c)), x)
+    new = {"city": fill("city", city), "state": fill("state", F.col("_state")), "zip": fill("zip", F.col("_zip")), col: F.when(F.col("_tail"), line).otherwise(F.col(col))}
+    return df.withColumns(new).drop("_p", "_n", "_state", "_zip", "_tail", "_r", "_city")

@@ -253,7 +253,8 @@ def _(s, d):
 
 @query("x6_education_entries", f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Bachelor of Science' ELSE 'Bachelor of Arts' END AS degree, 'State University' AS institution, CASE WHEN doc_id % 2 = 0 THEN 1999 ELSE 2001 END AS year FROM {_N}")
 def _(s, d):
-    return X.education_entries(lines(s, d).filter("text not like '%Training%'"), r"(?i)\bbachelor\b", r"(?i)\buniversity\b").drop("pos")
+    taught = sections(s, d).filter("section = 'education'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return X.education_entries(taught, r"(?i)\bbachelor\b", r"(?i)\buniversity\b").drop("pos")
 
 
 @query("x7_split_items", f"SELECT doc_id, CAST(unnest(range(len(l))) AS INT) AS pos, unnest(l) AS item FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ['lift', 'drive', doc_id || ' cranes'] ELSE [doc_id || ' cranes', 'tow'] END AS l FROM {_N})")

@@ -283,3 +283,48 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES["document_profile"] = flagship
+
+
+@query("t13_clean_names", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Unknown' ELSE p_name END AS name FROM part")
+def _(s, d):
+    k, n = F.col("p_partkey"), F.col("p_name")
+    said = F.when(k % 5 == 0, F.when(k % 2 == 0, ' "}], ')).when(k % 5 == 1, F.concat(n, F.lit('"}],'))).when(k % 5 == 2, F.concat(F.lit("['"), n, F.lit("' "))).otherwise(n)
+    return table(s, d, "part").select("p_partkey", H.clean_name(said).alias("name"))
+
+
+@query("t16_progress_flag", "SELECT o_orderkey, o_orderkey % 6 < 4 AS in_progress FROM orders")
+def _(s, d):
+    k = F.col("o_orderkey") % 6
+    marks = {"degree": F.when(k == 0, "BSN (In-Progress)").otherwise("BSN"), "field": F.when(k == 1, "currently enrolled").when(k == 4, "unexpectedly candidated"), "location": F.when(k == 2, "expected 2030").otherwise(" ")}
+    return H.progress_flag(table(s, d, "orders").select("o_orderkey", *(v.alias(c) for c, v in marks.items()), F.when(k == 3, True).alias("in_progress")), list(marks)).select("o_orderkey", "in_progress")
+
+
+@query("t17_expand_title", """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'Registered Nurse - Intensive Care' WHEN 1 THEN 'Registered Nurse - ' || p_type WHEN 2 THEN 'Lead - Intensive Care' WHEN 3 THEN 'Registered Nurse' WHEN 4 THEN 'Registered Nurse ' || chr(8211) || ' ' || p_type WHEN 5 THEN 'Charge nurse' ELSE 'Registered Nurse - a-b' END AS role FROM part""")
+def _(s, d):
+    k = F.col("p_partkey") % 7
+    said = F.when(k == 0, "RN - icu").when(k == 1, F.concat(F.lit("rn "), "p_type")).when(k == 2, "Lead/ICU").when(k == 3, " RN ").when(k == 4, F.concat(F.lit("RN \u2013 "), "p_type")).when(k == 5, "Charge nurse").otherwise("rn, a-b")
+    one = s.createDataFrame([("RN", "Registered Nurse")], "key string, canonical string")
+    terms = s.createDataFrame([(1, "icu", "Intensive Care")], "priority int, key string, canonical string")
+    return H.expand_title(table(s, d, "part").select("p_partkey", said.alias("role")), "role", one, terms)
+
+
+@query("t19_refine_location", """SELECT c_custkey, CASE c_custkey % 6 WHEN 1 THEN c_custkey || ' Main St, Suite 300' WHEN 2 THEN 'Rue de ' || c_custkey || ', Paris' WHEN 4 THEN NULL ELSE c_custkey || ' Main St' END AS location,
+  CASE WHEN c_custkey % 5 = 0 THEN 'Old' WHEN c_custkey % 6 IN (2, 5) THEN NULL WHEN c_custkey % 6 = 1 THEN 'Town' || c_nationkey ELSE 'Town ' || c_nationkey END AS city, CASE WHEN c_custkey % 6 <> 2 THEN 'TX' END AS state, CASE WHEN c_custkey % 6 IN (0, 3) THEN '75001' END AS zip FROM customer""")
+def _(s, d):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    home = F.concat(k, F.lit(" Main St"))
+    line = (
+        F.when(k % 6 == 0, F.concat(home, F.lit(", Town "), n, F.lit(", tx 75001"))).when(k % 6 == 1, F.concat(home, F.lit(", Suite 300 Town"), n, F.lit(", TX"))).when(k % 6 == 2, F.concat(F.lit("Rue de "), k, F.lit(", Paris")))
+        .when(k % 6 == 3, F.concat(home, F.lit(" ,Town "), n, F.lit(", TX, 75001"))).when(k % 6 == 4, F.concat(F.lit("Town "), n, F.lit(", TX"))).otherwise(F.concat(home, F.lit(", TX")))
+    )
+    rows = table(s, d, "customer").select("c_custkey", line.alias("location"), F.when(k % 5 == 0, "Old").otherwise(" ").alias("city"), F.lit("").alias("state"), F.lit(None).cast("string").alias("zip"))
+    return H.refine_location(rows, "location", ["TX", "CA"], ["st", "street", "suite", "road"])
+
+
+@query("t22_classify_unset", r"""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'set' WHEN o_orderkey % 4 = 0 THEN 'PRN' WHEN o_orderkey % 4 = 1 THEN 'Part-time' WHEN o_orderkey % 4 = 2 THEN 'Full-time' END AS kind FROM orders""")
+def _(s, d):
+    k = F.col("o_orderkey")
+    role = F.when(k % 4 == 0, "per-diem, part time").when(k % 4 == 1, "full").when(k % 4 == 2, "full time")
+    rows = table(s, d, "orders").select(k, F.when(k % 7 == 0, "set").otherwise(" ").alias("kind"), role.alias("role"), F.when(k % 4 == 1, "Part  time").alias("note"))
+    rules = [("PRN", r"(?i)\b(prn|per[\s-]*diem)\b"), ("Part-time", r"(?i)\bpart[\s-]*time\b"), ("Full-time", r"(?i)\bfull[\s-]*time\b")]
+    return H.classify_unset(rows, "kind", ["role", "note"], rules).select("o_orderkey", "kind")
