@@ -113,7 +113,8 @@ _DIGITS, _BETWEEN = frozenset("0123456789"), frozenset(" ,-")
 _PART = re.compile(rf"(?i)(?:({'|'.join(TIMES)})\x20+)?({'|'.join(SPELLED)})|[0-9]+")
 _ANY_WORD = re.compile("(?i)" + "|".join(SPELLED))
 _LIKE = str.maketrans("OolI|", "00111")
-_LIKE_RUN = re.compile(r"[0-9OolI|]+")
+# Runs with both kinds, looked at from where a run begins only.
+_LIKE_RUN = re.compile(r"(?<![0-9OolI|])(?=[OolI|]*+[0-9])(?=[0-9]*+[OolI|])[0-9OolI|]++")
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _PLUS = re.compile(r"(?i)\bplus[\x20-]+(?=[0-9])")
 _SIGN = re.compile(r"(?i)\x20?[\[({<]\x20?(at|dot|@|\.)\x20?[\])}>]\x20?")
@@ -183,9 +184,6 @@ def _likes(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in _LIKE_RUN.finditer(text):
         a, z = m.span()
-        run = m[0]
-        if run.isdigit() or not any(c in _DIGITS for c in run):
-            continue
         if a and text[a - 1] in _ALNUM:
             a = text.find("|", a, z) + 1
             if not a:
