@@ -61,7 +61,7 @@ def table(spark, tmp_path, rows):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"en": 1}, {"en": 8, None: 1}, {"en": 9, "": 7, "dé": 64}, {"a": 513, "b": 65, None: 512, **{f"l{i}": 1 for i in range(9)}}])
+@pytest.mark.parametrize("sizes", [{}, {"en": 9, "": 7, "dé": 64, None: 1}, {"a": 513, "b": 65, None: 512, **{f"l{i}": 1 for i in range(9)}}])
 def test_every_shape(spark, tmp_path, sizes):
     rows, i = [], 0
     for lang, n in sizes.items():
