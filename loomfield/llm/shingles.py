@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Fixed odd multipliers of a well-mixed 64-bit finaliser.
@@ -70,6 +72,27 @@ def combine_axis(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def folded(own: np.ndarray, key: np.ndarray, pack: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows of which equal ones follow each other in a text, as the first of
+    them: (which ones stay, their n). The low half of n is the windows of one run, the
+    high half how many equal ones come after it."""
+    new = np.ones(len(n), bool)
+    new[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1]) | (pack[1:] != pack[:-1]) | (n[1:] != n[:-1]) | (start[1:] != start[:-1] + n[:-1])
+    head = np.flatnonzero(new)
+    more = np.diff(np.append(head, len(n))) - 1
+    return head, n[head].astype(np.int64) | (more.astype(np.int64) << 32)
+
+
+def single(n: str) -> Column:
+    """The windows of one run of a folded n."""
+    return F.col(n).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
+def copies(n: str) -> Column:
+    """How many equal runs a folded n stands for."""
+    return F.shiftright(F.col(n), 32) + 1
+
+
 def batches_of(texts: list, most: int = 4 << 20):
     """Ranges of a batch whose texts hold about `most` bytes (one text at least)."""
     at, size = 0, 0

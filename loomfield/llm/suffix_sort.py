@@ -9,7 +9,8 @@ least, and a suffix that is alone in its group after a pass leaves the sort:
    equal windows have equal anchors. First digit: the anchor's string. Anchors whose
    string occurs once end here.
 2. Second digit: the whole run of windows that one anchor serves. Runs that occur
-   again whole are repeated and done, and one of them stands for all.
+   again whole are repeated and done, and one of them stands for all. Equal runs that
+   follow each other, as padding has them, are one row with their number.
 3. Where an anchor has several different runs (borders of passages, edited copies),
    one of each goes as a string to the bucket of the anchor, and their windows are
    sorted by digits of a quarter of the threshold, groups of one leaving after each.
@@ -37,7 +38,7 @@ from . import shingles as sh
 DEPTH, WORDS = 400, 50
 HOT_ROWS = 20_000  # different runs of an anchor that are more than a task should hold
 
-_ANCHOR = "key long, pack long, doc_id long, tid long, start int, n int"
+_ANCHOR = "key long, pack long, doc_id long, tid long, start int, n long"
 _NO = np.iinfo(np.uint64).max
 _BYTES = sh.byte_values(101)
 
@@ -55,7 +56,7 @@ def _gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
 
 def _least_at(h: np.ndarray, w: int) -> np.ndarray:
     """Where the (first) least of each w consecutive values is, by doubling."""
-    v, at, size = h, np.arange(len(h)), 1
+    v, at, size = h, np.arange(len(h), dtype=np.int32), 1
     while size * 2 <= w:
         left = v[:-size] <= v[size:]
         v, at = np.where(left, v[:-size], v[size:]), np.where(left, at[:-size], at[size:])
@@ -104,12 +105,16 @@ class _Units:
         else:
             self.flat, self.sizes = b"".join(texts), np.array([len(t) for t in texts], np.int64)
             self.hashes = _BYTES[np.frombuffer(self.flat, np.uint8)]
-            self.begin = np.arange(len(self.flat))
-            self.end = self.begin + 1
+            self.begin = self.end = None
 
-    def strings(self, first: np.ndarray, n: np.ndarray) -> list[bytes]:
-        flat = self.flat
-        return [flat[x:y] for x, y in zip(self.begin[first].tolist(), self.end[first + n - 1].tolist(), strict=True)]
+    def strings(self, first: np.ndarray, n: np.ndarray):
+        """One string at a time: on repetitive text they are hundreds of times the text."""
+        for lo in range(0, len(first), 1 << 16):
+            a, z = first[lo : lo + (1 << 16)], first[lo : lo + (1 << 16)] + n[lo : lo + (1 << 16)]
+            if self.begin is not None:
+                a, z = self.begin[a], self.end[z - 1]
+            for x, y in zip(a.tolist(), z.tolist(), strict=True):
+                yield self.flat[x:y]
 
 
 def _anchors(depths: tuple):
@@ -126,10 +131,11 @@ def _anchors(depths: tuple):
                         continue
                     own, start, first, n, key = found
                     key = (key & ~np.uint64(1)) | np.uint64(kind)
-                    pack = np.array([xxhash.xxh3_64_intdigest(x) for x in units.strings(first, n + depth - 1)], np.uint64)
-                    own = pa.array(own)
+                    pack = np.fromiter(map(xxhash.xxh3_64_intdigest, units.strings(first, n + depth - 1)), np.uint64, len(first))
+                    head, n = sh.folded(own, key, pack, start, n)
+                    own, key, pack, start = pa.array(own[head]), key[head], pack[head], start[head]
                     yield pa.record_batch(
-                        [pa.array(key.view(np.int64)), pa.array(pack.view(np.int64)), ids[lo:hi].take(own), tid[lo:hi].take(own), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
+                        [pa.array(key.view(np.int64)), pa.array(pack.view(np.int64)), ids[lo:hi].take(own), tid[lo:hi].take(own), pa.array(start.astype(np.int32)), pa.array(n)],
                         names=["key", "pack", "doc_id", "tid", "start", "n"],
                     )
 
@@ -156,7 +162,7 @@ def _strings(depths: tuple, apart: bool):
                         head, names = [pa.array((dig[:, 0] & ~1) | kind), pa.array(dig[:, 1])], ["w1", "w2"]
                     else:
                         at = start
-                        head, names = [pa.array([r["key"] for r in runs]), pa.array(units.strings(start, n + depth - 1), pa.binary())], ["key", "packed"]
+                        head, names = [pa.array([r["key"] for r in runs]), pa.array(list(units.strings(start, n + depth - 1)), pa.binary())], ["key", "packed"]
                     same = [pa.array([v] * len(at), pa.int64()) for v in (b.column(0)[i].as_py(), b.column(2)[i].as_py())]
                     yield pa.record_batch([*head, *same, pa.array(at.astype(np.int32))], names=[*names, "doc_id", "tid", "start"])
 
@@ -281,13 +287,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # tid tells rows with one doc_id and other texts apart
     base = common.id_text(docs, id_col, text_col).withColumn("tid", F.xxhash64("text"))
     anchors = common.written(base.mapInArrow(_anchors(depths), _ANCHOR))
-    many = common.kept_in_store(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    # c counts rows, more than c of them are runs where equal ones follow each other
+    rows, more = F.count(F.lit(1)).alias("c"), F.bool_or(sh.copies("n") > 1).alias("more")
+    many = common.kept_in_store(anchors.groupBy("key").agg(rows, more).filter("c > 1 or more").drop("more"))
     again = common.written(common.joined_by_share(anchors, many, ["key"]))
-    first = F.min(F.struct("doc_id", "tid", "start", "n"))
-    packs = common.written(again.groupBy("key", "pack").agg(F.count(F.lit(1)).alias("c"), first.alias("r")))
-    twice = packs.filter("c > 1").select("key", "pack", "c")
+    first = F.min(F.struct("doc_id", "tid", "start", sh.single("n").alias("n")))
+    packs = common.written(again.groupBy("key", "pack").agg(rows, more, first.alias("r")))
+    twice = packs.filter("c > 1 or more").select("key", "pack", "c")
     is_words = (F.col("key").bitwiseAND(1) == 1).alias("words")
-    done = common.joined_by_share(again, twice, ["key", "pack"]).select(is_words, "doc_id", "tid", "start", "n")
+    done = common.joined_by_share(again, twice, ["key", "pack"]).select(is_words, "doc_id", "tid", "start", (sh.single("n") * sh.copies("n")).cast("int").alias("n"))
 
     kinds = packs.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     kinds = common.kept_in_store(kinds.select("key", (F.col("kinds") > HOT_ROWS).alias("hot")))

@@ -6,7 +6,8 @@ it, and consecutive windows with one minimiser are a super-k-mer.
 1. Minimisers that occur once in the corpus are dropped by their hashes.
 2. Super-k-mers that are equal whole are counted by a digest with map-side combining:
    all but those in the smallest document are repeated throughout, and those stand
-   for all.
+   for all. Equal ones that follow each other, as text that repeats a few words has
+   them, are one row with their number.
 3. Where a minimiser has several different super-k-mers, those of each travel as a
    packed string to the minimiser's bucket, where windows are sorted and equal
    neighbours found by comparing their bytes.
@@ -32,8 +33,8 @@ from . import shingles as sh
 WINDOW, GRAM = 13, 4
 HOT_ROWS = 50_000  # different runs of a minimiser that are more than a task should hold
 
-_RUN = "key long, pack long, doc_id long, tid long, start int, n int"
-_COLD = "key long, packed binary, doc_id long, tid long, start int"
+_RUN = "key long, pack long, doc_id long, tid long, start int, n long"
+_COLD = "key long, packed binary, doc_id long, tid long, start int, m int"
 _HOT = "w1 long, w2 long, doc_id long, tid long, start int"
 _SPAN = "doc_id long, tid long, start int, n int"
 
@@ -47,7 +48,11 @@ def _runs(texts: list[bytes], window: int, gram: int):
     if n <= 0:
         return None
     g = sh.combine(sh.word_hashes(np.frombuffer(flat, np.uint8), starts), gram)
-    best = np.arange(n) + np.lib.stride_tricks.sliding_window_view(g, window - gram + 1)[:n].argmin(axis=1)
+    least, best = g[:n].copy(), np.arange(n)
+    for j in range(1, window - gram + 1):  # the first of equal ones
+        less = g[j : j + n] < least
+        np.copyto(least, g[j : j + n], where=less)
+        best[less] = np.flatnonzero(less) + j
     inside = doc[:n] == doc[window - 1 :]
     new = np.ones(n, bool)
     new[1:] = (best[1:] != best[:-1]) | ~inside[:-1]
@@ -62,6 +67,11 @@ def _runs(texts: list[bytes], window: int, gram: int):
     return flat, starts, ends, doc[first], first - begin[doc[first]], first, last - first, g[best[first]].view(np.int64)
 
 
+def _pairs(a: np.ndarray, b: np.ndarray):
+    for lo in range(0, len(a), 1 << 16):
+        yield from zip(a[lo : lo + (1 << 16)].tolist(), b[lo : lo + (1 << 16)].tolist(), strict=True)
+
+
 def _run_keys(window: int, gram: int):
     """Only the minimisers of the super-k-mers, for the first count."""
 
@@ -71,7 +81,11 @@ def _run_keys(window: int, gram: int):
             for lo, hi in sh.batches_of(texts):
                 found = _runs(texts[lo:hi], window, gram)
                 if found is not None:
-                    yield pa.record_batch([pa.array(found[-1])], names=["key"])
+                    own, key = found[3], found[-1]
+                    # one for those that follow each other in a text: that is one document
+                    new = np.ones(len(key), bool)
+                    new[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
+                    yield pa.record_batch([pa.array(key[new])], names=["key"])
 
     return run
 
@@ -87,11 +101,12 @@ def _run_rows(window: int, gram: int):
                 if found is None:
                     continue
                 flat, starts, ends, own, start, first, n, key = found
-                at, to = starts[first].tolist(), ends[first + n + window - 2].tolist()
-                pack = np.array([xxhash.xxh3_64_intdigest(flat[x:y]) for x, y in zip(at, to, strict=True)], np.uint64)
-                own = pa.array(own)
+                at, to = starts[first], ends[first + n + window - 2]
+                pack = np.fromiter((xxhash.xxh3_64_intdigest(flat[x:y]) for x, y in _pairs(at, to)), np.uint64, len(at))
+                head, n = sh.folded(own, key, pack, start, n)
+                own = pa.array(own[head])
                 yield pa.record_batch(
-                    [pa.array(key), pa.array(pack.view(np.int64)), ids[lo:hi].take(own), tid[lo:hi].take(own), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
+                    [pa.array(key[head]), pa.array(pack[head].view(np.int64)), ids[lo:hi].take(own), tid[lo:hi].take(own), pa.array(start[head].astype(np.int32)), pa.array(n)],
                     names=["key", "pack", "doc_id", "tid", "start", "n"],
                 )
 
@@ -111,7 +126,7 @@ def _strings(window: int, apart: bool):
                 words = b.column(1)[i].as_py().encode().split()
                 doc, tid = b.column(0)[i].as_py(), b.column(2)[i].as_py()
                 if apart:
-                    at = [p for r in runs for p in range(r["start"], r["start"] + r["n"])]
+                    at = [p for r in runs for p in range(r["start"], r["start"] + r["n"] * r["m"])]
                     dig = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(words[p : p + window])) for p in at), np.int64).reshape(-1, 2)
                     head, names = [pa.array(dig[:, 0]), pa.array(dig[:, 1])], ["w1", "w2"]
                 else:
@@ -119,7 +134,10 @@ def _strings(window: int, apart: bool):
                     packed = [b" ".join(words[r["start"] : r["start"] + r["n"] + window - 1]) for r in runs]
                     head, names = [pa.array([r["key"] for r in runs]), pa.array(packed, pa.binary())], ["key", "packed"]
                 tail = [pa.array([doc] * len(at), pa.int64()), pa.array([tid] * len(at), pa.int64()), pa.array(at, pa.int32())]
-                yield pa.record_batch(head + tail, names=[*names, "doc_id", "tid", "start"])
+                if not apart:
+                    tail.append(pa.array([r["m"] for r in runs], pa.int32()))
+                    names.append("m")
+                yield pa.record_batch(head + tail, names=[*names[:2], "doc_id", "tid", "start", *names[2:]])
 
     return run
 
@@ -128,10 +146,12 @@ _LAST = np.iinfo(np.int64).max
 
 
 def _bucket(window: int, most: int = 8 << 20):
-    """Rows in order of (key, packed): the windows that also start in a smaller document."""
+    """Rows in order of (key, packed): the windows that also start in a smaller document.
+    Equal strings, which all are of one document by now, are held and judged once, with
+    the places they have."""
 
     def judged(rows):
-        keys, packed, ids, tids, starts = rows
+        keys, packed, ids, places = rows
         key = np.array(keys, np.int64)
         alone = np.ones(len(key), bool)
         alone[1:] &= key[1:] != key[:-1]
@@ -169,21 +189,31 @@ def _bucket(window: int, most: int = 8 << 20):
         new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(new)
         n = np.diff(np.append(first, len(at)))
-        src = source[first]
-        return pa.record_batch(
-            [pa.array([ids[i] for i in src], pa.int64()), pa.array([tids[i] for i in src], pa.int64()), pa.array(np.array([starts[i] for i in src], np.int32) + offset[first].astype(np.int32)), pa.array(n.astype(np.int32))],
-            names=["doc_id", "tid", "start", "n"],
-        )
+        out: list[list[int]] = [[], [], [], []]
+        for r, i, shift, size in zip(row[first].tolist(), source[first].tolist(), offset[first].tolist(), n.tolist(), strict=True):
+            unit = int(counts[r]) - window + 1
+            for tid, start, m in places[i]:
+                whole = size == unit  # then equal runs that follow each other are one span
+                for k in range(1 if whole else m):
+                    for column, v in zip(out, (ids[i], tid, start + k * unit + shift, size * m if whole else size), strict=True):
+                        column.append(v)
+        return pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["doc_id", "tid", "start", "n"])
 
     def run(batches):
-        held: list[list] = [[], [], [], [], []]
+        held: list[list] = [[], [], [], []]
         size = 0
         for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            for h, c in zip(held, cols, strict=True):
-                h.extend(c)
-            size += sum(map(len, cols[1]))
-            if size < most or held[0][0] == held[0][-1]:
+            keys, packed, ids, places = held
+            for key, text, doc, *place in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if keys and key == keys[-1] and text == packed[-1] and doc == ids[-1]:
+                    places[-1].append(place)
+                    continue
+                keys.append(key)
+                packed.append(text)
+                ids.append(doc)
+                places.append([place])
+                size += len(text)
+            if not keys or size < most or held[0][0] == held[0][-1]:
                 continue
             cut = int(np.searchsorted(np.array(held[0]), held[0][-1]))  # the last key may go on
             out = judged([h[:cut] for h in held])
@@ -236,13 +266,14 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     again = common.written(common.joined_by_share(runs, many, ["key"]))
     packs = common.kept_in_store(again.groupBy("key", "pack").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")))
     placed = common.joined_by_share(again, packs, ["key", "pack"])
-    done = placed.filter("doc_id > least").select("doc_id", "tid", "start", "n")
+    done = placed.filter("doc_id > least").select("doc_id", "tid", "start", (sh.single("n") * sh.copies("n")).cast("int").alias("n"))
 
     kinds = packs.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     kinds = common.kept_in_store(kinds.select("key", (F.col("kinds") > HOT_ROWS).alias("hot")))
     # not an equality, which would become a join key and shuffle the runs once more
     one = placed.filter("doc_id <= least").join(kinds, "key")
-    open_ = one.groupBy(F.col("doc_id").alias("place"), "tid").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("runs"))
+    run = F.struct("key", "start", sh.single("n").alias("n"), sh.copies("n").cast("int").alias("m"), "hot")
+    open_ = one.groupBy(F.col("doc_id").alias("place"), "tid").agg(F.collect_list(run).alias("runs"))
     # doc_id goes along unused: with it, this is the shuffle of texts that the trimming makes
     asked = base.join(open_, ["place", "tid"]).select("place", "text", "tid", "runs", "doc_id")
     cold = asked.mapInArrow(_strings(window, False), _COLD).repartition("key").sortWithinPartitions("key", "packed")
