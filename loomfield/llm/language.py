@@ -3,7 +3,8 @@
 Counts of n-grams of one to three characters fall into hashed features. Document
 frequencies cover every row that may be learned from. The classifier is fitted on a
 bounded sample of those rows, SAMPLE_PER_LANG a language at most and SAMPLE_ROWS in all
-(one a language at least), by follow the regularised leader with elastic-net penalties,
+(one a language at least; rows drawn by a hash of id and text, wholly repeated ones
+once), by follow the regularised leader with elastic-net penalties,
 and its temperature on a fifth of the sample that the fit leaves out. Every language is
 learned. Only features with a weight that isn't 0 go to the tasks that predict.
 """
@@ -198,7 +199,9 @@ def language_id(
     base = common.id_text(docs, id_col, text_col, None)
     rows = docs.select(F.col(common.quoted(learn_id or id_col)).cast("long").alias("doc_id"), F.col(common.quoted(text_col)).cast("string").alias("text"), F.col(common.quoted(lang_col)).cast("string").alias("lang"))
     learn = rows.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = learn.groupBy("lang").count().collect()  # a row a language
+    # id and text, so that rows without an id, or under one, are drawn apart
+    h = F.xxhash64("doc_id", "text", F.lit(17))
+    sizes = learn.groupBy("lang").agg(F.approx_count_distinct(h, 0.03).alias("kinds")).collect()  # a row a language
     langs = sorted(r["lang"] for r in sizes)
     per_lang = max(1, min(per_lang, SAMPLE_ROWS // max(1, len(langs))))
     idf, w, temperature = np.ones(1 << bits), np.zeros(((1 << bits) + 1, max(1, len(langs)))), 1.0
@@ -208,10 +211,10 @@ def language_id(
         total = n.pop(-1, 0)
         for f, c in n.items():
             idf[f] = np.log((1 + total) / (1 + c)) + 1
-        h = F.xxhash64("doc_id", F.lit(17))
-        share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.2 * per_lang / r["count"]))])
+        share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.3 * per_lang / max(1, r["kinds"])))])
         sample = learn.withColumn("h", h).filter((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < share[F.col("lang")])
-        nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # of about 1.2 per_lang rows a language
+        sample = sample.groupBy("lang", "h").agg(F.max("text").alias("text"))
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # of about 1.3 per_lang rows a language
         sample = sample.withColumn("nth", nth).filter(F.col("nth") <= per_lang).select("lang", "text", "h")
         vectors = sample.mapInArrow(_vectors(bits), "lang string, h long, features binary, counts binary")
         model = vectors.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_train(langs, idf, bits), "w binary, t double").first()
