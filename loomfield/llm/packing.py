@@ -14,6 +14,7 @@ steps; the first two prove that no packing has fewer sequences.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import struct
@@ -81,6 +82,24 @@ class Memory(dict):
         return out
 
 
+def known(rules: dict) -> bool:
+    """Whether a tokenizer's file lower-cases and parts texts as Ids does, and hides no
+    special token's name but in `<|`."""
+    pre = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    norm = (rules.get("normalizer") or {}).get("normalizers", [])
+    model = rules["model"]
+    return (
+        [n["type"] for n in norm] == ["NFC", "Replace", "Lowercase"]
+        and (norm[1]["pattern"], norm[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [p["type"] for p in pre] == ["Split", "ByteLevel"]
+        and re.sub(r"\[(\\p\{.\})\]", r"\1", pre[0]["pattern"].get("Regex", "")) == PARTS
+        and (pre[0]["behavior"], pre[0]["invert"], pre[1]["add_prefix_space"], pre[1]["use_regex"]) == ("Removed", True, False, False)
+        and model["type"] == "BPE" and not model.get("dropout")
+        and rules.get("truncation") is None and rules.get("padding") is None
+        and all(a["content"].startswith("<|") and not a["lstrip"] and not a["normalized"] for a in rules["added_tokens"])
+    )
+
+
 class Ids:
     """Token ids of texts as little-endian bytes, with a memory of parts.
 
@@ -89,6 +108,7 @@ class Ids:
     Texts in Latin letters (most of a European corpus) are parted by a character class
     of the standard library, other ones by Unicode's own classes after the tokenizer's
     normaliser, and what may be a special token's name goes to the tokenizer whole.
+    Of a file that parts texts in another way all texts do.
     """
 
     def __init__(self, path: str, most: int = CACHE):
@@ -97,12 +117,13 @@ class Ids:
 
         self.tok, self.most = Tokenizer.from_file(path), most
         self.memory = Memory(self.tok)
+        self.known = known(json.loads(self.tok.to_str()))
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def one(self, t: str) -> bytes:
-        if "<|" in t:
+        if not self.known or "<|" in t:
             return self.plain(t)
         if _LATIN(t):
             parts = _LATIN_PARTS(t.lower())
