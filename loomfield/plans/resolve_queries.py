@@ -327,9 +327,18 @@ def _(s, d):
     return C.reconcile_passes(_pass(s, d, 0), _pass(s, d, 1), _bounds(s, d), ["role", "agency"])[1]
 
 
-@query("e25_apply_boundary", f"""WITH {_PASSES} SELECT pa.doc_id, pa.pos, coalesce(pa.role, bo.role) AS role, CASE WHEN bo.doc_id IS NOT NULL AND bo.agency IS NULL THEN NULL ELSE coalesce(pa.agency, bo.agency) END AS agency FROM pa LEFT JOIN bo ON bo.doc_id = pa.doc_id AND bo.pos = pa.pos""")
-def _(s, d):
-    return C.apply_boundary(_pass(s, d, 0), _bounds(s, d), ["role"], clear=["agency"]).select("doc_id", "pos", "role", "agency")
+@query("e25_apply_boundary", """WITH o AS (SELECT o_custkey AS doc_id, o_orderkey AS k, o_orderpriority AS role, o_orderstatus AS agency, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders),
+  pa AS (SELECT doc_id, pos, CASE WHEN k % 4 > 0 THEN role END AS role, CASE WHEN k % 7 > 0 THEN agency END AS agency FROM o),
+  bo AS (SELECT doc_id, pos + 1 AS pos, CASE WHEN k % 4 <> 1 THEN 'stub ' || role END AS role, CASE WHEN k % 5 > 0 THEN agency END AS agency FROM o)
+SELECT pa.doc_id, pa.pos, coalesce(pa.role, bo.role) AS role, CASE WHEN bo.doc_id IS NOT NULL AND bo.agency IS NULL THEN NULL ELSE coalesce(pa.agency, bo.agency) END AS agency FROM pa LEFT JOIN bo ON bo.doc_id = pa.doc_id AND bo.pos = pa.pos""")
+def _(s, d):
+    k, nth = F.col("o_orderkey"), F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    o = table(s, d, "orders").select(F.col("o_custkey").alias("doc_id"), nth.alias("pos"), k, F.col("o_orderpriority").alias("role"), F.col("o_orderstatus").alias("agency"))
+    given = lambda keep, c: F.when(keep, F.col(c)).alias(c)
+    entries = o.select("doc_id", "pos", given(k % 4 > 0, "role"), given(k % 7 > 0, "agency"))
+    # one place on: the first entry meets none, the last bound no entry
+    bounds = o.select("doc_id", (F.col("pos") + 1).alias("pos"), F.when(k % 4 != 1, F.concat(F.lit("stub "), "role")).alias("role"), given(k % 5 > 0, "agency"))
+    return C.apply_boundary(entries, bounds, ["role"], clear=["agency"]).select("doc_id", "pos", "role", "agency")
 
 
 @query("e26_stub_missing", f"""WITH {_PASSES} SELECT coalesce(pa.doc_id, bo.doc_id) AS doc_id, coalesce(pa.pos, bo.pos) AS pos, CASE WHEN pa.doc_id IS NULL THEN bo.role ELSE pa.role END AS role, pa.doc_id IS NULL AS stub FROM pa FULL JOIN bo ON bo.doc_id = pa.doc_id AND bo.pos = pa.pos""")
