@@ -10,11 +10,12 @@ SPACE = r"[\t \x0B\f\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
 BREAK = r"\r\n|[\r\x{85}\x{2028}\x{2029}]"
 CONTROL = r"[\x{00}-\x{08}\x{0B}\x{0C}\x{0E}-\x{1F}\x{7F}]"
 PRIVATE = r"[\x{E000}-\x{F8FF}]"
+UNSEEN = CONTROL[:-1] + PRIVATE[1:]
 # Patterns of contact anchors.
 EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
 EMAIL_LOOSE = r"\b[A-Za-z0-9._%+\-]+ ?@ ?[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
 PHONE = r"(?<![0-9])\+?[0-9][0-9\s\-.()]{6,18}[0-9](?![0-9])"
-YEARS = r"(?i)^\s*(19|20)[0-9]{2}\s*[-\x{2013}\x{2014}]\s*((19|20)[0-9]{2}|present)\s*$"
+YEARS = r"(?i)^\s*(19|20)[0-9]{2}\s*[-–—]\s*((19|20)[0-9]{2}|present)\s*$"
 LINKEDIN = r"(?i)(?:https?://)?(?:www\.)?linkedin\.com/in/[\w\-]+/?"
 GITHUB = r"(?i)(?:https?://)?(?:www\.)?github\.com/[\w\-]+/?"
 PORTFOLIO = r"(?i)https?://[\w\-.]+\.[a-z]{2,}(?:/[\w\-._~:/?#\[\]@!$&'()*+,;=%]*)?"
@@ -39,7 +40,7 @@ def bound(c: Column, f) -> Column:
 def clean_text(c: Column) -> Column:
     """Control and private-use characters to blanks, ligatures apart, at most one empty
     line in a row, no blanks at line ends or at either end of the text. Null: null."""
-    c = F.regexp_replace(F.regexp_replace(c, CONTROL, " "), PRIVATE, " ")
+    c = F.regexp_replace(c, UNSEEN, " ")
     c = F.replace(F.replace(c, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
     c = F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), BREAK, "\n")
     return trimmed(F.regexp_replace(c, _LINE_END, ""))
@@ -77,6 +78,14 @@ def digits(c: Column) -> Column:
     return F.regexp_replace(c, r"[^0-9]", "")
 
 
+def distinct_by(c: Column, key) -> Column:
+    """The items of an array whose key none before them has, in order: neighbours of a
+    sorted array are compared, so the work doesn't grow with the square of the items."""
+    ranked = F.array_sort(F.transform(c, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    first = bound(ranked, lambda r: F.filter(r, lambda x, i: (i == 0) | ~F.get(r, i - 1)["k"].eqNullSafe(x["k"])))
+    return F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["x"].alias("x")))), lambda x: x["x"])
+
+
 def phones(c: Column) -> Column:
     """Phone-shaped runs with 10 to 15 digits, or 7 to 15 after a plus; no year ranges;
     one spelling, the first, for the same digits."""
@@ -84,9 +93,7 @@ def phones(c: Column) -> Column:
         F.transform(found(c, PHONE), lambda x: F.struct(F.trim(x).alias("said"), digits(x).alias("d"), x.rlike(YEARS).alias("years"))),
         lambda x: ~x["years"] & F.length(x["d"]).between(F.when(x["said"].startswith("+"), 7).otherwise(10), 15),
     )
-    seen = F.transform(ok, lambda x: x["d"])
-    first = F.filter(ok, lambda x, i: F.array_position(seen, x["d"]) == i + 1)
-    return F.transform(first, lambda x: x["said"])
+    return F.transform(distinct_by(ok, lambda x: x["d"]), lambda x: x["said"])
 
 
 def urls(c: Column) -> dict[str, Column]:
@@ -102,7 +109,7 @@ def urls(c: Column) -> dict[str, Column]:
 def match_key(c: Column) -> Column:
     """The key that all resolvers join on: lower case, dashes alike, `and` for `&`, no
     blanks about a slash, hyphens and blanks as one blank."""
-    c = F.lower(F.regexp_replace(c, r"[\x{2013}\x{2014}]", "-"))
+    c = F.lower(F.regexp_replace(c, r"[–—]", "-"))
     c = F.regexp_replace(F.replace(c, F.lit("&"), F.lit(" and ")), r"(?<!\s)\s*+/\s*", "/")
     return F.trim(F.regexp_replace(c, r"[\s\-]+", " "))
 

@@ -267,6 +267,13 @@ def _(s, d):
     return X.name_line(lines(s, d))
 
 
+# documents with an even id say no more in their header than an address
+@query("x8_header_names", f"SELECT doc_id, {_NAME.format(id='doc_id')} AS name FROM ({_N}) n WHERE doc_id % 2 = 1")
+def _(s, d):
+    plain = F.when((F.col("section") == "header") & (F.col("doc_id") % 2 == 0), "me@x.org").otherwise(F.col("text"))
+    return X.header_names(sections(s, d).select("doc_id", "section", plain.alias("text")))
+
+
 @query("x9_assemble_record", f"SELECT o_custkey AS doc_id, {_NAME.format(id='o_custkey')} AS name, count(*) AS n_roles, 'Role ' || min_by(o_orderpriority, o_orderkey) AS first_role FROM orders GROUP BY 1")
 def _(s, d):
     sec, ln = sections(s, d), lines(s, d)

@@ -310,3 +310,15 @@ def test_grade_picks_takes_every_phrase(spark, tmp_path):
         first = {m: min(j for j, x, *_ in parts if x == m) for m in names}
         want |= {(i, j) for rank, (_, j) in enumerate(order, 1) if parts[j - 1][2] == b and words[i] & words[j] and (rank >= 11 or first[n] == j)}
     assert out == want and any(i % 10 for i, _ in out)
+
+
+def test_distinct_by_and_header_names(spark):
+    from loomfield.functions.text import distinct_by, phones
+
+    df = spark.createDataFrame([(1, ["b", "A", "B", "a", "c"]), (2, []), (3, None), (4, ["x", None, None])], "id int, c array<string>")
+    assert [r.o for r in df.orderBy("id").select(distinct_by(F.col("c"), F.lower).alias("o")).collect()] == [["b", "A", "c"], [], None, ["x", None]]
+    texts = spark.createDataFrame([("(212) 555-0100 or 212-555-0100 or 313 555 0199, 2001 - 2004",), ("212-555-0100; " * 20000,)], "t string")
+    assert [r.p for r in texts.select(phones(F.col("t")).alias("p")).collect()] == [["212) 555-0100", "313 555 0199"], ["212-555-0100"]]
+    parts = [(1, "header", "a@x.org\nAnn Lee, RN"), (1, "skills", "Bo Diaz"), (2, "header", "b@x.org"), (2, "experience", "Cy Poe"), (3, "full_text", "1\n2\n3\n4\n5\nDi Roe"), (4, "full_text", "1\nEd Fox")]
+    out = segment.header_names(spark.createDataFrame(parts, "doc_id int, section string, text string")).collect()
+    assert {(r.doc_id, r.name) for r in out} == {(1, "Ann Lee"), (4, "Ed Fox")}
