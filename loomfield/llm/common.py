@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
 HOT_SHARE = 1000  # a key of more than this part of the rows is wide
 
 
@@ -33,7 +35,9 @@ def kept_in_store(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     with shuffles_removed(df.sparkSession):
         # a plan is planned under the settings that hold when its frame is made
-        return df.select("*").checkpoint(eager=True)
+        out = df.select("*").checkpoint(eager=True)
+    _note(out._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    return out
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -42,9 +46,37 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     with shuffles_removed(df.sparkSession):
         df.write.option("compression", "zstd").parquet(path)
+    _note(path)
     return df.sparkSession.read.parquet(path)
 
 
+def _note(path: str) -> None:
+    made = _made.get()
+    if made is not None:
+        made.append(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Removes, at its end, the tables and checkpoints that operators wrote inside: for
+    callers that write a result before they leave. What an operator returned can't be
+    read after that; what was written before, or outside, stays."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in made:
+            removed(spark, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextlib.contextmanager
 def shuffles_removed(spark: SparkSession):
     """Queries that run inside delete their shuffle files when they end: what has been

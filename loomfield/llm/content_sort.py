@@ -5,8 +5,9 @@ whole. JVM operators only.
 Texts are normalised once into a table. Every row goes through the sort. A text that a
 sample shows to fill more than one range is cut into runs by a salt in the range key,
 so its rows spread over as many ranges as they fill; each run is sorted and compared
-like any other, and the verdicts of such a text's runs are merged, a row a run. The
-sample decides only how rows are spread, never what is equal.
+like any other, and the verdicts of such a text's runs are merged by comparing the runs'
+first texts whole, a row a run. The sample decides only how rows are spread, never what
+is equal.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from . import common
 
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 PREFIX = 64  # leading characters that splitters see
+RUN = ("prefix", "sha", "salt", "run")  # what names a run of a text that was cut
 SAMPLE = 200_000  # rows, about, in which a text that fills several ranges shows
 
 
@@ -49,16 +51,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The splitters see an opening and a digest, so sampling never moves whole texts to
     # the driver and a shared opening doesn't fill one range.
     cut = dealt.repartitionByRange(*number, "prefix", "sha", "salt")
+    near = Window.partitionBy("prefix", "sha", "salt")
     same = Window.partitionBy("prefix", "sha", "salt", "norm")
     order = same.orderBy(F.desc("ncp"), F.asc_nulls_last("doc_id"))
+    spread = F.col("spread").isNotNull()
     judged = cut.select(
-        "doc_id", "ncp", "sha", F.col("spread").isNotNull().alias("cut"),
+        "doc_id", "ncp", "sha", "salt", "norm", "prefix", spread.alias("cut"),
         F.first("doc_id").over(order).alias("keep_id"),
         F.count(F.lit(1)).over(same).alias("group_size"),
         F.row_number().over(order).alias("nth"),
     )
-    judged = common.written(judged)
-    return _merged(judged)
+    # firsts up to and with the row's equals: a rank, in the order that the rows are in
+    firsts = F.count_if(F.col("nth") == 1).over(near.orderBy("norm"))
+    judged = judged.withColumn("run", F.when(F.col("cut"), firsts))
+    # of a run that was cut the first row takes the text along, for the comparison of runs
+    norm = F.when(F.col("cut") & (F.col("nth") == 1), F.col("norm"))
+    judged = judged.withColumns({"norm": norm, "prefix": F.when(F.col("cut"), F.col("prefix"))})
+    return _merged(common.written(judged))
 
 
 def _wide(rows: DataFrame, ranges: int) -> DataFrame:
@@ -73,12 +82,14 @@ def _wide(rows: DataFrame, ranges: int) -> DataFrame:
 
 
 def _merged(judged: DataFrame) -> DataFrame:
-    """Verdicts of texts that were cut into runs come from the runs' first rows."""
-    first = F.max_by(F.struct("doc_id"), F.struct("ncp", F.col("doc_id").isNotNull(), -F.col("doc_id")))
-    heads = judged.filter("cut and nth = 1")
-    facts = heads.groupBy("sha").agg(first["doc_id"].alias("top_id"), F.max("ncp").alias("top"), F.sum("group_size").alias("size"))
-    facts = F.broadcast(facts)  # as many rows as _wide gave at most
-    out = judged.join(facts, "sha", "left")
+    """Verdicts of texts that were cut into runs come from the runs' first rows, of which
+    those with the same whole text are one group."""
+    same = Window.partitionBy("sha", "norm")
+    top = F.first(F.struct("ncp", "doc_id")).over(same.orderBy(F.desc("ncp"), F.asc_nulls_last("doc_id")))
+    heads = judged.filter("cut and nth = 1").select(*RUN, top.alias("top"), F.sum("group_size").over(same).alias("size"))
+    # a row a run: at most four times as many as there are ranges
+    heads = F.broadcast(heads.select(*RUN, F.col("top.doc_id").alias("top_id"), F.col("top.ncp").alias("top"), "size"))
+    out = judged.drop("norm").join(heads, [*RUN], "left")
     whole = ~F.col("cut")
     won = F.col("doc_id").eqNullSafe(F.col("top_id")) & (F.col("ncp") == F.col("top")) & (F.col("nth") == 1)
     return out.select(
