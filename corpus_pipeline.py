@@ -1,7 +1,9 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet in the folder that executors share and read again as the next one's docs.
+Parquet in the folder that executors share and read again as the next one's docs. What a
+stage wrote on its way is removed when its result stands, and that result when the next
+one does; the last one stays.
 """
 
 from __future__ import annotations
@@ -45,11 +47,16 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
+    before = None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{common.shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with common.scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            common.removed(spark, before)
+        before = f"{folder}/{name}"
     return docs
 
 
