@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomfield.functions.text import emails
 from loomfield.operators import segment as X
 from loomfield.sources import files as S
-from loomfield.sources.tables import table
+from loomfield.sources.tables import dealt, table
 from loomfield.streaming import jobs as R
 from loomfield.streaming import stateful as T
 
@@ -182,22 +182,23 @@ _RULES = {"experience": ["work experience", "experience"], "skills": ["skills",
 
 
 def lines(s, d):
-    """(doc_id, pos, text): a name, then two sections with an entry an order."""
-    o = table(s, d, "orders")
-    o = o.withColumn("nth", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
-    nth, t = F.col("nth"), F.col("o_orderdate")
+    """(doc_id, pos, text): a name, then two sections with an entry an order. Orders are
+    shuffled once; a customer's first one brings the head and the last one the tail."""
+    w = Window.partitionBy("o_custkey")
+    o = dealt(table(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus"), "o_custkey")
+    o = o.withColumns({"nth": F.row_number().over(w.orderBy("o_orderkey")), "n": F.count(F.lit(1)).over(w).cast("int")})
+    t = F.col("o_orderdate")
     end = F.when(F.col("o_orderkey") % 4 == 0, "Present").otherwise(F.date_format(F.add_months(t, 5), "MM/yyyy"))
-    entry = F.array(F.lit(""), F.concat(F.lit("Role "), "o_orderpriority"), F.concat(F.lit("Firm "), "o_orderstatus"), F.concat(F.date_format(t, "MMM yyyy"), F.lit(" - "), end), F.concat(F.lit("- did "), "o_orderkey"))
-    body = o.select(F.col("o_custkey").alias("doc_id"), (nth * 10).alias("p"), F.posexplode(entry).alias("q", "text")).select("doc_id", (F.col("p") + F.col("q")).alias("pos"), "text")
+    entry = (F.lit(""), F.concat(F.lit("Role "), "o_orderpriority"), F.concat(F.lit("Firm "), "o_orderstatus"), F.concat(F.date_format(t, "MMM yyyy"), F.lit(" - "), end), F.concat(F.lit("- did "), "o_orderkey"))
     who, even = F.col("o_custkey") % 3, F.col("o_custkey") % 2 == 0
     pick = lambda a, b: F.when(even, a).otherwise(b)
-    head = F.array(F.when(who == 0, "Ann Lee, RN").when(who == 1, "Bo Q. Diaz").otherwise("Mary-Jo Neil, BSN"), F.lit("Work Experience:"))
+    head = (F.when(who == 0, "Ann Lee, RN").when(who == 1, "Bo Q. Diaz").otherwise("Mary-Jo Neil, BSN"), F.lit("Work Experience:"))
     skills = pick(F.concat(F.lit("lift, Lift; drive | "), F.col("o_custkey"), F.lit(" cranes")), F.concat(F.col("o_custkey"), F.lit(" cranes / tow")))
-    tail = F.array(F.lit("Education & Training"), pick("Bachelor of Science", "State University"), pick("State University", "Bachelor of Arts"), pick("1999", "2001"), F.lit("SKILLS"), skills)
-    one = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    heads = one.select(F.col("o_custkey").alias("doc_id"), F.posexplode(head).alias("pos", "text")).select("doc_id", F.col("pos").cast("int"), "text")
-    tails = one.select(F.col("o_custkey").alias("doc_id"), "n", F.posexplode(tail).alias("q", "text")).select("doc_id", (F.col("n") * 10 + 100 + F.col("q")).cast("int").alias("pos"), "text")
-    return heads.unionByName(body).unionByName(tails)
+    tail = (F.lit("Education & Training"), pick("Bachelor of Science", "State University"), pick("State University", "Bachelor of Arts"), pick("1999", "2001"), F.lit("SKILLS"), skills)
+    rows = lambda at, texts: F.array(*[F.struct((at + i).cast("int").alias("pos"), x.alias("text")) for i, x in enumerate(texts)])
+    none = F.array().cast("array<struct<pos:int,text:string>>")
+    mine = F.concat(F.when(F.col("nth") == 1, rows(F.lit(0), head)).otherwise(none), rows(F.col("nth") * 10, entry), F.when(F.col("nth") == F.col("n"), rows(F.col("n") * 10 + 100, tail)).otherwise(none))
+    return o.select(F.col("o_custkey").alias("doc_id"), F.inline(mine))
 
 
 def sections(s, d):

@@ -167,3 +167,27 @@ def test_a_key_one_character_over_is_not_always_the_best(spark):
     for t in (0.8, 0.9):
         got, want = ({tuple(r) for r in resolve.match_fuzzy(probe, "row_id", cands, catalog, t, blocked=b).collect()} for b in (True, False))
         assert got == want
+
+
+def test_documents_are_segmented_in_one_pass(spark):
+    rules = {"work": ["work", "jobs & posts"], "skills": ["skills"]}
+    rows = [(1, 0, "Ann"), (1, 1, "WORK:"), (1, 2, " a "), (1, 3, ""), (1, 4, "Skills"), (1, 5, "b"), (1, 6, "jobs & posts"), (1, 7, "c"), (2, 0, "x"), (2, 1, "Skills"), (2, 2, "y"), (3, 0, "Work"), (3, 1, "Skills"), (3, 2, "z"), (4, 0, "skills and work")]
+    lines = segment.section_headers(spark.createDataFrame(rows, "doc_id int, pos int, text string"), rules)
+    out = segment.segment(lines)
+    assert sorted(map(tuple, out.collect())) == [
+        (1, 0, "header", "Ann"), (1, 1, "work", "a \n\nc"), (1, 2, "skills", "b"), (2, 0, "full_text", "x\nSkills\ny"), (3, 0, "full_text", "Work\nSkills\nz"), (4, 0, "full_text", "skills and work"),
+    ]
+    # the lines are read once, and shuffled once
+    plan = segment.segment(lines)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_lines_take_a_partition_for_so_many_orders(spark, tmp_path):
+    from loomfield.plans import intake_queries
+    from loomfield.sources.tables import parts_of
+
+    o = spark.range(1000).selectExpr("id o_orderkey", "id % 90 o_custkey", "'F' o_orderstatus", "timestamp '1998-02-06' o_orderdate", "'5-LOW' o_orderpriority")
+    o.write.parquet(f"{tmp_path}/orders.parquet")
+    assert parts_of(spark.read.parquet(f"{tmp_path}/orders.parquet"), 100) == 10 and parts_of(o, 10**6) == spark.sparkContext.defaultParallelism
+    plan = intake_queries.QUERIES["x2_segment"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1 and "REPARTITION_BY_NUM" in plan
