@@ -8,17 +8,30 @@ from pyspark.sql import functions as F
 from loomfield.functions.text import blank_null
 
 
-def rebalance_buckets(skills: DataFrame, certs: DataFrame, licenses: DataFrame, practice: list[str], known: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def rebalance_buckets(skills: DataFrame, certs: DataFrame, licenses: DataFrame, practice: list[str], known: list[str], parts: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, name) each: practice credentials among certifications become licenses,
     known certificates among skills certifications, and a name stays in the first of
-    licenses, certifications and skills."""
+    licenses, certifications and skills. All three are grouped together once, in `parts`
+    partitions, so that a task's share is bounded, or as Spark has it."""
+    frames, tags = (skills, certs, licenses), ("s", "c", "l")
     key = F.lower(F.trim(F.col("name")))
-    on = ["doc_id", "_k"]
-    s, c, li = (df.withColumn("_k", key).dropDuplicates(on) for df in (skills, certs, licenses))
-    li = li.unionByName(c.filter(F.col("_k").isin(practice)).join(li.select(*on), on, "left_anti").select(li.columns))
-    c = c.unionByName(s.filter(F.col("_k").isin(known)).join(c.select(*on), on, "left_anti").select(c.columns)).join(li.select(*on), on, "left_anti")
-    s = s.join(li.select(*on), on, "left_anti").join(c.select(*on), on, "left_anti")
-    return s.drop("_k"), c.drop("_k"), li.drop("_k")
+
+    def tagged(df: DataFrame, tag: str) -> DataFrame:
+        kind = lambda f: f.select(F.struct(*f.columns).alias("x")).schema["x"].dataType
+        own = [(F.struct(*f.columns) if t == tag else F.lit(None).cast(kind(f))).alias(t) for f, t in zip(frames, tags, strict=True)]
+        # what has a null in its key meets nothing in the other frames
+        alone = F.when(F.col("doc_id").isNull() | key.isNull(), F.lit(tag))
+        return df.select(F.col("doc_id").alias("_d"), key.alias("_k"), alone.alias("_a"), *own)
+
+    rows = tagged(skills, "s").unionByName(tagged(certs, "c")).unionByName(tagged(licenses, "l"))
+    rows = rows.repartition(parts, "_d", "_k", "_a") if parts else rows
+    met = rows.groupBy("_d", "_k", "_a").agg(*(F.first(t, ignorenulls=True).alias(t) for t in tags))
+    as_of = lambda t, f: F.when(F.col(t).isNotNull(), F.struct(*(F.col(f"{t}.{c}").alias(c) for c in f.columns)))
+    lic = F.coalesce("l", F.when(F.col("_k").isin(practice), as_of("c", licenses)))
+    cert = F.when(F.col("_l").isNull(), F.coalesce("c", F.when(F.col("_k").isin(known), as_of("s", certs))))
+    met = met.withColumn("_l", lic).withColumn("_c", cert).withColumn("_s", F.when(F.col("_l").isNull() & F.col("_c").isNull(), F.col("s")))
+    out = lambda c: met.filter(F.col(c).isNotNull()).select(f"{c}.*")
+    return out("_s"), out("_c"), out("_l")
 
 
 def repair_parents(education: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Resolution inside scopes, expansion, dictionaries as tables, cities of city-only roles, records of whole documents."""
 
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -191,3 +192,20 @@ def test_lines_take_a_partition_for_so_many_orders(spark, tmp_path):
     assert parts_of(spark.read.parquet(f"{tmp_path}/orders.parquet"), 100) == 10 and parts_of(o, 10**6) == spark.sparkContext.defaultParallelism
     plan = intake_queries.QUERIES["x2_segment"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_rebalanced_buckets_meet_in_one_grouping(spark):
+    from loomfield.operators.reconcile import rebalance_buckets
+
+    df = lambda rows: spark.createDataFrame(rows, "doc_id int, name string")
+    skills, certs, licenses = df([(1, "BLS"), (1, "lift"), (1, "Rn"), (2, None)]), df([(1, "RN "), (1, "acls"), (2, None), (3, "bls")]), df([(3, "Bls"), (2, None)])
+    got = rebalance_buckets(skills, certs, licenses, ["rn"], ["bls"], 3)
+    assert [Counter(map(tuple, x.collect())) for x in got] == [Counter([(1, "lift"), (2, None)]), Counter([(1, "BLS"), (1, "acls"), (2, None)]), Counter([(1, "RN "), (3, "Bls"), (2, None)])]
+    assert all("Join" not in x._jdf.queryExecution().executedPlan().toString() for x in got)
+
+
+def test_leaves_meet_in_as_many_partitions_as_told(spark):
+    from loomfield.operators import jsondiff
+
+    rows = spark.createDataFrame([(i, "a", str(i), ["a"]) for i in range(9)], "id int, path string, value string, sort array<string>")
+    assert "REPARTITION_BY_NUM" in jsondiff.json_diff(rows, rows, 7)._jdf.queryExecution().executedPlan().toString()
