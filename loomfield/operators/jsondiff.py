@@ -38,10 +38,13 @@ def _equal(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b) | F.coalesce(a.try_cast("double") == b.try_cast("double"), F.lit(False))
 
 
-def json_diff(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(id, path, before, after, sort) of two leaf tables; missing and null are alike."""
+def json_diff(before: DataFrame, after: DataFrame, parts: int | None = None) -> DataFrame:
+    """(id, path, before, after, sort) of two leaf tables; missing and null are alike.
+    They meet in `parts` partitions, so that a task's sorts are bounded, or as Spark has it."""
     a = before.select("id", "path", F.col("value").alias("before"), F.col("sort").alias("sa"))
     b = after.select("id", "path", F.col("value").alias("after"), F.col("sort").alias("sb"))
+    if parts:
+        a, b = a.repartition(parts, "id", "path"), b.repartition(parts, "id", "path")
     both = a.join(b, ["id", "path"], "full")
     return both.filter(~_equal(F.col("before"), F.col("after"))).select("id", "path", "before", "after", F.coalesce("sa", "sb").alias("sort"))
 

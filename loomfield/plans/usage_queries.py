@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomfield.operators import jsondiff as J
 from loomfield.operators import rollup as G
 from loomfield.operators import windows as W
-from loomfield.sources.tables import table
+from loomfield.sources.tables import dealt, parts_of, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -137,7 +137,7 @@ def _(s, d):
 
 def _pairs(s, d):
     """Each order and the customer's one before it, as JSON."""
-    o = table(s, d, "orders")
+    o = dealt(table(s, d, "orders"), "o_custkey")
     js = F.to_json(F.struct(F.col("o_orderstatus").alias("st"), F.col("o_orderpriority").alias("pr"), F.struct((F.col("o_orderkey") % 3).alias("m")).alias("n"), F.array(F.col("o_orderkey") % 2, F.lit(5)).alias("l")))
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     o = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("tenant"), "o_custkey", "o_orderkey", js.alias("updated"))
@@ -152,7 +152,9 @@ _PAIRS = """x AS (SELECT o_orderkey AS id, o_custkey AS tenant, o_orderstatus AS
 
 def _diff(s, d):
     p = _pairs(s, d)
-    return J.json_diff(J.leaves(p, "id", "original", 4), J.leaves(p, "id", "updated", 4)), p
+    # an order has four leaves
+    parts = parts_of(table(s, d, "orders"), 50_000)
+    return J.json_diff(J.leaves(p, "id", "original", 4), J.leaves(p, "id", "updated", 4), parts), p
 
 
 @query("j1_json_diff", f"WITH {_PAIRS} SELECT id, path, before, after FROM diff")
