@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ PAGE_BYTES = 27
 CONTINUED, FIRST, LAST = 1, 2, 4
 #: Of this operator: samples in a packet, samples a second, packets in a page.
 PACKET, RATE, PACKETS_A_PAGE, STREAMS = 576, 48_000, 64, 2
+#: Of op3's contract: payload bytes that tail_crc32 is about.
+TAIL = 32
 
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
@@ -138,14 +141,14 @@ def _features(payload: bytes, facts: dict) -> str:
     return f"streams={facts['streams']};pages={facts['pages']};packets={facts['packets']};ms={facts['ms']};mean={int(x.sum(dtype=np.int64)) // len(x)};peak={int(x.max())};loudest={loud};crossings={crossing};entropy={entropy:.3f}"
 
 
-def _decode(batches):
+def _decode(batches, tail: int):
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for b in batches:
         cols: list[list] = [[] for _ in range(6)]
         for cell in b.column(2):  # one file at a time in Python's memory
             m = cell.as_py()
             payload, facts = read(m)
-            row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PACKET:]), len(m), hashlib.sha256(m).hexdigest(), _features(payload, facts))
+            row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-tail:]), len(m), hashlib.sha256(m).hexdigest(), _features(payload, facts))
             for c, v in zip(cols, row, strict=True):
                 c.append(v)
         yield pa.record_batch(
@@ -163,14 +166,14 @@ def ogg_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return common.id_text(docs, id_col, text_col).mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 
 
-def ogg_features(media: DataFrame) -> DataFrame:
-    """Of (doc_id, n_bytes, media): the payload read back, its digests and features
-    (streams, pages, packets, milliseconds, mean and peak sample, loudest packet's mean
-    square, crossings of the middle, entropy). Equal files give equal values; a broken
-    file fails with ValueError."""
+def ogg_features(media: DataFrame, tail: int = PACKET) -> DataFrame:
+    """Of (doc_id, n_bytes, media): the payload read back, its digests, tail_crc32 being
+    of its last `tail` bytes, and features (streams, pages, packets, milliseconds, mean
+    and peak sample, loudest packet's mean square, crossings of the middle, entropy).
+    Equal files give equal values; a broken file fails with ValueError."""
     out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode, out)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(partial(_decode, tail=tail), out)
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ogg_features(common.written(ogg_column(common.documents(spark, sf_dir))))
+    return ogg_features(common.written(ogg_column(common.documents(spark, sf_dir))), TAIL)

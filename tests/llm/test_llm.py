@@ -198,6 +198,19 @@ def test_ogg_columns_against_a_plain_version(spark, tmp_path):
     assert Counter(ogg.op3_media_columns(spark, str(tmp_path)).collect()) == Counter(out.values())
 
 
+def test_ogg_query_digests_the_last_32_bytes(spark, tmp_path):
+    """op3's contract: tail_crc32 is of the last 32 payload bytes."""
+    texts = [None, "", "a", "b" * 543, "c" * 544, "d" * 545, "e" * 576, "f" * 577, "\u00e9" * 288, "\U0001f600 words " * 900]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in ogg.op3_media_columns(spark, str(tmp_path)).collect()}
+    assert len(out) == len(texts)
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        want = (i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert tuple(out[i])[:5] == want
+
+
 def test_ogg_packets_that_run_over_pages():
     rng = random.Random(9)
     a, b, c = (rng.randbytes(576) for _ in range(3))
